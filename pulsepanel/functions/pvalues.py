@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
@@ -92,28 +93,28 @@ def _masked(fn, *cols: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="object").where(ok, None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _corr_p(r: pd.Series, n: pd.Series) -> pd.Series:
     # Two-sided p of a correlation: 1 - r^2 is the beta argument of its t value.
     return _masked(lambda r, n: betainc(n / 2 - 1, 0.5, np.clip(1 - r * r, 0, 1)), r, n.where(n > 2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _f_tail(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _masked(lambda f, a, b: betainc(b / 2, a / 2, b / (b + a * np.maximum(f, 0.0))), f, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi2_tail(x: pd.Series, k: pd.Series) -> pd.Series:
     return _masked(lambda x, k: gamma_upper(k / 2, x / 2), x, k)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal_tail2(z: pd.Series) -> pd.Series:
     return _masked(lambda z: _erfc(np.abs(z) / math.sqrt(2.0)), z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ks_tail(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     def tail(d, n, m):
         en = np.sqrt(n * m / (n + m))

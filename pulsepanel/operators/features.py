@@ -12,6 +12,9 @@ from pulsepanel.operators.windows import (
 
 # Lag and window widths of the news block.
 LAGS, WIDTHS, STD_WIDTHS, Z_WIDTH = (1, 3, 7), (3, 7, 14, 30), (7, 14, 30), 30
+LAGGED = ("log", "tone", "cross", "bad", "good", "log_z", "tone_z", "bad_z", "mentions")
+AVERAGED = ("mentions", "log", "tone", "bad", "good")
+SPREAD = ("log", "tone", "bad")
 
 
 def market_features(panel: DataFrame) -> DataFrame:
@@ -58,11 +61,11 @@ def news_block(suffix: str, *keys: str) -> dict[str, Column]:
     n, w = _base_names(suffix), ordered(*keys)
     out: dict[str, Column] = {
         n["attention"]: F.coalesce((F.col(n["log_z"]) >= 2.0).cast("double"), F.lit(0.0))}
-    for k in ("log", "tone", "cross", "bad", "good", "log_z", "tone_z", "bad_z", "mentions"):
+    for k in LAGGED:
         out |= lags(n[k], w, LAGS)
-    for k in ("mentions", "log", "tone", "bad", "good"):
+    for k in AVERAGED:
         out |= rolling_mean_sum(n[k], w, WIDTHS)
-    for k in ("log", "tone", "bad"):
+    for k in SPREAD:
         out |= rolling_pop_std(n[k], w, STD_WIDTHS)
     return out
 
@@ -70,8 +73,10 @@ def news_block(suffix: str, *keys: str) -> dict[str, Column]:
 def feature_names(suffix: str) -> list[str]:
     """The 87 engineered columns of one news stream, in order."""
     n = _base_names(suffix)
-    head = [n[k] for k in ("log", "neg", "pos", "cross", "bad", "good", "log_z", "tone_z", "bad_z", "attention", "weekend")]
-    return head + [c for c in news_block(suffix) if c != n["attention"]]
+    out = [n[k] for k in ("log", "neg", "pos", "cross", "bad", "good", "log_z", "tone_z", "bad_z", "attention", "weekend")]
+    out += [f"{n[k]}_lag{i}" for k in LAGGED for i in LAGS]
+    out += [f"{n[k]}_{f}{i}" for k in AVERAGED for i in WIDTHS for f in ("ma", "sum")]
+    return out + [f"{n[k]}_std{i}" for k in SPREAD for i in STD_WIDTHS]
 
 
 def news_features(df: DataFrame, suffixes: list[str], *keys: str) -> DataFrame:

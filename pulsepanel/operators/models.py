@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsepanel.functions.clean import inf_to_null, one_hot, pct_from_logret
+from pulsepanel.functions.clean import complete_rows, inf_to_null, one_hot, pct_from_logret
 from pulsepanel.operators.gram import (
     VECTOR, by_segment, dot, dot_arrays, gram, ols, segment_sums, solve_rows, spd_solve, triangle, vector,
 )
@@ -49,7 +49,7 @@ def prepare_model_frame(
         dummies |= one_hot(F.month("date"), "m", list(range(2, 13)))
     features = baseline_features(controls, include_regime, months)
     out = df.withColumns(dummies).select("series_id", "date", "price", "mcap", "logret", *features)
-    return inf_to_null(out, ["logret", *features]).dropna(subset=["logret", *features])
+    return complete_rows(inf_to_null(out, ["logret", *features]), ["logret", *features])
 
 
 OLS_SCHEMA = "n bigint, beta array<double>, ssr double, r2 double, adj_r2 double, aic double, bic double"
