@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from pulsepanel.plans import queries_index, queries_panel  # noqa: F401
+from pulsepanel.plans import queries_events, queries_index, queries_panel  # noqa: F401
 from pulsepanel.plans.registry import QUERIES, oracle, run  # noqa: F401

@@ -364,3 +364,26 @@ SELECT e.*, i.* EXCLUDE (series_id, preset, event_id, peak_date),
        {share('d7_abs_effect_oof', 'w7_abs_usd')} AS share_car7_oof, {share('d14_abs_effect_oof', 'w14_abs_usd')} AS share_car14_oof,
        {share('d30_abs_effect_oof', 'w30_abs_usd')} AS share_car30_oof, {share('max_effect_oof', 'ABS(peak_usd)')} AS share_peak_oof
 FROM event_returns e JOIN impact_sums i USING ({EV})""")
+
+# Out-of-sample index -----------------------------------------------------------------------
+
+
+def zt(x: str, mu: str, sd: str) -> str:
+    return clip3(f"({x} - {mu}) / CASE WHEN {sd} > 1e-9 THEN {sd} ELSE 1.0 END")
+
+
+PX = {"px_volume": "COALESCE(raw_abs_effect, 0)", "px_tone": "ABS(COALESCE(tone_used, 0))", "px_resid": "COALESCE(media_share_pct, 0)"}
+cte("proxied", f"""
+SELECT *, CASE WHEN date < DATE '2000-01-01' THEN 'TRAIN' ELSE 'TEST' END AS split, {', '.join(f'{e} AS {n}' for n, e in PX.items())} FROM scored""")
+
+
+def _train(fn: str, x: str) -> str:
+    return f"{fn}({x}) FILTER (WHERE split = 'TRAIN') OVER (PARTITION BY series_id)"
+
+
+cte("oos", f"""
+SELECT o.*, t.threshold FROM (
+  SELECT *, {sigmoid(' + '.join(f"{w} * {zt(p, _train('AVG', p), _train('STDDEV_POP', p))}" for p, w in zip(PX, ('0.25', '0.20', '0.20'))))} AS oos_score FROM proxied) o
+JOIN (SELECT series_id, QUANTILE_CONT(oos_score, 0.7) AS threshold FROM (
+  SELECT series_id, split, {sigmoid(' + '.join(f"{w} * {zt(p, _train('AVG', p), _train('STDDEV_POP', p))}" for p, w in zip(PX, ('0.25', '0.20', '0.20'))))} AS oos_score FROM proxied)
+  WHERE split = 'TRAIN' GROUP BY 1) t USING (series_id)""")
