@@ -103,3 +103,11 @@ def article_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_id").cast("string").alias("record_id"), day.alias("date"), F.col("url").alias("source_url"),
         host_of(F.col("url")).alias("source_domain"), (1 + F.col("page_id") % 5).alias("num_articles"),
         (F.col("page_id") % 3).alias("num_mentions"), ((F.col("page_id") % 21) - 10).cast("double").alias("avg_tone"))
+
+
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 0..100 benchmark value per day."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("date")).agg(
+        F.sum("l_linenumber").alias("s"), F.count(F.lit(1)).alias("n"))
+    value = (F.col("s") * 7 + F.col("n")) % 101
+    return li.select("date", value.alias("bench_value"), (value / 100.0).alias("bench_norm"))
