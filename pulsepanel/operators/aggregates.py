@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsepanel.functions.clean import clip
+from pulsepanel.functions.moments import safe_corr
 from pulsepanel.operators.quantiles import exact_quantiles
 from pulsepanel.operators.windows import average_rank
 
@@ -162,7 +163,7 @@ def pearson_over(x: Column, y: Column, least: int, floor: float = 1e-12) -> dict
     a, b = F.when(both, x), F.when(both, y)
     n = F.count(a)
     ok = (n >= least) & (F.stddev_pop(a) > floor) & (F.stddev_pop(b) > floor)
-    return {"n": n, "r": F.when(ok, F.corr(a, b))}
+    return {"n": n, "r": F.when(ok, safe_corr(x, y))}
 
 
 def pearson(df: DataFrame, x: str, y: str, keys: list[str], least: int = 10) -> DataFrame:
@@ -215,7 +216,7 @@ def linear_fit(df: DataFrame, x: str, y: str, keys: list[str], least: int = 11)
         line.filter(F.col("__n") >= least).groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("n"), F.first("__sl").alias("slope"), F.first("__ic").alias("intercept"),
-            F.pow(F.corr(x, y), 2.0).alias("r2"),
+            F.pow(safe_corr(x, y), 2.0).alias("r2"),
             F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
         )
     )
@@ -226,7 +227,7 @@ def incremental_r2(df: DataFrame, y: str, x1: str, x2: str, keys: list[str], lea
     full = df.filter(F.col(y).isNotNull() & F.col(x1).isNotNull() & F.col(x2).isNotNull())
     c = full.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.corr(x1, y).alias("r1"), F.corr(x2, y).alias("r2"), F.corr(x1, x2).alias("r12"),
+        safe_corr(x1, y).alias("r1"), safe_corr(x2, y).alias("r2"), safe_corr(x1, x2).alias("r12"),
     )
     both = (F.pow("r1", 2.0) + F.pow("r2", 2.0) - 2.0 * F.col("r1") * F.col("r2") * F.col("r12")) / F.nullif(
         1.0 - F.pow("r12", 2.0), F.lit(0.0))

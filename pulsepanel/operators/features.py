@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from pulsepanel.functions.clean import calendar_parts, neg_part, pos_part
 from pulsepanel.operators.windows import (
-    lags, log_return, ordered, regime_sign, rolling_mean_sum, rolling_pop_std, rolling_std, rolling_zscore,
+    lags, log_return, means_of_sums, ordered, regime_sign, rolling_pop_std, rolling_std, rolling_sums, rolling_zscore,
 )
 
 # Lag and window widths of the news block.
@@ -46,27 +47,38 @@ def news_base(df: DataFrame, suffix: str) -> DataFrame:
     })
 
 
-def news_scores(df: DataFrame, suffix: str, *keys: str) -> DataFrame:
-    n, w = _base_names(suffix), ordered(*keys)
-    return df.withColumns({
-        n["log_z"]: rolling_zscore(F.col(n["log"]), w, Z_WIDTH),
-        n["tone_z"]: rolling_zscore(F.col(n["tone"]), w, Z_WIDTH),
-        n["bad_z"]: rolling_zscore(F.col(n["bad"]), w, Z_WIDTH),
+SEEN = "__seen"
+
+
+def news_scores(suffix: str, w: WindowSpec) -> dict[str, Column]:
+    n, seen = _base_names(suffix), F.col(SEEN)
+    return {
+        n["log_z"]: rolling_zscore(F.col(n["log"]), w, Z_WIDTH, seen),
+        n["tone_z"]: rolling_zscore(F.col(n["tone"]), w, Z_WIDTH, seen),
+        n["bad_z"]: rolling_zscore(F.col(n["bad"]), w, Z_WIDTH, seen),
         n["weekend"]: ((F.weekday("date") >= 5) & (F.col(n["mentions"]) > 0)).cast("double"),
-    })
+    }
 
 
-def news_block(suffix: str, *keys: str) -> dict[str, Column]:
-    """The lagged and rolling columns: 27 lags, 40 means and sums, 9 deviations."""
-    n, w = _base_names(suffix), ordered(*keys)
-    out: dict[str, Column] = {
-        n["attention"]: F.coalesce((F.col(n["log_z"]) >= 2.0).cast("double"), F.lit(0.0))}
+def news_windows(suffix: str, w: WindowSpec) -> dict[str, Column]:
+    """27 lags, 20 sums and 9 deviations."""
+    n = _base_names(suffix)
+    out: dict[str, Column] = {}
     for k in LAGGED:
         out |= lags(n[k], w, LAGS)
     for k in AVERAGED:
-        out |= rolling_mean_sum(n[k], w, WIDTHS)
+        out |= rolling_sums(n[k], w, WIDTHS)
     for k in SPREAD:
-        out |= rolling_pop_std(n[k], w, STD_WIDTHS)
+        out |= rolling_pop_std(n[k], w, STD_WIDTHS, F.col(SEEN))
+    return out
+
+
+def news_derived(suffix: str) -> dict[str, Column]:
+    """20 means and the attention flag, without looking at rows again."""
+    n = _base_names(suffix)
+    out = {n["attention"]: F.coalesce((F.col(n["log_z"]) >= 2.0).cast("double"), F.lit(0.0))}
+    for k in AVERAGED:
+        out |= means_of_sums(n[k], WIDTHS, F.col(SEEN))
     return out
 
 
@@ -80,19 +92,25 @@ def feature_names(suffix: str) -> list[str]:
 
 
 def news_features(df: DataFrame, suffixes: list[str], *keys: str) -> DataFrame:
-    """News blocks for every stream on one sort per series.
+    """News blocks for every stream on one shuffle and one sort per series.
 
-    Base columns, then z-scores, then everything that looks back at them: three
-    projections in all, whatever the number of streams.
+    Base columns, z-scores, what looks back at them, and what follows from
+    those: four projections, whatever the number of streams.
     """
+    w = ordered(*keys)
     for s in suffixes:
         df = news_base(df, s)
-    for s in suffixes:
-        df = news_scores(df, s, *keys)
-    block: dict[str, Column] = {}
-    for s in suffixes:
-        block |= news_block(s, *keys)
-    return df.select("*", *[c.alias(k) for k, c in block.items()])
+
+    def add(frame: DataFrame, build) -> DataFrame:
+        cols: dict[str, Column] = {}
+        for s in suffixes:
+            cols |= build(s)
+        return frame.select("*", *[c.alias(k) for k, c in cols.items()])
+
+    df = df.withColumn(SEEN, F.row_number().over(w))
+    df = add(df, lambda s: news_scores(s, w))
+    df = add(df, lambda s: news_windows(s, w))
+    return add(df, news_derived).drop(SEEN)
 
 
 def context_features(df: DataFrame, suffix: str) -> DataFrame:

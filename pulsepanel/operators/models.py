@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsepanel.functions.clean import complete_rows, inf_to_null, one_hot, pct_from_logret
+from pulsepanel.functions.moments import safe_corr
 from pulsepanel.operators.gram import (
     VECTOR, by_segment, dot, dot_arrays, gram, ols, segment_sums, solve_rows, spd_solve, triangle, vector,
 )
@@ -120,7 +121,7 @@ def screen_features(df: DataFrame, y: str, keys: list[str], vec: str = "__f") ->
         F.avg(F.col("x").isNotNull().cast("double")).alias("non_null"),
         F.stddev_pop(F.coalesce("x", F.lit(0.0))).alias("spread"),
         n.alias("n_pairs"),
-        F.when(varies, F.corr(pair, F.when(pair.isNotNull(), F.col("__y")))).alias("r"),
+        F.when(varies, safe_corr(F.col("x"), F.col("__y"))).alias("r"),
     )
 
 
@@ -166,7 +167,7 @@ def ridge_from_gram(g: np.ndarray, xs: list[int], y: int, alpha: float):
     mean = g[0, xs] / n
     cov = g[np.ix_(xs, xs)] - n * np.outer(mean, mean)
     var = np.diag(cov) / n
-    floor = 10 * np.finfo(float).eps * np.maximum(g[xs, xs] / n, 1e-300)
+    floor = 1e-12 * np.maximum(g[xs, xs] / n, 1e-300)  # below it, rounding noise only
     scale = np.where(var > floor, np.sqrt(np.maximum(var, 0.0)), 1.0)
     xy = (g[xs, y] - mean * g[0, y]) / scale
     coef = spd_solve(cov / np.outer(scale, scale) + alpha * np.eye(len(xs)), xy)

@@ -33,20 +33,22 @@ def log_return(price: Column, w: WindowSpec) -> Column:
     return F.ln(p / F.lag(p).over(w))
 
 
-def full_window(stat: Column, x: Column, frame: WindowSpec, need: int) -> Column:
-    """The statistic where the frame holds at least ``need`` values, else NULL."""
-    return F.when(F.count(x).over(frame) >= need, stat.over(frame))
-
-
-def rolling_std(x: Column, w: WindowSpec, n: int, ddof: int = 1, need: int | None = None) -> Column:
+def rolling_std(
+    x: Column, w: WindowSpec, n: int, ddof: int = 1, need: int | None = None, seen: Column | None = None
+) -> Column:
+    """``seen`` is the row number, for columns without gaps: it replaces the count."""
     fn = F.stddev_samp if ddof else F.stddev_pop
-    return full_window(fn(x), x, last_rows(w, n), n if need is None else need)
+    need = n if need is None else need
+    frame = last_rows(w, n)
+    held = F.count(x).over(frame) if seen is None else seen
+    return F.when(held >= need, fn(x).over(frame))
 
 
-def rolling_zscore(x: Column, w: WindowSpec, n: int) -> Column:
+def rolling_zscore(x: Column, w: WindowSpec, n: int, seen: Column | None = None) -> Column:
     frame = last_rows(w, n)
     z = (x - F.avg(x).over(frame)) / F.nullif(F.stddev_pop(x).over(frame), F.lit(0.0))
-    return F.when(F.count(x).over(frame) == n, z)
+    held = F.count(x).over(frame) if seen is None else seen
+    return F.when(held >= n, z)
 
 
 def local_max(x: Column, w: WindowSpec, half: int) -> Column:
@@ -69,8 +71,17 @@ def rolling_mean_sum(name: str, w: WindowSpec, widths) -> dict[str, Column]:
     return out
 
 
-def rolling_pop_std(name: str, w: WindowSpec, widths) -> dict[str, Column]:
-    return {f"{name}_std{n}": rolling_std(F.col(name), w, n, ddof=0, need=2) for n in widths}
+def rolling_sums(name: str, w: WindowSpec, widths) -> dict[str, Column]:
+    return {f"{name}_sum{n}": F.sum(name).over(last_rows(w, n)) for n in widths}
+
+
+def means_of_sums(name: str, widths, seen: Column) -> dict[str, Column]:
+    """Means from ready sums of a column without gaps: no second pass over the frame."""
+    return {f"{name}_ma{n}": F.col(f"{name}_sum{n}") / F.least(seen, F.lit(n)) for n in widths}
+
+
+def rolling_pop_std(name: str, w: WindowSpec, widths, seen: Column | None = None) -> dict[str, Column]:
+    return {f"{name}_std{n}": rolling_std(F.col(name), w, n, ddof=0, need=2, seen=seen) for n in widths}
 
 
 def forward_fill(df: DataFrame, cols: list[str], *keys: str) -> DataFrame:

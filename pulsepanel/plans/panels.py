@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulsepanel.operators.events import detect_peaks, event_abnormal_returns, event_media_impact
 from pulsepanel.operators.features import feature_names, market_features, news_features
 from pulsepanel.operators.gram import VECTOR, vector
-from pulsepanel.operators.joins import align_to_calendar, attach_signal, calendar_side, merge_panel
+from pulsepanel.operators.joins import align_to_calendar, attach_signal, calendar_side, merge_panel, wide_by_preset
 from pulsepanel.operators.models import (
     baseline, baseline_features, feature_vector, filter_features, fit_ridge_cv, fold_segments, prepare_model_frame,
     score_ridge, screen_features, top_k_features,
@@ -25,17 +25,30 @@ RIDGE_FEATURES = [
 ALPHA, SPLITS = 10.0, 5
 
 
+# Daily tables.  Everything below the daily grain is aggregated once per session;
+# the pipeline then reads these small tables instead of scanning the raw ones again.
+
+def prices(spark: SparkSession, sf: str) -> DataFrame:
+    return stage(spark, sf, "prices", lambda: fx.price_panel(spark, sf))
+
+
+def signals(spark: SparkSession, sf: str) -> DataFrame:
+    return stage(spark, sf, "signals", lambda: fx.media_signal(spark, sf))
+
+
 def features(spark: SparkSession, sf: str) -> DataFrame:
     return market_features(fx.price_panel(spark, sf))
 
 
-def aligned(spark: SparkSession, sf: str) -> DataFrame:
+def aligned(spark: SparkSession, sf: str, panel: DataFrame | None = None) -> DataFrame:
     """Prices with the day-keyed controls; days without a control stay NULL."""
-    return align_to_calendar(fx.price_panel(spark, sf), calendar_side(fx.macro_wide(spark, sf)), on=("date",))
+    panel = fx.price_panel(spark, sf) if panel is None else panel
+    return align_to_calendar(panel, calendar_side(fx.macro_wide(spark, sf)), on=("date",))
 
 
 def model_frame(spark: SparkSession, sf: str) -> DataFrame:
-    return prepare_model_frame(aligned(spark, sf))
+    """Written once: the fit and the scoring both read it."""
+    return stage(spark, sf, "frame", lambda: prepare_model_frame(aligned(spark, sf, prices(spark, sf))))
 
 
 def baseline_panel(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,30 +58,37 @@ def baseline_panel(spark: SparkSession, sf: str) -> DataFrame:
 def panel_with_market(spark: SparkSession, sf: str) -> DataFrame:
     """Baseline days with volatility and regime of the feature table."""
     base = baseline_panel(spark, sf)
-    extra = features(spark, sf).select("series_id", "date", "vol_30", "regime", "volume")
+    extra = market_features(prices(spark, sf)).select("series_id", "date", "vol_30", "regime", "volume")
     return merge_panel(base, extra, "_feat")
 
 
 def news_panel(spark: SparkSession, sf: str) -> DataFrame:
     """Baseline days with the balanced stream's news block."""
-    sig = fx.balanced_signal(spark, sf).select(
+    sig = signals(spark, sf).filter(F.col("preset") == "balanced").select(
         "date", F.col("mentions").alias("news_mentions"), F.col("tone").alias("news_tone"),
         F.col("mentions"), F.col("tone"))
     return news_features(attach_signal(panel_with_market(spark, sf), sig), [""])
 
 
+def news_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Target, level and the modelled features, written once for fit and scoring."""
+    keep = ["series_id", "date", "price", "mcap", "volume", "logret", "vol_30", "regime", "expected_logret", "abnormal_logret",
+            "abnormal_return_pct", "abnormal_z60", "abnormal_usd", "mentions", "tone", *RIDGE_FEATURES]
+    return stage(spark, sf, "news", lambda: news_panel(spark, sf).select(*keep))
+
+
 def ridge_rows(df: DataFrame, names: list[str], y: str = "abnormal_logret") -> DataFrame:
     known = fold_segments(df.filter(F.col(y).isNotNull()), ["series_id"], SPLITS)
     return known.withColumn(VECTOR, vector([F.lit(1.0), *[F.col(n) for n in names], F.col(y)]))
 
 
 def ridge_fits(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ridge_rows(news_panel(spark, sf), RIDGE_FEATURES)
+    rows = ridge_rows(news_table(spark, sf), RIDGE_FEATURES)
     return fit_ridge_cv(rows, ["series_id"], len(RIDGE_FEATURES) + 2, ALPHA, SPLITS)
 
 
 def effect_panel(spark: SparkSession, sf: str) -> DataFrame:
-    panel = fold_segments(news_panel(spark, sf).filter(F.col("abnormal_logret").isNotNull()), ["series_id"], SPLITS)
+    panel = fold_segments(news_table(spark, sf).filter(F.col("abnormal_logret").isNotNull()), ["series_id"], SPLITS)
     with_vec = feature_vector(panel, RIDGE_FEATURES)
     return score_ridge(with_vec, ridge_fits(spark, sf), ["series_id"], "__f").drop("__f")
 
@@ -90,7 +110,7 @@ def scored_panel(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def peaks(spark: SparkSession, sf: str) -> DataFrame:
-    return detect_peaks(fx.price_panel(spark, sf))
+    return stage(spark, sf, "peaks", lambda: detect_peaks(prices(spark, sf)))
 
 
 def event_returns(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,11 +121,11 @@ def event_returns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_impact(spark: SparkSession, sf: str) -> DataFrame:
-    return event_media_impact(scored_panel(spark, sf), event_returns(spark, sf))
+    return stage(spark, sf, "impact", lambda: event_media_impact(scored_panel(spark, sf), event_returns(spark, sf)))
 
 
 def validated(spark: SparkSession, sf: str) -> DataFrame:
-    return oos_index(scored_panel(spark, sf), fx.BOUNDARY)
+    return stage(spark, sf, "oos", lambda: oos_index(scored_panel(spark, sf), fx.BOUNDARY))
 
 
 # The full attribution with screening and pruning ------------------------------
@@ -115,7 +135,7 @@ STREAMS = {"_all": "balanced", "_balanced": "balanced", "_strong": "strong", "_s
 
 def wide_news_panel(spark: SparkSession, sf: str) -> DataFrame:
     """All four streams; ``_all`` is the first preset that has data."""
-    wide = fx.wide_signal(spark, sf).select("date", *[
+    wide = wide_by_preset(signals(spark, sf), list(fx.PRESETS), ["mentions", "tone"]).select("date", *[
         F.col(f"{v}_{p}").alias(f"news_{v}{s}") for s, p in STREAMS.items() for v in ("mentions", "tone")])
     base = baseline_panel(spark, sf).select("series_id", "date", "mcap", "abnormal_logret", "abnormal_usd")
     return news_features(attach_signal(base, wide), list(STREAMS))

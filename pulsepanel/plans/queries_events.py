@@ -8,13 +8,12 @@ from pulsepanel.functions import topics as tp
 from pulsepanel.operators import aggregates as ag
 from pulsepanel.operators import events as ev
 from pulsepanel.operators import joins as jn
-from pulsepanel.operators import validation as vd
 from pulsepanel.plans import fixtures as fx
 from pulsepanel.plans import panels as pn
 from pulsepanel.plans.oracle import EV, HOST, cte, sigmoid
 from pulsepanel.plans.registry import query
 from pulsepanel.sources import news as ns
-from pulsepanel.sources.workdir import fresh_path
+from pulsepanel.sources.workdir import fresh_path, stage
 
 KEYS = "series_id preset event_id peak_date:d"
 
@@ -38,7 +37,7 @@ _CAR = " ".join(f"w{w}_car_log:6 w{w}_car_pct:3 w{w}_mean_logret:6 w{w}_mean_pct
 @query("event_car", f"{KEYS} price_at_peak:6 mcap_at_peak:2 peak_logret:6 peak_pct:4 peak_z60:6 peak_usd:1 pre_car_log:6 pre_days post_car_log:6 post_days {_CAR} "
        "event_car_log:6 event_car_pct:3 event_sum_usd:1 event_abs_usd:1 event_days", "SELECT * FROM event_returns")
 def event_car(spark, sf):
-    return ev.event_abnormal_returns(pn.baseline_panel(spark, sf), pn.peaks(spark, sf))
+    return pn.event_returns(spark, sf)
 
 
 @query("event_reversal", f"{KEYS} reversal_ratio:4 peak_sign:0 post_sign:0 is_reversal:0", "SELECT * FROM event_returns")
@@ -250,7 +249,10 @@ FROM (SELECT i.*, COALESCE(a.total_mentions, 0) AS total_mentions, a.low_cred_ra
 
 
 def _advanced(spark, sf):
-    return ev.advanced_event_metrics(pn.event_impact(spark, sf), _event_article_stats(spark, sf), shock_reversal(spark, sf))
+    def build():
+        return ev.advanced_event_metrics(pn.event_impact(spark, sf), _event_article_stats(spark, sf), shock_reversal(spark, sf))
+
+    return stage(spark, sf, "advanced", build)
 
 
 @query("advanced_event_metrics", f"{KEYS} abs_effect_oof:1 total_mentions:2 mean_tone:5 source_hhi:5 shock_reversal:5 temporary_share:5 permanent_share:5 composite:6 composite_label", "SELECT * FROM advanced")
@@ -393,4 +395,4 @@ SELECT {EV}, CASE WHEN peak_date >= DATE '2000-01-01' THEN 'TEST' ELSE 'TRAIN' E
        SUM(excess_effect) AS excess_sum, AVG(oos_score) > MAX(threshold) AS above_threshold, COUNT(*) AS n_days
 FROM peaks JOIN oos USING (series_id) WHERE date BETWEEN peak_date - 3 AND peak_date + 2 GROUP BY {EV}""")
 def event_validation(spark, sf):
-    return ev.event_validation(vd.oos_index(pn.scored_panel(spark, sf), fx.BOUNDARY), pn.peaks(spark, sf), fx.BOUNDARY)
+    return ev.event_validation(pn.validated(spark, sf), pn.peaks(spark, sf), fx.BOUNDARY)

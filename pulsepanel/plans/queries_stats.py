@@ -62,7 +62,7 @@ BY = ["series_id", "preset"]
 
 def signal_panel(spark, sf):
     """Scored days with each preset's raw signal; presets x days bound the signal."""
-    sig = fx.media_signal(spark, sf).select("date", "preset", F.col("mentions").alias("m_mentions"), F.col("tone").alias("m_tone"))
+    sig = pn.signals(spark, sf).select("date", "preset", F.col("mentions").alias("m_mentions"), F.col("tone").alias("m_tone"))
     return pn.scored_panel(spark, sf).join(jn.calendar_side(sig), "date")
 
 
