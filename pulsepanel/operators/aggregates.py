@@ -13,23 +13,35 @@ from pulsepanel.operators.windows import average_rank
 
 # Daily signals -------------------------------------------------------------
 
-def daily_signal_two_stage(records: DataFrame, *keys: str) -> DataFrame:
-    """Matches per file, then per day; tone is the match-weighted mean of file means.
+def file_totals(records: DataFrame, *keys: str) -> DataFrame:
+    """Matches and tone sums per file of (day, file_no, matched, tone) records."""
+    hit = F.col("matched")
+    toned = F.when(hit, F.col("tone"))
+    return records.groupBy(*keys, "day", "file_no").agg(
+        F.count_if(hit).alias("w"), F.sum(toned).alias("tone_sum"), F.count(toned).alias("tone_n"))
+
 
-    Days whose records never match keep a row with 0 mentions and no tone.
+def daily_signal_of_files(per_file: DataFrame, *keys: str, row_mean: bool = False) -> DataFrame:
+    """Day totals; tone is the match-weighted mean of file means.
+
+    With ``row_mean`` it is the plain mean over toned records instead.  Days
+    whose records never match keep a row with 0 mentions and no tone.
     """
-    hit = F.col("matched")
-    per_file = records.groupBy(*keys, "day", "file_no").agg(
-        F.count_if(hit).alias("w"), F.avg(F.when(hit, F.col("tone"))).alias("t")
-    )
-    weight = F.sum(F.when(F.col("t").isNotNull(), F.col("w")))
+    t = F.col("tone_sum") / F.nullif(F.col("tone_n"), F.lit(0))
+    weight = F.sum(F.when(F.col("tone_n") > 0, F.col("w")))
+    staged = F.sum(t * F.col("w")) / F.nullif(weight, F.lit(0))
+    plain = F.sum("tone_sum") / F.nullif(F.sum("tone_n"), F.lit(0))
     return (
         per_file.groupBy(*keys, "day")
-        .agg(F.sum("w").alias("mentions"), (F.sum(F.col("t") * F.col("w")) / F.nullif(weight, F.lit(0))).alias("tone"))
+        .agg(F.sum("w").alias("mentions"), (plain if row_mean else staged).alias("tone"))
         .withColumnRenamed("day", "date")
     )
 
 
+def daily_signal_two_stage(records: DataFrame, *keys: str) -> DataFrame:
+    return daily_signal_of_files(file_totals(records, *keys), *keys)
+
+
 def daily_weighted(events: DataFrame, *keys: str) -> DataFrame:
     """Sum of mentions (missing = 1), mention-weighted tone of toned rows, row count."""
     m = F.coalesce(F.col("mentions"), F.lit(1.0))

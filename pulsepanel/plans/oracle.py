@@ -55,16 +55,24 @@ def round_expr(token: str) -> str:
     return f"ROUND(CAST({name} AS DOUBLE), {kind}) + CAST(0 AS DOUBLE) AS {name}"
 
 
-def needed(sql: str) -> list[str]:
-    seen: set[str] = set()
+_uses: dict[str, frozenset[str]] = {}
+
 
-    def visit(text: str) -> None:
-        for name in CTES:
-            if name not in seen and re.search(rf"\b{name}\b", text):
-                seen.add(name)
-                visit(CTES[name])
+def mentions(text: str) -> frozenset[str]:
+    return frozenset(re.findall(r"\w+", text)) & CTES.keys()
 
-    visit(sql)
+
+def needed(sql: str) -> list[str]:
+    """Expressions a statement needs, directly or not, in order of definition."""
+    seen: set[str] = set()
+    todo = list(mentions(sql))
+    while todo:
+        name = todo.pop()
+        if name not in seen:
+            seen.add(name)
+            if name not in _uses:
+                _uses[name] = mentions(CTES[name])
+            todo += _uses[name] - seen
     return [n for n in CTES if n in seen]
 
 

@@ -328,9 +328,7 @@ SELECT '{p}' AS preset, doc_id, DATE '2015-11-01' + CAST(doc_id % 500 AS INTEGER
 SELECT preset, day, COUNT(*) FILTER (WHERE matched) AS mentions, AVG(tone) FILTER (WHERE matched) AS tone FROM gkg GROUP BY 1, 2""")
 def gkg_scan(spark, sf):
     path = _write_text(spark, gkg_lines(spark, sf), "gkg")
-    rec = ns.scan_gkg(spark, path, WORDS, TOPICS)
-    hit = F.col("matched")
-    return rec.groupBy("preset", "day").agg(F.count_if(hit).alias("mentions"), F.avg("tone").alias("tone"))
+    return ag.daily_signal_of_files(ns.scan_gkg(spark, path, WORDS, TOPICS), "preset", row_mean=True).withColumnRenamed("date", "day")
 
 
 @query("gkg_topic_daily", "date:d mentions tone:6", f"""

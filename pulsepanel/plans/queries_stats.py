@@ -476,7 +476,31 @@ SELECT a.series_id, a.n,
 FROM joh_s a JOIN joh_s b USING (series_id) WHERE a.step = 7 AND b.step = 10)"""
 
 
-@query("johansen", "series_id n_obs applicable rank:0 reason trace0:3 trace1:3 trace2:3")
+# S00^-1 times the partialled block has the roots 1 - lambda; three real roots in closed form.
+def _minor(i: int, j: int) -> str:
+    r, c = [k for k in range(3) if k != i], [k for k in range(3) if k != j]
+    return f"({_K[r[0], c[0]]} * {_K[r[1], c[1]]} - {_K[r[0], c[1]]} * {_K[r[1], c[0]]})"
+
+
+_INV = {(i, j): f"({'-' if (i + j) % 2 else ''}{_minor(j, i)} / det)" for i in range(3) for j in range(3)}
+cte("joh_pair", f"""
+SELECT a.series_id, a.n, a.m AS am, b.m AS bm, {_K[0, 0]} * {_minor(0, 0)} - {_K[0, 1]} * {_minor(0, 1)} + {_K[0, 2]} * {_minor(0, 2)} AS det
+FROM joh_s a JOIN joh_s b USING (series_id) WHERE a.step = 7 AND b.step = 10""")
+_entries = ", ".join(
+    "(" + " + ".join(f"{_INV[i, k]} * {_J[k, j]}" for k in range(3)) + f") AS q{i}{j}" for i in range(3) for j in range(3)
+).replace("a.m[", "am[").replace("b.m[", "bm[")
+cte("joh_roots", f"""
+SELECT series_id, n, list_sort([e1 / 3 + 2 * SQRT(p) * COS(phi), e1 / 3 + 2 * SQRT(p) * COS(phi + 2 * PI() / 3), e1 / 3 + 2 * SQRT(p) * COS(phi + 4 * PI() / 3)]) AS mu
+FROM (SELECT *, ACOS(LEAST(GREATEST(q / POW(p, 1.5), -1), 1)) / 3 AS phi
+FROM (SELECT *, (e1 * e1 - 3 * e2) / 9 AS p, (2 * POW(e1, 3) - 9 * e1 * e2 + 27 * e3) / 54 AS q
+FROM (SELECT series_id, n, q00 + q11 + q22 AS e1, q00 * q11 - q01 * q10 + q00 * q22 - q02 * q20 + q11 * q22 - q12 * q21 AS e2,
+  q00 * (q11 * q22 - q12 * q21) - q01 * (q10 * q22 - q12 * q20) + q02 * (q10 * q21 - q11 * q20) AS e3 FROM (SELECT series_id, n, {_entries} FROM joh_pair))))""")
+
+
+@query("johansen", "series_id n_obs applicable rank:0 reason trace0:3 trace1:3 trace2:3", """
+SELECT *, rank < 3 AS applicable, CASE WHEN rank >= 3 THEN 'full rank' END AS reason FROM (
+SELECT *, CAST(trace0 > 29.7961 AS INTEGER) + CAST(trace1 > 15.4943 AS INTEGER) + CAST(trace2 > 3.8415 AS INTEGER) AS rank FROM (
+SELECT series_id, n + 3 AS n_obs, -n * (LN(mu[1]) + LN(mu[2]) + LN(mu[3])) AS trace0, -n * (LN(mu[2]) + LN(mu[3])) AS trace1, -n * LN(mu[3]) AS trace2 FROM joh_roots))""")
 def johansen(spark, sf):
     out = ts.johansen(levels(spark, sf), ["series_id"], VARS)
     return out.withColumns({f"trace{i}": F.get("trace", F.lit(i)) for i in range(3)})

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from pulsepanel.operators.aggregates import daily_plain, daily_signal_two_stage, daily_weighted
+from pulsepanel.operators.aggregates import daily_plain, daily_signal_of_files, daily_weighted
 from pulsepanel.operators.timeseries import primary_preset
 from pulsepanel.sources import market as mk
 from pulsepanel.sources import news as ns
@@ -70,9 +70,11 @@ def test_gkg_scan_two_stage(spark, tmp_path):
     put(tmp_path / "g" / "20240101001500.gkg.csv", gkg("20240101", "none", theme="TAX;WEB_BITCOIN", tone="5") + "\n" + "short\trow\n")
     put(tmp_path / "g" / "20240102000000.gkg.csv", gkg("20240102", "nothing"))
     rec = ns.scan_gkg(spark, str(tmp_path / "g"), {"p": ["bitcoin"], "q": ["nope"]}, {"p": ["WEB_BITCOIN"], "q": ["NOPE"]})
-    got = {(r.preset, r.date.day): (r.mentions, r.tone) for r in daily_signal_two_stage(rec, "preset").collect()}
+    got = {(r.preset, r.date.day): (r.mentions, r.tone) for r in daily_signal_of_files(rec, "preset").collect()}
     # File one: 2 matches, mean tone 2; file two: 1 match, tone 5.
     assert got == {("p", 1): (3, 3.0), ("p", 2): (0, None), ("q", 1): (0, None), ("q", 2): (0, None)}
+    plain = {(r.preset, r.date.day): r.tone for r in daily_signal_of_files(rec, "preset", row_mean=True).collect()}
+    assert plain[("p", 1)] == 3.5
 
 
 def test_news_formats(spark, tmp_path):
