@@ -280,16 +280,16 @@ def granger_best(spark, sf):
 
 
 MPAIRS = [("ctl_a_logret", "logret"), ("ctl_n_logret", "logret"), ("ctl_r_logret", "logret")]
-cte("granger_macro", granger_sql("model_frame", "gm", MPAIRS, (1, 2, 3)))
+cte("granger_macro", granger_sql("model_frame", "gm", MPAIRS, range(1, 15)))
 
 
-@query("granger_controls", "series_id x_name y_name lag:i n f_stat:5 f_p:6", "SELECT * FROM granger_macro")
+@query("granger_controls", "series_id x_name y_name lag:i n f_stat:5 f_p:6", "SELECT * FROM granger_macro WHERE lag <= 3")
 def granger_controls(spark, sf):
     res = ts.granger(pn.model_frame(spark, sf), ["series_id"], MPAIRS, range(1, 15), least=44, guard=False)
     return res.filter(F.col("lag") <= 3)
 
 
-@query("granger_controls_14", "series_id x_name y_name lag:i f_stat:5 f_p:6 params_f:5")
+@query("granger_controls_14", "series_id x_name y_name lag:i f_stat:5 f_p:6 params_f:5", "SELECT *, f_stat AS params_f FROM granger_macro")
 def granger_controls_14(spark, sf):
     return ts.granger(pn.model_frame(spark, sf), ["series_id"], MPAIRS, range(1, 15), least=44, guard=False)
 
