@@ -143,7 +143,7 @@ def news_flags(spark, sf):
 # Models ------------------------------------------------------------------------------
 
 from pulsepanel.operators import models as md  # noqa: E402
-from pulsepanel.plans.oracle import CTES, RIDGE, _ONE, _XS, news_sql  # noqa: E402, F401
+from pulsepanel.plans.oracle import RIDGE, _XS, news_sql, solver  # noqa: E402
 
 _FRAME = " ".join(f"{x}:6" for x in _XS)
 
@@ -265,23 +265,74 @@ def feature_top_k(spark, sf):
     return _named(pn.selected(spark, sf)).withColumn("r_abs", F.abs("r"))
 
 
-@query("feature_pruned", "series_id n_chosen:i n_kept:i")
+# The screened fit in SQL: selected vectors, one matrix per fold, greedy pruning, elimination.
+K = 60
+cte("chosen", f"""
+SELECT series_id, LIST(pos ORDER BY place) AS pos FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY ROUND(ABS(r), 12) DESC, pos) AS place FROM screen
+  WHERE non_null >= 0.8 AND spread > 0 AND r IS NOT NULL) WHERE place <= {K} GROUP BY 1""")
+cte("picked", f"""
+SELECT series_id, date, mcap, abnormal_logret, CASE WHEN rn <= n - 5 * (n // 6) THEN 0 ELSE 1 + (rn - 1 - (n - 5 * (n // 6))) // (n // 6) END AS segment,
+       LEN(pos) AS used, list_concat([1.0::DOUBLE], list_transform(range(1, {K + 1}), lambda i: CASE WHEN i <= LEN(pos) THEN COALESCE(f[pos[i] + 1], 0) ELSE 0 END), [abnormal_logret]) AS v
+FROM (SELECT series_id, date, mcap, abnormal_logret, [{', '.join(f'CAST({c} AS DOUBLE)' for c in _CANDS)}] AS f,
+        ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY date) AS rn, COUNT(*) OVER (PARTITION BY series_id) AS n FROM {_wide} WHERE abnormal_logret IS NOT NULL)
+JOIN chosen USING (series_id)""")
+_half = ", ".join(f"SUM(v[{a}] * v[{b}])" for a in range(1, K + 3) for b in range(a, K + 3))
+_at = f"(least(i, j) - 1) * {K + 2} - ((least(i, j) - 1) * (least(i, j) - 2)) // 2 + greatest(i, j) - least(i, j) + 1"
+cte("picked_half", f"SELECT series_id, segment, MAX(used) AS used, [{_half}] AS h FROM picked GROUP BY 1, 2")
+cte("picked_gram", f"""
+SELECT series_id, fold, MAX(used) AS used, [{', '.join(f'SUM(h[{a}])' for a in range(1, (K + 2) * (K + 3) // 2 + 1))}] AS h
+FROM picked_half JOIN (SELECT UNNEST(RANGE(6)) AS fold) k ON fold = 0 OR segment < fold GROUP BY 1, 2""")
+cte("picked_full", f"SELECT series_id, fold, used, list_transform(range(1, {K + 3}), lambda i: list_transform(range(1, {K + 3}), lambda j: h[{_at}])) AS g FROM picked_gram")
+cte("picked_corr", f"""
+SELECT series_id, used, list_transform(range(1, {K + 3}), lambda i: list_transform(range(1, {K + 3}), lambda j:
+  ROUND(COALESCE(ABS(g[i][j] / g[1][1] - g[1][i] * g[1][j] / (g[1][1] * g[1][1])) / NULLIF(SQRT(GREATEST(g[i][i] / g[1][1] - POW(g[1][i] / g[1][1], 2), 0)
+  * GREATEST(g[j][j] / g[1][1] - POW(g[1][j] / g[1][1], 2), 0)), 0), 0), 12))) AS r FROM picked_full WHERE fold = 0""")
+cte("close_pairs", f"""
+SELECT series_id, used, list_transform(r, lambda q: q[{K + 2}]) AS tgt,
+       list_filter(list_transform(range(0, {K * K}), lambda t: [t // {K} + 1, t % {K} + 1]), lambda p: p[1] < p[2] AND p[2] <= used AND r[p[1] + 1][p[2] + 1] >= 0.97) AS pairs FROM picked_corr""")
+cte("pruning", f"""
+SELECT series_id, 0 AS step, pairs, tgt, list_transform(range(1, {K + 1}), lambda i: i <= used) AS alive FROM close_pairs
+UNION ALL SELECT series_id, step + 1, pairs, tgt, CASE WHEN alive[pairs[step + 1][1]] AND alive[pairs[step + 1][2]] THEN
+  list_transform(alive, lambda a, k: a AND k <> CASE WHEN tgt[pairs[step + 1][1] + 1] >= tgt[pairs[step + 1][2] + 1] THEN pairs[step + 1][2] ELSE pairs[step + 1][1] END) ELSE alive END
+FROM pruning WHERE step < LEN(pairs)""", keep=False)
+cte("kept", "SELECT series_id, alive FROM pruning WHERE step = LEN(pairs)")
+cte("screened_live", f"""
+SELECT series_id, fold, used, g, alive, list_transform(alive, lambda a, i: a AND g[i + 1][i + 1] - g[1][i + 1] * g[1][i + 1] / g[1][1] > 1e-12 * g[i + 1][i + 1]) AS live
+FROM picked_full JOIN kept USING (series_id)""")
+cte("screened_system", f"""
+SELECT series_id, fold, list_transform(live, lambda a, i: list_concat(
+  list_transform(live, lambda b, j: CASE WHEN a AND b THEN (g[i + 1][j + 1] - g[1][i + 1] * g[1][j + 1] / g[1][1]) * CASE WHEN i = j THEN 1 + 10.0 / g[1][1] ELSE 1 END WHEN i = j THEN 1.0 ELSE 0.0 END),
+  [CASE WHEN a THEN g[i + 1][{K + 2}] - g[1][i + 1] * g[1][{K + 2}] / g[1][1] ELSE 0.0 END])) AS m FROM screened_live""")
+solver("screened_fit", "screened_system", "series_id, fold", K)
+cte("screened_ridge", f"""
+SELECT series_id, fold, w, g, alive, live, (g[1][{K + 2}] - list_sum(list_transform(w, lambda x, i: x * g[1][i + 1]))) / g[1][1] AS icept FROM screened_fit JOIN screened_live USING (series_id, fold)""")
+cte("screened_effect", f"""
+SELECT *, media_logret * COALESCE(mcap, 0) AS media_effect, media_logret_oof * COALESCE(mcap, 0) AS media_effect_oof FROM (
+SELECT p.*, a.icept + list_sum(list_transform(a.w, lambda x, i: x * v[i + 1])) AS media_logret, b.icept + list_sum(list_transform(b.w, lambda x, i: x * v[i + 1])) AS media_logret_oof
+FROM picked p JOIN screened_ridge a ON a.series_id = p.series_id AND a.fold = 0 LEFT JOIN screened_ridge b ON b.series_id = p.series_id AND b.fold = p.segment AND p.segment > 0)""")
+
+
+@query("feature_pruned", "series_id n_chosen:i n_kept:i", "SELECT series_id, LEN(pos) AS n_chosen, LEN(list_filter(alive, lambda a: a)) AS n_kept FROM kept JOIN chosen USING (series_id)")
 def feature_pruned(spark, sf):
     fits = pn.news_effect(spark, sf)[1]
     return fits.select("series_id", F.size("chosen").alias("n_chosen"), F.size("kept").alias("n_kept"))
 
 
-@query("news_effect", "series_id date:d segment:i media_logret:6 media_logret_oof:6 media_effect:1 media_effect_oof:1")
+@query("news_effect", "series_id date:d segment:i media_logret:6 media_logret_oof:6 media_effect:0 media_effect_oof:0", "SELECT * FROM screened_effect")
 def news_effect(spark, sf):
     return pn.news_effect(spark, sf)[0]
 
 
-@query("news_effect_coefficients", "series_id feature coef:6 coef_abs:6 mean:6 scale:6")
+@query("news_effect_coefficients", "series_id feature coef:6 coef_abs:6 mean:5 scale:5", f"""
+SELECT *, ABS(coef) AS coef_abs FROM (SELECT series_id, [{', '.join(repr(c) for c in _CANDS)}][pos[i] + 1] AS feature, g[1][i + 1] / g[1][1] AS mean, w[i] * sd AS coef, sd AS scale FROM (
+  SELECT *, SQRT((g[i + 1][i + 1] - g[1][i + 1] * g[1][i + 1] / g[1][1]) / g[1][1]) AS sd FROM (SELECT series_id, pos, w, g, alive, UNNEST(RANGE(1, 61)) AS i FROM screened_ridge JOIN chosen USING (series_id) WHERE fold = 0) WHERE alive[i]))""")
 def news_effect_coefficients(spark, sf):
     return md.coefficient_table(pn.news_effect(spark, sf)[1], ["series_id"], _CANDS, chosen="chosen")
 
 
-@query("news_effect_summary", "series_id n mae:6 rmse:6 r2:6 abs_effect:0 mean_abs_logret:6")
+@query("news_effect_summary", "series_id n mae:6 rmse:6 r2:6 abs_effect:0 mean_abs_logret:6", f"""
+SELECT * FROM (SELECT series_id, {_METRICS} FROM (SELECT series_id, abnormal_logret AS y, media_logret_oof AS p FROM screened_effect) WHERE p IS NOT NULL GROUP BY 1)
+JOIN (SELECT series_id, SUM(ABS(media_effect)) AS abs_effect, AVG(ABS(media_logret)) AS mean_abs_logret FROM screened_effect GROUP BY 1) USING (series_id)""")
 def news_effect_summary(spark, sf):
     daily = pn.news_effect(spark, sf)[0]
     sums = daily.groupBy("series_id").agg(
