@@ -19,7 +19,7 @@ from pulsepanel.functions.pvalues import (
 )
 from pulsepanel.operators.aggregates import pearson_over
 from pulsepanel.operators.gram import VECTOR, by_segment, gram, ols, segment_sums, solve_rows, vector
-from pulsepanel.operators.joins import argmax_abs, number_rows
+from pulsepanel.operators.joins import argmax_abs
 from pulsepanel.operators.windows import ordered, running
 
 GRANGER_LAGS = (1, 2, 3, 5, 7, 14)

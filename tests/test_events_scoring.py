@@ -201,3 +201,23 @@ def test_articles_join_every_open_window_once(spark):
     rec = spark.createDataFrame([("r1", days(3)[1], "u1"), ("r1", days(3)[1], "u1"), ("r2", days(9)[8], "u2")], "record_id string, date date, source_url string")
     got = sorted((r.record_id, r.event_id, r.window_key) for r in ev.event_articles(rec, w).collect())
     assert got == [("r1", "e1", "p:e1:2021-01-01_2021-01-03"), ("r1", "e2", "p:e2:2021-01-02_2021-01-05")]
+
+
+def test_training_threshold_does_not_see_later_days(spark):
+    rows = [("a", d, float(i), 0.01) for i, d in enumerate(days(20))]
+    df = spark.createDataFrame(rows, "series_id string, date date, score double, logret double")
+    full = bt.strategy_returns(df.withColumnRenamed("logret", "ret"), 0.5).first().threshold
+    early = bt.strategy_returns(df.withColumnRenamed("logret", "ret"), 0.5, train_until=str(days(20)[10])).first().threshold
+    assert (full, early) == (9.5, 4.5)
+
+
+def test_component_index_scales_test_rows_by_training_moments(spark):
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(40, 3))
+    pdf = pd.DataFrame({"series_id": "a", "date": days(40), "z_volume": z[:, 0], "z_tone": z[:, 1], "z_resid": z[:, 2]})
+    out = vd.oos_index_components(spark.createDataFrame(pdf).repartition(3), str(days(40)[25])).orderBy("date").toPandas()
+    tr = z[:25]
+    own = np.clip((z - tr.mean(0)) / tr.std(0), -3, 3)
+    other = np.clip((z - tr.mean(0)) / tr.std(0, ddof=1), -3, 3)
+    raw = np.where(np.arange(40)[:, None] < 25, own, other) @ np.array([0.25, 0.2, 0.2])
+    np.testing.assert_allclose(out.oos_score, 1 / (1 + np.exp(-raw)), atol=1e-12)

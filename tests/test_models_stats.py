@@ -288,3 +288,19 @@ def test_unit_root_probabilities_agree_with_critical_values():
     assert pv.unit_root_pvalue(-2.86154, 1) == pytest.approx(0.05, abs=2e-3)
     assert pv.unit_root_pvalue(-3.33613, 2) == pytest.approx(0.05, abs=2e-3)
     assert pv.unit_root_pvalue(5.0) == 1.0 and pv.unit_root_pvalue(-30.0) == 0.0
+
+
+def test_model_frame_options(spark):
+    rng = np.random.default_rng(6)
+    n = 60
+    pdf = pd.DataFrame({
+        "series_id": "a", "date": [START + dt.timedelta(days=i) for i in range(n)], "price": np.exp(np.cumsum(rng.normal(size=n) * 0.1)),
+        "mcap": 1.0, **{c: np.exp(rng.normal(size=n)) for c in md.CONTROLS}})
+    df = spark.createDataFrame(pdf).withColumn("ctl_n", F.when(F.dayofmonth("date") % 2 == 0, F.col("ctl_n")))
+    plain = md.prepare_model_frame(df)
+    more = md.prepare_model_frame(df, include_regime=True, months=True)
+    assert "regime" not in plain.columns and {"regime", "m_2", "m_12"} <= set(more.columns)
+    # 30 returns fill the volatility, its lag needs one row more, and row 0 has no return.
+    assert plain.count() == more.count() == n - 31
+    assert md.prepare_model_frame(df, ffill=False).count() == 0
+    assert all(r.regime == (1 if r.logret > 0 else -1) for r in more.collect())
