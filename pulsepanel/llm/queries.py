@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsepanel.llm import langid, lines, mixing, packing, simhash
+from pulsepanel.llm import langid, lines, mixing, packing, pivots, simhash, vafile
 from pulsepanel.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(table(spark, sf_dir, "documents"))
 
 
+def op2_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vafile.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
@@ -33,6 +38,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", first.alias("position")).orderBy("position", "doc_id")
 
 
+def op7_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -61,5 +70,17 @@ FROM marked GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op5_packing, op6_mixing, op8_simhash, op9_line_dedup)}
-SQL = {"op6_mixing": mixing.SQL, "op9_line_dedup": LINES_SQL}
+    f.__name__: f for f in (op1_language, op2_vector_topk, op5_packing, op6_mixing, op7_pivot_dedup, op8_simhash, op9_line_dedup)}
+VECTORS_SQL = """
+WITH usable AS (
+  SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(CAST(x AS DOUBLE))]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+SQL = {"op2_vector_topk": VECTORS_SQL, "op6_mixing": mixing.SQL, "op9_line_dedup": LINES_SQL}
