@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsepanel.llm import langid, lines, mixing, packing, pivots, simhash, vafile
+from pulsepanel.llm import langid, lines, mixing, packing, passages, pieces, pivots, simhash, templates, vafile
 from pulsepanel.llm.common import table
 
 
-def vocabulary() -> str:
-    """The byte-level vocabulary's file, from the installed package of public tokenizers."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary's file, from the installed package of public tokenizers."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op2_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
@@ -52,6 +60,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 LINES_SQL = r"""
 WITH cut AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
@@ -70,7 +82,7 @@ FROM marked GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op2_vector_topk, op5_packing, op6_mixing, op7_pivot_dedup, op8_simhash, op9_line_dedup)}
+    f.__name__: f for f in (op1_language, op2_vector_topk, op3_html_text, op4_token_counts, op5_packing, op6_mixing, op7_pivot_dedup, op8_simhash, op9_line_dedup, op10_passages)}
 VECTORS_SQL = """
 WITH usable AS (
   SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
