@@ -86,7 +86,9 @@ class Model:
                 for c, to in out.items():
                     t[s, c] = to
             restart = np.where(t[0] >= 0, t[0], len(step))
-            t = np.where(t >= 0, (t * width + base), (restart * width + base) | (1 << 31))
+            first = restart * width + base
+            t = np.where(t >= 0, t * width + base, first | (1 << 31))
+            t[0] = first  # the root is left by a block's first letter, which ends no phrase
             t[:, 0] = base
             tables.append(t.astype(np.uint32).view(np.int32).ravel())
             self.roots.append(base)

@@ -135,7 +135,7 @@ def simhash_groups(docs: DataFrame, words: int = 3, max_distance: int = 2, segme
     return prints.join(roots.join(low, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, **options) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 3, **options) -> DataFrame:
     """The documents without all but one of each near-duplicate group: the row with the smallest id stays.
 
     Rows without an id stay (they can't be told apart).  Of rows that repeat
