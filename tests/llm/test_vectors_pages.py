@@ -87,7 +87,7 @@ def test_recall_on_the_given_table(spark):
 
 
 def test_empty_vectors(spark):
-    none = frame(spark, vectors(5)).where("vec_id < 0")
+    none = frame(spark, vectors(80)).where("vec_id < 0")
     assert vafile.top_k(none, none).count() == 0 and pivots.near_duplicates(none).count() == 0
 
 
