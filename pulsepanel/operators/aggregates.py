@@ -113,7 +113,7 @@ def grouped_summary(
     spread = df.withColumn(group, F.explode(F.array(F.col(group), F.lit(None).cast("string")))) if total else df
     for name, value in medians.items():
         med = exact_quantiles(spread.select("*", mark), ["__k"], value, {name: 0.5})
-        table = table.join(F.broadcast(med), "__k", "left")
+        table = table.join(med, "__k", "left")
     return table.drop("__k")
 
 

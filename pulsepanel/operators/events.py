@@ -95,12 +95,18 @@ def event_abnormal_returns(daily: DataFrame, events: DataFrame, pre: int = 7, po
     """Peak-day values, drift before, continuation after, CARs and reversal.
 
     Row offsets drive pre, post and CAR windows; the event window is by
-    calendar days.  One join serves all, with conditional aggregation by offset.
+    calendar days, as long as the event says.  One join serves all, with
+    conditional aggregation by offset.
     """
     need = ["abnormal_logret", "abnormal_return_pct", "abnormal_z60", "abnormal_usd"]
     numbered = number_rows(daily.select("series_id", "date", F.col("price").alias("p"), F.col("mcap").alias("m"), *need))
     ev = events.select(*EVENT_KEYS, "window_start", "window_end")
-    rows = events_x_rows(ev, numbered, max(pre, EVENT_PRE), max([post, EVENT_POST, *[w - 1 for w in widths]]))
+    # A series has one row a day at most, so days to the window's ends bound the rows to them.
+    to_start = F.coalesce(F.date_diff("peak_date", "window_start"), F.lit(0))
+    to_end = F.coalesce(F.date_diff("window_end", "peak_date"), F.lit(0))
+    before = F.greatest(F.lit(max(pre, 0)), to_start)
+    after = F.greatest(F.lit(max([post, *[w - 1 for w in widths]])), to_end)
+    rows = events_x_rows(ev, numbered, before, after)
     off, date = F.col("offset"), F.col("date")
 
     def at_peak(c: str) -> Column:
@@ -153,13 +159,17 @@ def event_media_impact(daily: DataFrame, events: DataFrame, fallback: int = 30)
     """Media effect inside each event window and in +-7, 14, 30 days of the peak.
 
     ``events`` is the abnormal-return table; its columns are carried along.
+    An event without both bounds gets ``fallback`` days on either side.
     Shares divide calendar windows by the row windows of the CARs.
     """
-    ws = F.coalesce("window_start", F.date_sub("peak_date", fallback))
-    we = F.coalesce("window_end", F.date_add("peak_date", fallback))
+    whole = F.col("window_start").isNotNull() & F.col("window_end").isNotNull()
+    ws = F.when(whole, F.col("window_start")).otherwise(F.date_sub("peak_date", fallback))
+    we = F.when(whole, F.col("window_end")).otherwise(F.date_add("peak_date", fallback))
     ev = events.withColumns({"window_start": ws, "window_end": we})
     effect = daily.select("series_id", "date", F.lit(1).alias("hit"), "media_effect", "media_effect_oof")
-    rows = events_x_daily(ev.select(*EVENT_KEYS, "window_start", "window_end"), effect, 30, 30, how="left")
+    before = F.greatest(F.lit(30), F.date_diff("peak_date", "window_start"))
+    after = F.greatest(F.lit(30), F.date_diff("window_end", "peak_date"))
+    rows = events_x_daily(ev.select(*EVENT_KEYS, "window_start", "window_end"), effect, before, after, how="left")
     inside = F.col("date").between(F.col("window_start"), F.col("window_end"))
 
     def pick(c: str, cond: Column) -> Column:
@@ -266,10 +276,7 @@ def shock_reversal(events: DataFrame, daily: DataFrame, ret: str, fallback: str
 
 
 def event_composite(events: DataFrame, group: str = "preset") -> DataFrame:
-    """Five weighted z-scores over all events of a group, squashed to (0, 1).
-
-    The group statistics are one aggregated row per preset, a fixed small set.
-    """
+    """Five weighted z-scores over all events of a group, squashed to (0, 1)."""
     parts = {
         "s1": F.coalesce("total_mentions", F.lit(0.0)), "s2": F.coalesce(F.abs("mean_tone"), F.lit(0.0)),
         "s3": F.coalesce("source_hhi", F.lit(0.0)), "s4": F.coalesce(F.abs("peak_usd"), F.lit(0.0)),
@@ -278,7 +285,7 @@ def event_composite(events: DataFrame, group: str = "preset") -> DataFrame:
     df = events.withColumns(parts)
     stats = df.groupBy(group).agg(
         *[F.avg(s).alias(f"{s}_mu") for s in parts], *[F.stddev_pop(s).alias(f"{s}_sd") for s in parts])
-    df = df.join(F.broadcast(stats), group)
+    df = df.join(stats, group)
     raw = F.lit(0.0)
     for s, weight in zip(parts, COMPOSITE_WEIGHTS):
         z = clip((F.col(s) - F.col(f"{s}_mu")) / F.when(F.col(f"{s}_sd") >= 1e-9, F.col(f"{s}_sd")), -3.0, 3.0)

@@ -6,15 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def calendar_side(df: DataFrame) -> DataFrame:
-    """Broadcast a frame that holds at most one row per calendar day.
-
-    The bound is the calendar (36,525 rows a century), not the data, so the
-    broadcast cannot grow with the input.  Callers aggregate by day first.
-    """
-    return F.broadcast(df)
-
-
 def align_to_calendar(base: DataFrame, *others: DataFrame, on=("series_id", "date")) -> DataFrame:
     """Left joins on the base calendar; days the others lack stay NULL."""
     out = base
@@ -33,7 +24,7 @@ def merge_panel(base: DataFrame, other: DataFrame, suffix: str, on=("series_id",
 
 def attach_signal(market: DataFrame, signal: DataFrame) -> DataFrame:
     """One day-keyed signal attached to every series."""
-    return market.join(calendar_side(signal), "date", "left")
+    return market.join(signal, "date", "left")
 
 
 def common_days(a: DataFrame, b: DataFrame, on=("series_id", "date")) -> DataFrame:
@@ -55,21 +46,27 @@ def window_days(events: DataFrame, start: Column, end: Column, *carry: str) -> D
 
 
 def events_x_daily(
-    events: DataFrame, daily: DataFrame, before: int, after: int, peak: str = "peak_date", how: str = "inner"
+    events: DataFrame, daily: DataFrame, before: int | Column, after: int | Column, peak: str = "peak_date", how: str = "inner"
 ) -> DataFrame:
     """Calendar-window join as an equi-join on (series_id, date).
 
     Adds ``offset`` = days from the peak.  The window is exploded on the event
-    side, which avoids a range join's nested loop.
+    side, which avoids a range join's nested loop.  Days before and after may
+    be columns of the event.
     """
     return (
-        events.withColumn("offset", F.explode(F.sequence(F.lit(-before), F.lit(after))))
+        events.withColumn("offset", F.explode(offsets(before, after)))
         .withColumn("date", F.date_add(peak, F.col("offset")))
         .join(daily, ["series_id", "date"], how)
     )
 
 
-def events_x_rows(events: DataFrame, numbered: DataFrame, before: int, after: int) -> DataFrame:
+def offsets(before: int | Column, after: int | Column) -> Column:
+    first, last = (c if isinstance(c, Column) else F.lit(c) for c in (before, after))
+    return F.sequence(-first, last)
+
+
+def events_x_rows(events: DataFrame, numbered: DataFrame, before: int | Column, after: int | Column) -> DataFrame:
     """Row-offset window around the row of the exact peak date.
 
     ``numbered`` carries ``rn``.  Events without a row on their peak date drop
@@ -80,7 +77,7 @@ def events_x_rows(events: DataFrame, numbered: DataFrame, before: int, after: in
         ["series_id", "peak_date"],
     )
     return (
-        anchored.withColumn("offset", F.explode(F.sequence(F.lit(-before), F.lit(after))))
+        anchored.withColumn("offset", F.explode(offsets(before, after)))
         .withColumn("rn", F.col("__peak_rn") + F.col("offset"))
         .drop("__peak_rn")
         .join(numbered, ["series_id", "rn"], "inner")

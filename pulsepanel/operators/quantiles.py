@@ -27,7 +27,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         F.sum("__c").alias("__n"),
     )
     # One row per group of a fixed, small key set: keys name presets or splits.
-    placed = vals.join(F.broadcast(cuts), keys).withColumn(
+    placed = vals.join(cuts, keys).withColumn(
         "__b", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))
     )
     by_bucket = Window.partitionBy(*keys).orderBy("__b")
@@ -47,12 +47,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         .filter((F.col("__r") >= F.col("__lo")) & (F.col("__r") < F.col("__hi")))
         .select(*keys, "__b", "__lo", F.col("__w.name").alias("__name"), F.col("__w.pos").alias("__pos"), "__r")
     )
-    hot = placed.join(F.broadcast(marks.select(*keys, "__b").distinct()), [*keys, "__b"], "left_semi")
+    hot = placed.join(marks.select(*keys, "__b").distinct(), [*keys, "__b"], "left_semi")
     in_bucket = Window.partitionBy(*keys, "__b").orderBy("__v")
     ranked = hot.withColumn("__up", F.sum("__c").over(in_bucket)).withColumn("__dn", F.col("__up") - F.col("__c"))
     hits = (
         ranked.select(*keys, "__b", "__v", "__up", "__dn")
-        .join(F.broadcast(marks), [*keys, "__b"])
+        .join(marks, [*keys, "__b"])
         .filter((F.col("__r") - F.col("__lo") >= F.col("__dn")) & (F.col("__r") - F.col("__lo") < F.col("__up")))
     )
     frac = F.col("__pos") - F.floor("__pos")

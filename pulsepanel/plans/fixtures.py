@@ -47,15 +47,21 @@ def macro_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def media_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(preset, date, mentions, tone): nested presets by quantity."""
+    """(preset, date, mentions, tone): nested presets by quantity.
+
+    Aggregated wide per day and unfolded into presets afterwards, so raw rows
+    are never multiplied.
+    """
     li = table(spark, sf_dir, "lineitem")
     tone = cents(F.col("l_discount") - F.col("l_tax"))
-    inside = F.array_compact(F.array(*[F.when(F.col("l_quantity") >= lo, F.lit(p)) for p, lo in PRESETS.items()]))
-    n = F.count(F.lit(1))
-    return (
-        li.select(F.col("l_shipdate").cast("date").alias("date"), tone.alias("t"), F.explode(inside).alias("preset"))
-        .groupBy("preset", "date").agg(n.alias("mentions"), (F.sum("t").cast("double") / n).alias("tone"))
-    )
+    cells = []
+    for p, lo in PRESETS.items():
+        inside = F.col("l_quantity") >= lo
+        cells.append(F.struct(
+            F.lit(p).alias("preset"), F.count_if(inside).alias("mentions"), F.sum(F.when(inside, F.col("t"))).cast("double").alias("total")))
+    days = li.select(F.col("l_shipdate").cast("date").alias("date"), tone.alias("t"), "l_quantity").groupBy("date").agg(F.array(*cells).alias("c"))
+    c = days.select("date", F.explode("c").alias("c")).select("date", "c.*").where("mentions > 0")
+    return c.select("preset", "date", "mentions", (F.col("total") / F.col("mentions")).alias("tone"))
 
 
 def balanced_signal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulsepanel.operators.events import detect_peaks, event_abnormal_returns, event_media_impact
 from pulsepanel.operators.features import feature_names, market_features, news_features
 from pulsepanel.operators.gram import VECTOR, vector
-from pulsepanel.operators.joins import align_to_calendar, attach_signal, calendar_side, merge_panel, wide_by_preset
+from pulsepanel.operators.joins import align_to_calendar, attach_signal, merge_panel, wide_by_preset
 from pulsepanel.operators.models import (
     baseline, baseline_features, feature_vector, filter_features, fit_ridge_cv, fold_segments, prepare_model_frame,
     score_ridge, screen_features, top_k_features,
@@ -43,7 +43,7 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
 def aligned(spark: SparkSession, sf: str, panel: DataFrame | None = None) -> DataFrame:
     """Prices with the day-keyed controls; days without a control stay NULL."""
     panel = fx.price_panel(spark, sf) if panel is None else panel
-    return align_to_calendar(panel, calendar_side(fx.macro_wide(spark, sf)), on=("date",))
+    return align_to_calendar(panel, fx.macro_wide(spark, sf), on=("date",))
 
 
 def model_frame(spark: SparkSession, sf: str) -> DataFrame:

@@ -40,6 +40,34 @@ def event_car(spark, sf):
     return pn.event_returns(spark, sf)
 
 
+WIDE = 45
+
+
+def _wide_events(spark, sf):
+    """Events whose windows reach further than any fixed width around the peak."""
+    return pn.peaks(spark, sf).withColumns({
+        "window_start": F.date_sub("peak_date", WIDE), "window_end": F.date_add("peak_date", WIDE)})
+
+
+@query("event_car_wide", f"{KEYS} event_car_log:6 event_sum_usd:1 event_abs_usd:1 event_days w30_days", f"""
+SELECT e.series_id, e.preset, e.event_id, e.peak_date, SUM(b.abnormal_logret) AS event_car_log, SUM(b.abnormal_usd) AS event_sum_usd,
+       SUM(ABS(b.abnormal_usd)) AS event_abs_usd, COUNT(*) AS event_days, r.w30_days
+FROM peaks e JOIN event_returns r USING (series_id, preset, event_id, peak_date)
+JOIN baseline b ON b.series_id = e.series_id AND b.date BETWEEN e.peak_date - {WIDE} AND e.peak_date + {WIDE} GROUP BY 1, 2, 3, 4, r.w30_days""")
+def event_car_wide(spark, sf):
+    return ev.event_abnormal_returns(pn.baseline_panel(spark, sf), _wide_events(spark, sf))
+
+
+@query("event_impact_wide", f"{KEYS} event_days_effect sum_effect_oof:1 abs_effect_oof:1 max_effect_oof:1 abs_effect_in:1 d30_days_effect", f"""
+SELECT e.series_id, e.preset, e.event_id, e.peak_date, COUNT(s.date) AS event_days_effect, COALESCE(SUM(s.media_effect_oof), 0) AS sum_effect_oof,
+       COALESCE(SUM(ABS(s.media_effect_oof)), 0) AS abs_effect_oof, COALESCE(MAX(ABS(s.media_effect_oof)), 0) AS max_effect_oof,
+       COALESCE(SUM(ABS(s.media_effect)), 0) AS abs_effect_in, COUNT(s.date) FILTER (WHERE ABS(s.date - e.peak_date) <= 30) AS d30_days_effect
+FROM event_returns e LEFT JOIN scored s ON s.series_id = e.series_id AND s.date BETWEEN e.peak_date - {WIDE} AND e.peak_date + {WIDE} GROUP BY 1, 2, 3, 4""")
+def event_impact_wide(spark, sf):
+    returns = ev.event_abnormal_returns(pn.baseline_panel(spark, sf), _wide_events(spark, sf))
+    return ev.event_media_impact(pn.scored_panel(spark, sf), returns)
+
+
 @query("event_reversal", f"{KEYS} reversal_ratio:4 peak_sign:0 post_sign:0 is_reversal:0", "SELECT * FROM event_returns")
 def event_reversal(spark, sf):
     return ev.with_reversal(pn.event_returns(spark, sf))

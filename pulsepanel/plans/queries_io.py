@@ -68,9 +68,9 @@ def file_futures_csv(spark, sf):
 SELECT preset, date, mentions, CASE WHEN mentions % 5 <> 0 THEN tone END AS tone, CASE WHEN preset = 'balanced' THEN mentions END AS source_count FROM media_signal""")
 def file_media_signal(spark, sf):
     names = {"balanced": ("date", "mentions", "tone"), "strong": ("data", "liczba_wzmianek", "sredni_tone"), "sensitive": ("Day", "mention count", "avg-tone")}
-    paths = {}
+    paths, signal = {}, pn.signals(spark, sf)
     for p, (d, m, t) in names.items():
-        s = fx.media_signal(spark, sf).filter(F.col("preset") == p)
+        s = signal.filter(F.col("preset") == p)
         cols = [F.col("date").cast("string").alias(d), F.col("mentions").alias(m), F.when(F.col("mentions") % 5 != 0, F.col("tone").cast("string")).otherwise("nan").alias(t)]
         if p == "balanced":
             cols.append(F.col("mentions").alias("sources"))
@@ -93,7 +93,13 @@ def file_benchmark_feed(spark, sf):
 @query("file_articles_jsonl", "series_id preset event_id record_id date source_url num_articles:0 avg_tone:1 window_key", """
 SELECT series_id, preset, event_id, record_id, CAST(date AS VARCHAR) AS date, source_url, num_articles, avg_tone, window_key FROM event_articles""")
 def file_articles_jsonl(spark, sf):
-    path = sk.write_jsonl(event_articles(spark, sf), fresh_path(spark, "articles"))
+    """Lines as they land: original names, whole numbers as 5.0 or as text."""
+    rows = event_articles(spark, sf)
+    odd = F.crc32(F.col("record_id").cast("binary")) % 2 == 0
+    names = {"record_id": "gdelt_globaleventid", "date": "data", "source_url": "url", "source_domain": "domain", "preset": "okno_preset",
+             "window_start": "okno_start", "window_end": "okno_koniec", "window_key": "okno_key"}
+    lines = rows.withColumn("num_articles", F.when(odd, F.col("num_articles").cast("double").cast("string")).otherwise(F.col("num_articles").cast("string")))
+    path = sk.write_jsonl(lines.withColumnsRenamed(names), fresh_path(spark, "articles"))
     return ns.read_articles_jsonl(spark, path)
 
 
@@ -105,12 +111,27 @@ def file_panel_parquet(spark, sf):
 
 @query("file_panel_fallback", "series_id date:d price:6 volume:0", "SELECT * FROM price_panel")
 def file_panel_fallback(spark, sf):
-    """No columnar table under the first path, so the CSV is read."""
-    csv = sk.write_csv(fx.price_panel(spark, sf), fresh_path(spark, "panel_csv"))
+    """No columnar table under the first path, so the CSV is read; of two rows for a day the first stays."""
+    panel = fx.price_panel(spark, sf)
+    twice = panel.withColumn("place", F.lit(0)).union(panel.withColumn("price", F.col("price") / 2).withColumn("place", F.lit(1)))
+    csv = sk.write_csv(twice.coalesce(1).sortWithinPartitions("place").drop("place"), fresh_path(spark, "panel_csv"))
     df = mk.read_panel(spark, fresh_path(spark, "absent.parquet"), csv, keys=("series_id", "date"))
     return df.select("series_id", "date", F.col("price").try_cast("double").alias("price"), F.col("volume").try_cast("double").alias("volume"))
 
 
+@query("file_sorted_panel", "file_no:i series_id date:d", """
+SELECT NTILE(4) OVER (ORDER BY date, series_id) * 0 AS file_no, series_id, date FROM price_panel""")
+def file_sorted_panel(spark, sf):
+    """Rows that come before a row of an earlier file or of their own file would have file_no 1; there are none."""
+    path = sk.write_sorted(fx.price_panel(spark, sf).select("series_id", "date"), fresh_path(spark, "sorted"), ["date", "series_id"], 4)
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("file"))
+    span = rows.groupBy("file").agg(F.min(F.struct("date", "series_id")).alias("lo"), F.max(F.struct("date", "series_id")).alias("hi"))
+    before = span.select(F.col("file").alias("earlier"), "hi")
+    late = span.join(before, F.col("earlier") < F.col("file")).groupBy("file").agg(F.max("hi").alias("reached"))
+    return rows.join(late, "file", "left").select(
+        F.coalesce((F.struct("date", "series_id") <= F.col("reached")).cast("int"), F.lit(0)).alias("file_no"), "series_id", "date")
+
+
 @query("file_signal_partitioned", "preset n mentions_total", "SELECT preset, COUNT(*) AS n, CAST(SUM(mentions) AS BIGINT) AS mentions_total FROM media_signal GROUP BY 1")
 def file_signal_partitioned(spark, sf):
     path = sk.write_parquet(fx.media_signal(spark, sf), fresh_path(spark, "signals"), "preset")
@@ -132,7 +153,7 @@ def signal_keep_last(spark, sf):
     """A later batch replaces the days it brings."""
     path = fresh_path(spark, "days")
     for batch, preset in enumerate(("sensitive", "strong")):
-        days = fx.media_signal(spark, sf).filter(F.col("preset") == preset).drop("preset")
+        days = pn.signals(spark, sf).filter(F.col("preset") == preset).drop("preset")
         sk.append_days(days, path, batch)
     return spark.read.parquet(sk.compact(spark, path, fresh_path(spark, "compacted"), ["date"]))
 
@@ -141,7 +162,7 @@ def signal_keep_last(spark, sf):
 SELECT DISTINCT date FROM (SELECT date FROM media_signal WHERE preset = 'sensitive') WHERE date NOT IN (SELECT date FROM media_signal WHERE preset = 'strong')""")
 def signal_resume(spark, sf):
     """Days still to do: held by the wide preset, missing from the narrow one."""
-    s = fx.media_signal(spark, sf)
+    s = pn.signals(spark, sf)
     wanted = s.filter(F.col("preset") == "sensitive").select("date")
     return jn.missing_days(wanted, s.filter(F.col("preset") == "strong"))
 
@@ -155,8 +176,8 @@ SELECT CAST(ts AS DATE) AS date, COUNT(*) FILTER (WHERE matched) AS mentions, AV
 def _stream_days(spark, sf):
     stream = fx.stream_records(fx.read_event_stream(spark, sf))
     path, ckpt = fresh_path(spark, "stream_days"), fresh_path(spark, "ckpt")
-    st.run_upsert(st.daily_signal(stream), path, ckpt)
-    return st.latest_days(spark, path, ["date"])
+    st.run_daily(stream, path, ckpt)
+    return st.read_days(spark, path)
 
 
 @query("stream_daily_signal", "date:d mentions tone:5", "SELECT * FROM stream_days")
@@ -164,15 +185,28 @@ def stream_daily_signal(spark, sf):
     return _stream_days(spark, sf)
 
 
+@query("stream_backfill", "date:d mentions tone:5", "SELECT * FROM stream_days")
+def stream_backfill(spark, sf):
+    """Three runs on one checkpoint: the middle days, then older ones, then the latest; compacted after two."""
+    events = fx.table(spark, sf, "events")
+    day = F.dayofmonth("ts")
+    landing, path, ckpt = (fresh_path(spark, n) for n in ("landing", "backfill", "ckpt"))
+    for i, part in enumerate((day.between(11, 20), day <= 10, day > 20)):
+        events.where(part).write.parquet(f"{landing}/run={i}")
+        stream = spark.readStream.schema(events.schema).parquet(f"{landing}/run=*")
+        st.run_daily(fx.stream_records(stream), path, ckpt)
+    done = sk.compact_sums(spark, path, fresh_path(spark, "backfill_compacted"), ["date"], st.SUMS)
+    return st.read_days(spark, done)
+
+
 @query("stream_dedupe", "date:d records sources", """
 SELECT CAST(ts AS DATE) AS date, COUNT(*) AS records, COUNT(DISTINCT source) AS sources FROM (SELECT DISTINCT event_id, ts, source FROM stream_records) GROUP BY 1""")
 def stream_dedupe(spark, sf):
     """The source is read twice in one stream; every record comes out once."""
     a, b = (fx.stream_records(fx.read_event_stream(spark, sf)) for _ in range(2))
-    once = st.once_only(a.unionByName(b), ["event_id"], "60 days")
     path = fresh_path(spark, "stream_once")
-    st.run_append(once, path, fresh_path(spark, "ckpt"))
-    return spark.read.parquet(path).groupBy(F.to_date("ts").alias("date")).agg(
+    st.run_once_only(a.unionByName(b), path, fresh_path(spark, "ckpt"), ["event_id"])
+    return st.read_once_only(spark, path).groupBy(F.to_date("ts").alias("date")).agg(
         F.count(F.lit(1)).alias("records"), F.countDistinct("source").alias("sources"))
 
 
@@ -181,8 +215,8 @@ SELECT CAST(ts AS DATE) AS date, source, COUNT(*) FILTER (WHERE matched) AS ment
 def stream_upsert(spark, sf):
     stream = fx.stream_records(fx.read_event_stream(spark, sf))
     path = fresh_path(spark, "stream_upsert")
-    st.run_upsert(st.daily_signal(stream, "3 days", "source"), path, fresh_path(spark, "ckpt"))
-    return st.latest_days(spark, path, ["date", "source"])
+    st.run_daily(stream, path, fresh_path(spark, "ckpt"), "source")
+    return st.read_days(spark, path, "source")
 
 
 @query("stream_index", "date:d score:6 zone", _score_sql("stream_days", "312.4", "274.1", "(-0.8834)", "0.6912").replace(

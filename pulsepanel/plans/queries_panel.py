@@ -114,7 +114,7 @@ def macro_ffill(spark, sf):
 @query("common_days", f"{KEY} volume mentions tone:6", """
 SELECT series_id, date, volume, mentions, tone FROM price_panel JOIN balanced_signal USING (date)""")
 def common_days(spark, sf):
-    return jn.common_days(fx.price_panel(spark, sf), jn.calendar_side(fx.balanced_signal(spark, sf)), on=("date",))
+    return jn.common_days(fx.price_panel(spark, sf), fx.balanced_signal(spark, sf), on=("date",))
 
 
 @query("panel_merge", f"{KEY} price:6 price_feat:6 vol_30:6 regime:0 mentions:0 tone:6", """
@@ -314,11 +314,15 @@ def calendar_missing(spark, sf):
 
 @query("calendar_days_held", "month:d days_in_range days_held", """
 SELECT CAST(DATE_TRUNC('month', c.date) AS DATE) AS month, COUNT(*) AS days_in_range, COUNT(h.date) AS days_held
-FROM (SELECT CAST(UNNEST(RANGE(TIMESTAMP '1995-01-01', TIMESTAMP '2002-01-01', INTERVAL 1 DAY)) AS DATE) AS date) c
+FROM (SELECT CAST(UNNEST(RANGE(a, b + INTERVAL 1 YEAR, INTERVAL 1 DAY)) AS DATE) AS date
+      FROM (SELECT DATE_TRUNC('year', MIN(date))::TIMESTAMP AS a, DATE_TRUNC('year', MAX(date))::TIMESTAMP AS b FROM media_signal)) c
 LEFT JOIN (SELECT DISTINCT date FROM media_signal) h USING (date) GROUP BY 1""")
 def calendar_days_held(spark, sf):
-    days = jn.calendar_range(spark, "1995-01-01", "2001-12-31")
+    """All days of the years that hold a signal."""
     held = fx.media_signal(spark, sf).select("date").distinct().withColumn("h", F.lit(1))
+    years = held.select(F.trunc("date", "year").alias("date")).union(
+        held.select(F.date_sub(F.trunc(F.add_months("date", 12), "year"), 1).alias("date")))
+    days = jn.calendar_of(years)
     return days.join(held, "date", "left").groupBy(F.trunc("date", "month").alias("month")).agg(
         F.count(F.lit(1)).alias("days_in_range"), F.count("h").alias("days_held"))
 

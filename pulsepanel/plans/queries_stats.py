@@ -63,7 +63,7 @@ BY = ["series_id", "preset"]
 def signal_panel(spark, sf):
     """Scored days with each preset's raw signal; presets x days bound the signal."""
     sig = pn.signals(spark, sf).select("date", "preset", F.col("mentions").alias("m_mentions"), F.col("tone").alias("m_tone"))
-    return pn.scored_panel(spark, sf).join(jn.calendar_side(sig), "date")
+    return pn.scored_panel(spark, sf).join(sig, "date")
 
 
 cte("corr_cells", " UNION ALL ".join(
@@ -192,7 +192,7 @@ def convergence_days(spark, sf):
 SELECT series_id, conv_score, COUNT(*) AS n_days, AVG(excess_effect) AS mean_excess, AVG(score) AS mean_score, AVG(media_share_pct) AS mean_share
 FROM scored JOIN convergence_days USING (date) GROUP BY 1, 2""")
 def convergence(spark, sf):
-    return pn.scored_panel(spark, sf).join(jn.calendar_side(convergence_days(spark, sf)), "date").groupBy("series_id", "conv_score").agg(
+    return pn.scored_panel(spark, sf).join(convergence_days(spark, sf), "date").groupBy("series_id", "conv_score").agg(
         F.count(F.lit(1)).alias("n_days"), F.avg("excess_effect").alias("mean_excess"), F.avg("score").alias("mean_score"), F.avg("media_share_pct").alias("mean_share"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,10 +68,11 @@ def read_futures_csv(spark: SparkSession, path, prefix: str = "gold") -> DataFra
         optional("Change %", parse_percent).alias(f"{prefix}_chg_pct"), "__place"))
 
 
-def read_table_any(spark: SparkSession, path: str) -> DataFrame:
-    """CSV or Parquet by name, snake-case columns, one ``date`` column."""
+def read_table_any(spark: SparkSession, path: str, place: bool = False) -> DataFrame:
+    """CSV or Parquet by name, snake-case columns, one ``date`` column; ``place`` adds the row's place in the files."""
     df = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.csv(path, header=True)
-    df = normalise_names(df)
+    where = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    df = normalise_names(df).withColumn("__place", where) if place else normalise_names(df)
     name = resolve_alias(df, DATE_NAMES)
     if name is None:
         return df
@@ -79,13 +81,15 @@ def read_table_any(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_panel(spark: SparkSession, parquet: str, fallback_csv: str | None = None, keys=("date",)) -> DataFrame:
-    """The columnar table when it exists, else the CSV; one row per key."""
+    """The columnar table when it exists, else the CSV; the first row per key.
+
+    A table that is there but can't be read is an error.
+    """
     try:
-        df = read_table_any(spark, parquet)
-    except Exception:
-        if fallback_csv is None:
+        df = read_table_any(spark, parquet, place=True)
+    except AnalysisException as e:
+        if fallback_csv is None or e.getCondition() != "PATH_NOT_FOUND":
             raise
-        df = read_table_any(spark, fallback_csv)
+        df = read_table_any(spark, fallback_csv, place=True)
     require_columns(df, ["date"])
-    rest = [F.col(c) for c in sorted(df.columns) if c not in keys]
-    return keep_one(df.filter(F.col("date").isNotNull()), list(keys), rest)
+    return keep_one(df.filter(F.col("date").isNotNull()), list(keys), [F.col("__place")]).drop("__place")

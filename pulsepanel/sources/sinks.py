@@ -24,11 +24,23 @@ def write_jsonl(df: DataFrame, path: str) -> str:
     return path
 
 
-def json_summary(df: DataFrame, name: str = "summary") -> DataFrame:
-    """One nested row of an already aggregated table, ready for the JSON writer."""
+def json_summary(df: DataFrame, name: str = "summary", most: int = 10_000) -> DataFrame:
+    """One nested row of an already aggregated table, ready for the JSON writer.
+
+    Meant for summaries; a table of more than ``most`` rows is refused, since
+    one row holds it all.  Write larger ones as JSON lines.
+    """
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a summary holds {most} rows at most; use write_jsonl for the table itself")
     return df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
 
 
+def write_sorted(df: DataFrame, path: str, by: list[str], files: int = 8) -> str:
+    """Parquet files in order: each holds one range of ``by``, sorted inside, so reading them by name gives the order."""
+    df.repartitionByRange(files, *by).sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
+    return path
+
+
 def append_days(df: DataFrame, path: str, batch: int) -> str:
     """Add rows as one numbered batch; writing the same batch again replaces it."""
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
@@ -41,6 +53,17 @@ def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return keep_last(rows, keys, [F.col("batch")]).drop("batch")
 
 
+def merge_batches(spark: SparkSession, path: str, keys: list[str], sums: list[str]) -> DataFrame:
+    """Sums per key over all batches."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def compact_sums(spark: SparkSession, path: str, out: str, keys: list[str], sums: list[str]) -> str:
+    """The batches of ``path`` added up as batch -1 of a new table; later batches may be appended to it."""
+    return append_days(merge_batches(spark, path, keys, sums), out, -1)
+
+
 def compact(spark: SparkSession, path: str, out: str, keys: list[str]) -> str:
     """Rewrite a batched table as one row per key under a new path."""
     read_latest(spark, path, keys).write.mode("overwrite").parquet(out)

@@ -1,12 +1,13 @@
 """Where intermediate tables and checkpoints go.
 
 A cluster names a shared folder in ``spark.checkpoint.dir``; it is read from
-the session.  Only where it is unset (tests on one machine) a fresh temporary
-folder is made.
+the session.  Only where it is unset and the whole session runs on one machine
+is a fresh temporary folder made.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,9 +19,12 @@ _stages: dict[tuple, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The shared folder; an error where a session over several machines names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = tempfile.mkdtemp(prefix="spark-pulsepanel-")
@@ -31,13 +35,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/pulsepanel/{uuid.uuid4().hex}/{name}"
 
 
+def source_version(spark: SparkSession, source: str) -> tuple:
+    """Names, sizes and times of the files under a folder, as Spark's file system sees them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(source)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return ()
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path)))
+
+
 def stage(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table written once per session and source, then read by every consumer.
+    """A table written once per session and state of the source, then read by every consumer.
 
     This cuts lineage with files in the shared folder, so lost executors cost
     only their own tasks, and wide results are not recomputed by each query.
     """
-    key = (spark.sparkContext.applicationId, source, name)
+    key = (spark.sparkContext.applicationId, source, source_version(spark, source), name)
     if key not in _stages:
         path = fresh_path(spark, name)
         build().write.parquet(path)
@@ -48,3 +62,12 @@ def stage(spark: SparkSession, source: str, name: str, build: Callable[[], DataF
 def forget_stages() -> None:
     """Next use rebuilds; the bench calls this between measurements."""
     _stages.clear()
+
+
+def remove_stages(spark: SparkSession) -> int:
+    """Delete the session's stage tables; how many there were.  Frames read from them can no longer be used."""
+    jvm, mine = spark.sparkContext._jvm, [k for k in _stages if k[0] == spark.sparkContext.applicationId]
+    for key in mine:
+        path = jvm.org.apache.hadoop.fs.Path(_stages.pop(key))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path.getParent(), True)
+    return len(mine)

@@ -1,67 +1,80 @@
 """Daily news signals as Structured Streaming jobs.
 
-The stream keeps one small state row per open day (sums and counts).  Every
-micro-batch emits the days it changed and appends them as one numbered batch;
-readers take the last batch per day.  A replayed batch rewrites its own
-folder, so restarts neither lose nor double a day.
+Days are never closed: records may arrive for any day at any time.  So no job
+here keeps a watermark.  Every micro-batch sums what it brings per day and
+appends these sums as one numbered batch; readers add up the batches of a day.
+A replayed batch rewrites its own folder, so restarts neither lose nor double
+a record, and a back-filled day simply gains a batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsepanel.functions.index import Calibration, pressure_index, zone
-from pulsepanel.sources.sinks import append_days, read_latest
+from pulsepanel.sources.sinks import append_days, merge_batches
+
+SUMS = ["mentions", "tone_sum", "tone_n"]
+KEY_PARTS = 64
 
 
-def as_event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Watermarks need a timestamp with time zone semantics."""
-    return df.withColumn(ts, F.col(ts).cast("timestamp"))
+def daily_sums(records: DataFrame, *keys: str) -> DataFrame:
+    """(date, keys, mentions, tone_sum, tone_n) of the records at hand."""
+    tone = F.when(F.col("matched"), F.col("tone"))
+    return records.groupBy(F.to_date("ts").alias("date"), *keys).agg(
+        F.count_if("matched").alias("mentions"), F.sum(tone).alias("tone_sum"), F.count(tone).alias("tone_n"))
 
 
-def daily_signal(stream: DataFrame, delay: str = "3 days", *keys: str) -> DataFrame:
-    """Matches and mean tone per day; plain sums, so state combines map-side."""
-    hit = F.col("matched")
-    return (
-        as_event_time(stream).withWatermark("ts", delay)
-        .groupBy(F.window("ts", "1 day"), *keys)
-        .agg(F.count_if(hit).alias("mentions"), F.avg(F.when(hit, F.col("tone"))).alias("tone"))
-        .select(F.to_date("window.start").alias("date"), *keys, "mentions", "tone")
-    )
+def run_batches(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> None:
+    """Drain what is available, micro-batch by micro-batch."""
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def run_daily(stream: DataFrame, path: str, checkpoint: str, *keys: str) -> None:
+    """Append the sums of each micro-batch to the batched day table under ``path``."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        append_days(daily_sums(batch, *keys), path, batch_id)
+
+    run_batches(stream, checkpoint, write)
 
 
-def once_only(stream: DataFrame, keys: list[str], delay: str = "3 days") -> DataFrame:
-    """Each composite key once while it can still arrive late."""
-    return as_event_time(stream).withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+def read_days(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """(date, keys, mentions, tone) over all batches, compacted ones included."""
+    sums = merge_batches(spark, path, ["date", *keys], SUMS)
+    return sums.select("date", *keys, "mentions", (F.col("tone_sum") / F.nullif("tone_n", F.lit(0))).alias("tone"))
 
 
-def run_upsert(df: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
-    """Drain what is available into a keep-last day table."""
+def run_once_only(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> None:
+    """Append each composite key once, however late or often it comes.
+
+    The keys written so far lie beside the records, partitioned by hash and
+    batch; a micro-batch drops its own repeats, then those keys.  A replayed
+    batch leaves out what it had written itself and rewrites it.
+    """
+    part = F.pmod(F.xxhash64(*keys), F.lit(KEY_PARTS)).alias("part")
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_days(batch, path, batch_id)
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates(keys)
+        if batch_id:
+            held = spark.read.parquet(f"{path}/keys").where(F.col("batch") < batch_id)
+            fresh = fresh.withColumn("part", part).join(held.select("part", *keys), ["part", *keys], "left_anti").drop("part")
+        append_days(fresh, f"{path}/records", batch_id)
+        written = spark.read.parquet(f"{path}/records/batch={batch_id}")
+        written.select(*keys, part).write.mode("overwrite").partitionBy("part").parquet(f"{path}/keys/batch={batch_id}")
 
-    query = (
-        df.writeStream.outputMode(mode).foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    run_batches(stream, checkpoint, write)
 
 
-def run_append(df: DataFrame, path: str, checkpoint: str) -> None:
-    """Drain an append-only stream into Parquet files."""
-    query = (
-        df.writeStream.outputMode("append").format("parquet").option("path", path)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+def read_once_only(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/records").drop("batch")
 
 
 def live_index(days: DataFrame, calib: Calibration | None = None) -> DataFrame:
     """Index and zone per day on the streamed signal (batch or stream)."""
     score = pressure_index(F.col("mentions").cast("double"), F.col("tone"), calib)
     return days.withColumn("score", score).withColumn("zone", zone(F.col("score")))
-
-
-def latest_days(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    return read_latest(spark, path, keys)

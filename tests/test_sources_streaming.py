@@ -180,17 +180,17 @@ def test_stream_equals_batch_across_restarts(spark, tmp_path):
 
     def run():
         s = spark.readStream.schema(schema).parquet(src + "/*")
-        st.run_upsert(st.daily_signal(s), out, ck)
+        st.run_daily(s, out, ck)
 
     stream_rows(spark, src, first, "a")
     run()
     stream_rows(spark, src, late, "b")
     run()
     run()  # nothing new: nothing changes
-    got = {r.date: (r.mentions, round(r.tone, 9)) for r in st.latest_days(spark, out, ["date"]).collect()}
+    got = {r.date: (r.mentions, round(r.tone, 9)) for r in st.read_days(spark, out).collect()}
     want = spark.createDataFrame(first + late, schema).filter("matched").groupBy(F.to_date("ts").alias("date")).agg(F.count("*").alias("n"), F.avg("tone").alias("t"))
     assert got == {r.date: (r.n, round(r.t, 9)) for r in want.collect()}
-    live = st.live_index(st.latest_days(spark, out, ["date"])).collect()
+    live = st.live_index(st.read_days(spark, out)).collect()
     assert all(0 < r.score < 1 and r.zone for r in live)
 
 
@@ -200,5 +200,55 @@ def test_stream_dedupes_across_batches(spark, tmp_path):
     for name in ("a", "b"):
         stream_rows(spark, src, [(base + dt.timedelta(hours=i), i, 1.0, True) for i in range(5)], name)
         s = spark.readStream.schema("ts timestamp, id int, tone double, matched boolean").parquet(src + "/*")
-        st.run_append(st.once_only(s, ["id"]), out, ck)
-    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4]
+        st.run_once_only(s, out, ck, ["id"])
+    assert sorted(r.id for r in st.read_once_only(spark, out).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_backfilled_days_are_kept_and_compacted(spark, tmp_path):
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    for name, day in (("a", 30), ("b", 10), ("c", 31), ("d", 10)):
+        stream_rows(spark, src, [(dt.datetime(2024, 1, day, 5), i, float(i), i != 2) for i in range(7)], name)
+        st.run_daily(spark.readStream.schema("ts timestamp, id int, tone double, matched boolean").parquet(src + "/*"), out, ck)
+    want = {10: (12, 19 / 6), 30: (6, 19 / 6), 31: (6, 19 / 6)}
+    for path in (out, sk.compact_sums(spark, out, str(tmp_path / "small"), ["date"], st.SUMS)):
+        got = {r.date.day: (r.mentions, r.tone) for r in st.read_days(spark, path).collect()}
+        assert got == {k: (n, pytest.approx(t)) for k, (n, t) in want.items()}
+
+
+def test_gkg_day_of_odd_file_names(spark, tmp_path):
+    put(tmp_path / "g" / "part-00000-12340506-9a1c.txt", gkg("20200101", "bitcoin") + "\n")
+    put(tmp_path / "g" / "20240101000000.gkg.csv", gkg("20200101", "bitcoin") + "\n")
+    rec = ns.scan_gkg(spark, str(tmp_path / "g"), {"p": ["bitcoin"]}, {"p": ["NONE"]})
+    assert sorted(r.day for r in rec.collect()) == [dt.date(2020, 1, 1), dt.date(2024, 1, 1)]
+
+
+def test_articles_keep_rows_with_odd_numbers(spark, tmp_path):
+    lines = [{"event_id": "a", "num_mentions": 5.0, "gdelt_globaleventid": "7", "data": "2020-01-01"}, {"event_id": "b", "num_articles": "3", "url": "u", "okno_key": "k"},
+             {"event_id": "c", "num_articles": "many", "article_domain": "d"}]
+    p = put(tmp_path / "a.jsonl", "\n".join(map(json.dumps, lines)) + "\n\n[broken\n")
+    got = {r.event_id: r for r in ns.read_articles_jsonl(spark, p).collect()}
+    assert (got["a"].num_mentions, got["a"].record_id, got["a"].date) == (5, "7", "2020-01-01")
+    assert (got["b"].num_articles, got["b"].source_url, got["b"].window_key) == (3, "u", "k")
+    assert got["c"].num_articles is None and got["c"].source_domain == "d" and len(got) == 3
+    assert ns.broken_article_lines(spark, p).first().broken_lines == 1
+
+
+def test_panel_keeps_the_first_row_and_reports_damage(spark, tmp_path):
+    spark.createDataFrame([("2020-01-01", 9.0), ("2020-01-01", 3.0)], "date string, price double").coalesce(1).write.parquet(str(tmp_path / "p.parquet"))
+    assert [r.price for r in mk.read_panel(spark, str(tmp_path / "p.parquet")).collect()] == [9.0]
+    put(tmp_path / "bad.parquet" / "part-0.parquet", "this is no table")
+    csv = put(tmp_path / "c.csv", "date,price\n2020-01-01,1\n")
+    with pytest.raises(Exception):
+        mk.read_panel(spark, str(tmp_path / "bad.parquet"), csv).collect()
+
+
+def test_summary_has_a_bound(spark):
+    with pytest.raises(ValueError):
+        sk.json_summary(spark.range(20), most=10)
+
+
+def test_sorted_files(spark, tmp_path):
+    path = sk.write_sorted(spark.range(1000).select((F.col("id") * 37 % 1000).alias("v")), str(tmp_path / "s"), ["v"], 4)
+    assert [r.v for r in spark.read.parquet(path).coalesce(1).collect()] and sum(1 for _ in (tmp_path / "s").glob("*.parquet")) > 1
+    got = [r.v for f in sorted((tmp_path / "s").glob("*.parquet")) for r in spark.read.parquet(str(f)).collect()]
+    assert got == list(range(1000))
