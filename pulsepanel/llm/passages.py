@@ -67,14 +67,25 @@ def grams(words: np.ndarray) -> np.ndarray:
     return mix(total)
 
 
+def sliding(best: np.ufunc, x: np.ndarray, size: int) -> np.ndarray:
+    """Smallest or largest value of every run of ``size``, by runs of doubling length."""
+    span, out = 1, x
+    while 2 * span <= size:
+        out = best(out[:-span], out[span:])
+        span *= 2
+    return best(out[:len(x) - size + 1], out[size - span:])
+
+
 def stretches(words: np.ndarray, g: np.ndarray, min_words: int, stretch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, hash, second hash) of the stretches of a document."""
     reach = min_words + 1 - stretch + 1  # starts of a stretch inside the shortest run that has to be found
     starts = len(words) - stretch + 1
     if starts < reach:
         return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-    view = np.lib.stride_tricks.sliding_window_view(g[:starts], reach)
-    at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
+    # A start is taken if its shingle is the smallest of some neighbourhood that it lies in.
+    low = sliding(np.minimum, g[:starts], reach)
+    edge = np.zeros(reach - 1, np.uint64)
+    at = np.flatnonzero(g[:starts] == sliding(np.maximum, np.concatenate([edge, low, edge]), reach))
     rows = words[at[:, None] + np.arange(stretch)]
     h1 = mix((rows * multipliers(stretch, 23)).sum(axis=1, dtype=np.uint64))
     h2 = mix((rows * multipliers(stretch, 37)).sum(axis=1, dtype=np.uint64)) >> np.uint64(32)
@@ -98,11 +109,18 @@ def line_hashes(words: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.nda
     return np.array(h1, np.uint64).view(np.int64), np.array(h2, np.uint32).view(np.int32)
 
 
-def band_keys(shingles: np.ndarray, bands: int, rows: int) -> list[int]:
-    """One key per band from the MinHash values of a shingle set."""
-    lows = np.array([mix(shingles * m).min() for m in multipliers(bands * rows, 53)], np.uint64).reshape(bands, rows)
-    key = mix((lows * multipliers(rows, 71)).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
-    return key.view(np.int64).tolist()
+def band_keys(g: np.ndarray, spans: list[tuple[int, int]], bands: int, rows: int) -> list[list[int]]:
+    """One key per band from the MinHash values of each span of words, given the document's shingles."""
+    lows = np.empty((len(spans), bands * rows), np.uint64)
+    times = multipliers(bands * rows, 53)
+    for i, (a, n) in enumerate(spans):
+        low = None
+        for at in range(a, a + n - SHINGLE + 1, 4096):  # bounds memory for very long lines
+            part = mix(g[at:min(at + 4096, a + n - SHINGLE + 1), None] * times).min(axis=0)
+            low = part if low is None else np.minimum(low, part)
+        lows[i] = low
+    keys = (lows.reshape(-1, bands, rows) * multipliers(rows, 71)).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)
+    return mix(keys).view(np.int64).tolist()
 
 
 def _map(docs: DataFrame, schema: str, types: list[pa.DataType], rows_of: Callable) -> DataFrame:
@@ -200,7 +218,7 @@ def near_lines(docs: DataFrame, min_words: int, similarity: float, bands: int, r
         spans = long_lines(text, min_words)
         w = cache.hashes(text.lower().split()) if spans else np.zeros(0, np.uint64)
         h1, h2 = line_hashes(w, spans)
-        keys = [band_keys(grams(w[a:a + n]), bands, rows) for a, n in spans]
+        keys = band_keys(grams(w), spans, bands, rows)
         return h1, h2, np.full(len(spans), doc), keys
 
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
