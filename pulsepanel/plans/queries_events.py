@@ -58,7 +58,7 @@ def event_car_wide(spark, sf):
     return ev.event_abnormal_returns(pn.baseline_panel(spark, sf), _wide_events(spark, sf))
 
 
-@query("event_impact_wide", f"{KEYS} event_days_effect sum_effect_oof:1 abs_effect_oof:1 max_effect_oof:1 abs_effect_in:1 d30_days_effect", f"""
+@query("event_impact_wide", f"{KEYS} event_days_effect sum_effect_oof:0 abs_effect_oof:0 max_effect_oof:0 abs_effect_in:0 d30_days_effect", f"""
 SELECT e.series_id, e.preset, e.event_id, e.peak_date, COUNT(s.date) AS event_days_effect, COALESCE(SUM(s.media_effect_oof), 0) AS sum_effect_oof,
        COALESCE(SUM(ABS(s.media_effect_oof)), 0) AS abs_effect_oof, COALESCE(MAX(ABS(s.media_effect_oof)), 0) AS max_effect_oof,
        COALESCE(SUM(ABS(s.media_effect)), 0) AS abs_effect_in, COUNT(s.date) FILTER (WHERE ABS(s.date - e.peak_date) <= 30) AS d30_days_effect

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulsepanel.operators import joins as jn
@@ -120,14 +121,14 @@ def file_panel_fallback(spark, sf):
 
 
 @query("file_sorted_panel", "file_no:i series_id date:d", """
-SELECT NTILE(4) OVER (ORDER BY date, series_id) * 0 AS file_no, series_id, date FROM price_panel""")
+SELECT 0 AS file_no, series_id, date FROM price_panel""")
 def file_sorted_panel(spark, sf):
     """Rows that come before a row of an earlier file or of their own file would have file_no 1; there are none."""
     path = sk.write_sorted(fx.price_panel(spark, sf).select("series_id", "date"), fresh_path(spark, "sorted"), ["date", "series_id"], 4)
     rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("file"))
     span = rows.groupBy("file").agg(F.min(F.struct("date", "series_id")).alias("lo"), F.max(F.struct("date", "series_id")).alias("hi"))
-    before = span.select(F.col("file").alias("earlier"), "hi")
-    late = span.join(before, F.col("earlier") < F.col("file")).groupBy("file").agg(F.max("hi").alias("reached"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    late = span.select("file", F.max("hi").over(earlier).alias("reached"))
     return rows.join(late, "file", "left").select(
         F.coalesce((F.struct("date", "series_id") <= F.col("reached")).cast("int"), F.lit(0)).alias("file_no"), "series_id", "date")
 
