@@ -33,17 +33,9 @@ SLOTS = 1 << 26
 BITS = np.uint64(64)
 
 
-class Words(dict):
-    """Hash of each word, kept for the next time; emptied when large."""
-
-    def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-    def hashes(self, words: list[str]) -> np.ndarray:
-        if len(self) > 1_000_000:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hash of each word of a lower-cased text."""
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, text.lower().split())), np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -124,16 +116,15 @@ def band_keys(g: np.ndarray, spans: list[tuple[int, int]], bands: int, rows: int
 
 
 def _map(docs: DataFrame, schema: str, types: list[pa.DataType], rows_of: Callable) -> DataFrame:
-    """Rows from each (doc_id, text): ``rows_of(cache, doc_id, text)`` gives lists or arrays, one per column."""
+    """Rows from each (doc_id, text): ``rows_of(doc_id, text)`` gives lists or arrays, one per column."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Words()
         with np.errstate(over="ignore"):
             for b in batches:
                 for at in range(0, b.num_rows, 500):
                     part = b.slice(at, 500)
-                    found = [rows_of(cache, d, t.as_py() or "") for d, t in zip(part.column(0).to_pylist(), part.column(1))]
+                    found = [rows_of(d, t.as_py() or "") for d, t in zip(part.column(0).to_pylist(), part.column(1))]
                     columns = [pa.array([v for f in found for v in f[i]], types[i]) if pa.types.is_list(types[i]) else
                                pa.array(np.concatenate([np.asarray(f[i], types[i].to_pandas_dtype()) for f in found]), types[i]) for i in range(len(types))]
                     yield pa.RecordBatch.from_arrays(columns, names)
@@ -159,8 +150,8 @@ def in_table(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 def repeated_stretches(docs: DataFrame, min_words: int, stretch: int) -> DataFrame:
     """(doc_id, start, words, keeper): every place of a stretch that stands in two documents or more."""
 
-    def cut(cache: Words, doc: int, text: str):
-        w = cache.hashes(text.lower().split())
+    def cut(doc: int, text: str):
+        w = word_hashes(text)
         at, h1, h2 = stretches(w, grams(w), min_words, stretch)
         return h1, h2, np.full(len(at), doc), at
 
@@ -170,8 +161,8 @@ def repeated_stretches(docs: DataFrame, min_words: int, stretch: int) -> DataFra
     repeated = written(counted.where("keeper < last").drop("last"), "repeated-stretches")
     bits = docs.sparkSession.sparkContext.broadcast(bit_table(repeated, "h1"))
 
-    def again(cache: Words, doc: int, text: str):
-        found = cut(cache, doc, text)
+    def again(doc: int, text: str):
+        found = cut(doc, text)
         known = in_table(bits.value, found[0])
         return [x[known] for x in found]
 
@@ -214,9 +205,9 @@ def connected(sets: list[np.ndarray], others: list[int], least: float) -> np.nda
 def near_lines(docs: DataFrame, min_words: int, similarity: float, bands: int, rows: int, block: int) -> DataFrame:
     """(doc_id, start, words, keeper): every long line with an equal or similar line in another document."""
 
-    def describe(cache: Words, doc: int, text: str):
+    def describe(doc: int, text: str):
         spans = long_lines(text, min_words)
-        w = cache.hashes(text.lower().split()) if spans else np.zeros(0, np.uint64)
+        w = word_hashes(text if spans else "")
         h1, h2 = line_hashes(w, spans)
         keys = band_keys(grams(w), spans, bands, rows)
         return h1, h2, np.full(len(spans), doc), keys
@@ -234,9 +225,9 @@ def near_lines(docs: DataFrame, min_words: int, similarity: float, bands: int, r
     wanted = written(alike.unionByName(classes.where("first < last").select("h1", "h2")).distinct(), "line-wanted")
     bits = docs.sparkSession.sparkContext.broadcast(bit_table(wanted, "h1"))
 
-    def again(cache: Words, doc: int, text: str):
+    def again(doc: int, text: str):
         spans = long_lines(text, min_words)
-        w = cache.hashes(text.lower().split()) if spans else np.zeros(0, np.uint64)
+        w = word_hashes(text if spans else "")
         h1, h2 = line_hashes(w, spans)
         known = np.flatnonzero(in_table(bits.value, h1))
         spans = [spans[i] for i in known]
