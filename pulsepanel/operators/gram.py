@@ -2,8 +2,8 @@
 
 A row carries its regressors as one ``array<double>`` column.  ``gram`` sums
 x xT per group; everything a least-squares fit needs is then a p x p matrix
-per group, however many rows went in.  Partials are formed inside each task
-and combined by element, so a group that holds most rows is never collected.
+per group, however many rows went in.  Each task hands on one partial matrix
+per group, so a group that holds most rows costs one array a task.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,28 +41,71 @@ def gram(df: DataFrame, keys: list[str], width: int) -> DataFrame:
         cells = [F.sum(x[i] * x[j]) for i in range(width) for j in range(i, width)]
         return df.groupBy(*keys).agg(F.array(*cells).alias("g"))
     partial = _partials(df.select(*keys, VECTOR), keys, width)
-    by_cell = (
-        partial.select(*keys, F.posexplode("g").alias("pos", "v"))
-        .groupBy(*keys, "pos").agg(F.sum("v").alias("v"))
-    )
-    cells = F.array_sort(F.collect_list(F.struct("pos", "v")))
-    return by_cell.groupBy(*keys).agg(F.transform(cells, lambda c: c["v"]).alias("g"))
+    fields = T.StructType([df.schema[k] for k in keys] + [T.StructField("g", T.ArrayType(T.DoubleType()))])
 
+    def merge(t: pa.Table) -> pa.Table:
+        total = _rows(t.column("g"), width * (width + 1) // 2).sum(axis=0)
+        return _one_row(t, keys, {"g": pa.array([total], pa.list_(pa.float64()))})
 
-def _partials(df: DataFrame, keys: list[str], width: int, held: int = 256) -> DataFrame:
+    return partial.groupBy(*keys).applyInArrow(merge, fields)
+
+
+def segment_grams(df: DataFrame, keys: list[str], segment: str, width: int, head: int = 0) -> DataFrame:
+    """(keys, segs, grams): per key the matrix of each segment, in one exchange.
+
+    Segments below ``head`` hold one row a key each; they travel as that row
+    and not as its matrix.  ``segment_sums`` tells them apart by length.
+    """
+    by = [*keys, segment]
+    partial = _partials(df.select(*by, VECTOR), by, width, head=head)
+    fields = T.StructType([df.schema[k] for k in keys] + T.StructType.fromDDL("segs array<int>, grams array<array<double>>").fields)
+
+    def merge(t: pa.Table) -> pa.Table:
+        sums: dict[int, np.ndarray] = {}
+        for seg, g in zip(t.column(segment).to_pylist(), t.column("g")):
+            g = g.values.to_numpy()
+            sums[seg] = sums[seg] + g if seg in sums else g
+        segs = sorted(sums)
+        return _one_row(t, keys, {"segs": pa.array([segs], pa.list_(pa.int32())),
+                                  "grams": pa.array([[sums[s] for s in segs]], pa.list_(pa.list_(pa.float64())))})
+
+    return partial.groupBy(*keys).applyInArrow(merge, fields)
+
+
+def _rows(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(-1, width)
+
+
+def _one_row(t: pa.Table, keys: list[str], values: dict[str, pa.Array]) -> pa.Table:
+    return pa.table({k: t.column(k).slice(0, 1) for k in keys} | values)
+
+
+def _partials(df: DataFrame, keys: list[str], width: int, held: int = 256, head: int = 0) -> DataFrame:
+    """Upper triangles per key and task; with ``head``, the last key is a segment and those below it pass as single rows."""
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("g", T.ArrayType(T.DoubleType()))])
     upper = np.triu_indices(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
 
+        kinds = None  # one Arrow schema for all that this task hands on
+
         def flush() -> pa.RecordBatch:
-            frame = {k: [key[i] for key in sums] for i, k in enumerate(keys)}
-            frame["g"] = [g[upper] for g in sums.values()]
+            columns = [pa.array([key[i] for key in sums], kinds[i]) for i in range(len(keys))]
+            columns.append(pa.array([g[upper] for g in sums.values()], pa.list_(pa.float64())))
             sums.clear()
-            return pa.RecordBatch.from_pandas(pd.DataFrame(frame), preserve_index=False)
+            return pa.RecordBatch.from_arrays(columns, [*keys, "g"])
 
         for batch in batches:
+            kinds = kinds or [batch.schema.field(i).type for i in range(len(keys))]
+            if head:
+                first = pc.less(batch.column(len(keys) - 1), head)
+                single = batch.filter(first)
+                if single.num_rows:
+                    yield pa.RecordBatch.from_arrays([*single.columns[:-1], single.columns[-1].cast(pa.list_(pa.float64()))], [*keys, "g"])
+                batch = batch.filter(pc.invert(first))
+            if not batch.num_rows:
+                continue
             x = batch.column(len(keys)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
             idx = pd.DataFrame({k: batch.column(i).to_pandas() for i, k in enumerate(keys)})
             for key, rows in idx.groupby(keys, sort=False, dropna=False).indices.items():
@@ -76,15 +120,6 @@ def _partials(df: DataFrame, keys: list[str], width: int, held: int = 256) -> Da
     return df.mapInArrow(run, schema)
 
 
-def by_segment(grams: DataFrame, keys: list[str], segment: str) -> DataFrame:
-    """One row per key with its few segment matrices; segments are a plan constant."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(segment).alias("seg"), F.col("g"))))
-    return grams.groupBy(*keys).agg(pairs.alias("__p")).select(
-        *keys, F.transform("__p", lambda p: p["seg"]).alias("segs"),
-        F.transform("__p", lambda p: p["g"]).alias("grams"),
-    )
-
-
 def solve_rows(df: DataFrame, keys: list[str], schema: str, fn: Callable[[dict], list[dict]]) -> DataFrame:
     """Apply a small matrix function to each row of matrices; rows stay distributed."""
     fields = T.StructType([df.schema[k] for k in keys] + T.StructType.fromDDL(schema).fields)
@@ -104,7 +139,8 @@ def solve_rows(df: DataFrame, keys: list[str], schema: str, fn: Callable[[dict],
 
 def segment_sums(row: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
     segs = np.asarray(row["segs"], dtype=int)
-    return segs, np.stack([triangle(np.asarray(g, float), width) for g in row["grams"]])
+    mats = [np.asarray(g, float) for g in row["grams"]]
+    return segs, np.stack([np.outer(g, g) if len(g) == width else triangle(g, width) for g in mats])
 
 
 def spd_solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:

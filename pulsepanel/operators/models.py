@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pulsepanel.functions.clean import complete_rows, inf_to_null, one_hot, pct_from_logret
 from pulsepanel.functions.moments import safe_corr
 from pulsepanel.operators.gram import (
-    VECTOR, by_segment, dot, dot_arrays, gram, ols, segment_sums, solve_rows, spd_solve, triangle, vector,
+    VECTOR, dot, dot_arrays, gram, ols, segment_grams, segment_sums, solve_rows, spd_solve, triangle, vector,
 )
 from pulsepanel.operators.windows import (
     forward_fill, lagged_level, lags, log_return, ordered, regime_sign, rolling_std, rolling_zscore,
@@ -208,7 +208,7 @@ def fit_ridge_cv(
     """
     has_used = "used" in rows.columns
     group = [*keys, "used"] if has_used else keys
-    grams = by_segment(gram(rows, [*group, "segment"], width), group, "segment")
+    grams = segment_grams(rows, group, "segment", width)
     y = width - 1
 
     def solve(row: dict) -> list[dict]:

@@ -18,7 +18,7 @@ from pulsepanel.functions.pvalues import (
     JOHANSEN_TRACE95, chi2_pvalue, corr_pvalue, f_pvalue, kpss_pvalue, unit_root_cv5, unit_root_pvalue,
 )
 from pulsepanel.operators.aggregates import pearson_over
-from pulsepanel.operators.gram import VECTOR, by_segment, gram, ols, segment_sums, solve_rows, vector
+from pulsepanel.operators.gram import VECTOR, ols, segment_grams, segment_sums, solve_rows, vector
 from pulsepanel.operators.joins import argmax_abs
 from pulsepanel.operators.windows import ordered, running
 
@@ -51,7 +51,8 @@ def lagged_grams(df: DataFrame, keys: list[str], cols: list[str], depth: int) ->
     """Cross-products of (1, each column at lags 0..depth), by available lags.
 
     Columns are centred on their group mean first; every regression here
-    either has a constant or is on a residual, so results do not change.
+    either has a constant or is on a residual, so results do not change.  The
+    first rows of a group lack some lags and stay rows; all others are summed.
     """
     every = Window.partitionBy(*keys)
     w = every.orderBy("date")
@@ -60,7 +61,7 @@ def lagged_grams(df: DataFrame, keys: list[str], cols: list[str], depth: int) ->
     parts = [F.lit(1.0)] + [F.lag(f"__c_{c}", k).over(w) for c in cols for k in range(depth + 1)]
     width = len(parts)
     rows = numbered.select(*keys, "__seg", vector(parts).alias(VECTOR))
-    return by_segment(gram(rows, [*keys, "__seg"], width), keys, "__seg"), width
+    return segment_grams(rows, keys, "__seg", width, head=depth), width
 
 
 def _at_least(segs: np.ndarray, mats: np.ndarray, lag: int) -> np.ndarray:
