@@ -264,6 +264,17 @@ def make_stationary(long: DataFrame, table: DataFrame, keys: list[str]) -> DataF
     return flagged.withColumn("value", F.when(F.coalesce("needs_diff", F.lit(False)), step).otherwise(F.col("value")))
 
 
+def stationarised(df: DataFrame, table: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """The panel with the columns that ``table`` flags for a key replaced by their first differences."""
+    flags = table.groupBy(*keys).agg(*[
+        F.bool_or((F.col("variable") == c) & F.col("needs_diff")).alias(f"__d_{c}") for c in cols])
+    w = Window.partitionBy(*keys).orderBy("date")
+    both = df.join(flags, keys, "left")
+    return both.withColumns({
+        c: F.when(F.coalesce(f"__d_{c}", F.lit(False)), F.col(c) - F.lag(c).over(w)).otherwise(F.col(c)) for c in cols
+    }).drop(*[f"__d_{c}" for c in cols])
+
+
 def integration_order(df: DataFrame, keys: list[str], cols: list[str], least: int = 50) -> DataFrame:
     """Unit-root test of the level and of the difference."""
     by = [*keys, "variable"]
@@ -332,11 +343,20 @@ def var_fit(df: DataFrame, keys: list[str], cols: list[str], max_order: int = 10
     return solve_rows(grams, keys, schema, solve)
 
 
-def johansen(df: DataFrame, keys: list[str], cols: list[str], k_diff: int = 2, least: int = 100) -> DataFrame:
-    """Trace test with a constant; full rank is reported as not applicable."""
-    k = len(cols)
+def johansen(df: DataFrame, keys: list[str], cols: list[str], k_diff: int = 2, least: int = 100, orders: DataFrame | None = None) -> DataFrame:
+    """Trace test with a constant; full rank is reported as not applicable.
+
+    With ``orders``, the table of integration orders, each key tests its own
+    I(1) variables only.  Critical values reach as far as their table; systems
+    with more variables are reported as such.
+    """
     depth = k_diff + 1
     grams, width = lagged_grams(df.dropna(subset=cols), keys, cols, depth)
+    if orders is None:
+        grams = grams.withColumn("chosen", F.array(*map(F.lit, cols)))
+    else:
+        i1 = orders.groupBy(*keys).agg(F.collect_set(F.when(F.col("is_i1"), F.col("variable"))).alias("chosen"))
+        grams = grams.join(i1, keys, "left")
 
     def at(c: int, lag: int) -> int:
         return 1 + c * (depth + 1) + lag
@@ -344,17 +364,21 @@ def johansen(df: DataFrame, keys: list[str], cols: list[str], k_diff: int = 2, l
     def solve(row: dict) -> list[dict]:
         segs, mats = segment_sums(row, width)
         n_all = int(round(mats[:, 0, 0].sum()))
-        if k < 2 or n_all < least:
-            why = "fewer than two variables" if k < 2 else "too few observations"
-            return [{"n_obs": n_all, "applicable": False, "reason": why, "rank": None, "trace": [], "cv95": []}]
+        names = set(row["chosen"] if row["chosen"] is not None else ())
+        picked = [i for i, c in enumerate(cols) if c in names]
+        k = len(picked)
+        known = {"n_obs": n_all, "variables": [cols[i] for i in picked]}
+        if k < 2 or n_all < least or k not in JOHANSEN_TRACE95:
+            why = "fewer than two variables" if k < 2 else "too few observations" if n_all < least else "more variables than critical values"
+            return [known | {"applicable": False, "reason": why, "rank": None, "trace": [], "cv95": []}]
         # New basis: constant, differences at lags 0..k_diff, level at lag k_diff.
         cols_new = []
         for lag in range(k_diff + 1):
-            for c in range(k):
+            for c in picked:
                 v = np.zeros(width)
                 v[at(c, lag)], v[at(c, lag + 1)] = 1.0, -1.0
                 cols_new.append(v)
-        for c in range(k):
+        for c in picked:
             v = np.zeros(width)
             v[at(c, k_diff)] = 1.0
             cols_new.append(v)
@@ -378,12 +402,12 @@ def johansen(df: DataFrame, keys: list[str], cols: list[str], k_diff: int = 2, l
         cv = [JOHANSEN_TRACE95[k - i] for i in range(k)]
         rank = sum(s > c for s, c in zip(trace, cv))
         full = rank >= k
-        return [{
-            "n_obs": n_all, "applicable": not full, "reason": "full rank" if full else None,
+        return [known | {
+            "applicable": not full, "reason": "full rank" if full else None,
             "rank": rank, "trace": trace, "cv95": cv,
         }]
 
-    schema = "n_obs bigint, applicable boolean, reason string, rank int, trace array<double>, cv95 array<double>"
+    schema = "n_obs bigint, variables array<string>, applicable boolean, reason string, rank int, trace array<double>, cv95 array<double>"
     return solve_rows(grams, keys, schema, solve)
 
 

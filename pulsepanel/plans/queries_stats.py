@@ -285,8 +285,7 @@ cte("granger_macro", granger_sql("model_frame", "gm", MPAIRS, range(1, 15)))
 
 @query("granger_controls", "series_id x_name y_name lag:i n f_stat:5 f_p:6", "SELECT * FROM granger_macro WHERE lag <= 3")
 def granger_controls(spark, sf):
-    res = ts.granger(pn.model_frame(spark, sf), ["series_id"], MPAIRS, range(1, 15), least=44, guard=False)
-    return res.filter(F.col("lag") <= 3)
+    return ts.granger(pn.model_frame(spark, sf), ["series_id"], MPAIRS, (1, 2, 3), least=44, guard=False)
 
 
 @query("granger_controls_14", "series_id x_name y_name lag:i f_stat:5 f_p:6 params_f:5", "SELECT *, f_stat AS params_f FROM granger_macro")
@@ -430,30 +429,59 @@ def engle_granger(spark, sf):
 
 
 VCOLS, ORDER = ["logret", "mentions", "excess_effect"], 10
-_vw = "(PARTITION BY series_id ORDER BY date)"
-cte("var_lagged", f"""
-SELECT *, 1.0::DOUBLE AS one, ROW_NUMBER() OVER {_vw} AS rn, {', '.join(f'COALESCE(LAG(z{c}, {k}) OVER {_vw}, 0) AS z{c}_{k}' for k in range(1, ORDER + 1) for c in range(3))}
-FROM (SELECT series_id, date, {', '.join(f'{v} - AVG({v}) OVER (PARTITION BY series_id) AS z{i}' for i, v in enumerate(VCOLS))} FROM clipped
-      WHERE {' AND '.join(f'{v} IS NOT NULL' for v in VCOLS)})""")
 _VX = ["one", *[f"z{c}_{k}" for k in range(1, ORDER + 1) for c in range(3)], "z0", "z1", "z2"]
 _a, _b, _c = len(_VX) - 2, len(_VX) - 1, len(_VX)
 _DET = (f"(m[{_a}][{_a}] * (m[{_b}][{_b}] * m[{_c}][{_c}] - m[{_b}][{_c}] * m[{_c}][{_b}]) - m[{_a}][{_b}] * (m[{_b}][{_a}] * m[{_c}][{_c}] - m[{_b}][{_c}] * m[{_c}][{_a}]) "
         f"+ m[{_a}][{_c}] * (m[{_b}][{_a}] * m[{_c}][{_b}] - m[{_b}][{_b}] * m[{_c}][{_a}])) / POW(n, 3)")
-cte("var_m", f"SELECT series_id, COUNT(*) AS n, {products(_VX)} AS m FROM var_lagged WHERE rn > {ORDER} GROUP BY 1")
-sweep("var_s", "var_m", "series_id, n", str(3 * ORDER + 1))
-cte("var_ic", f"SELECT series_id, (step - 1) // 3 AS p, LN({_DET}) + 2.0 / n * 3 * step AS aic, LN({_DET}) + LN(n) / n * 3 * step AS bic FROM var_s WHERE step % 3 = 1")
-cte("var_pick", f"SELECT series_id, ARG_MIN(p, aic) AS order_aic, ARG_MIN(p, bic) AS order_bic, GREATEST(1, LEAST(ARG_MIN(p, aic), 7)) AS order_used FROM var_ic GROUP BY 1")
-cte("var_fm", f"SELECT series_id, COUNT(*) AS n, 3 * order_used + 1 AS depth, {products(_VX)} AS m FROM var_lagged JOIN var_pick USING (series_id) WHERE rn > order_used GROUP BY 1, order_used")
-sweep("var_fs", "var_fm", "series_id, n", "depth")
 
 
-@query("var_fit", "series_id order_aic:i order_bic:i order_used:i n_obs aic:5 bic:5", f"""
+def var_sql(tag: str, source: str, cols: list[str]) -> str:
+    w = "(PARTITION BY series_id ORDER BY date)"
+    cte(f"{tag}_lagged", f"""
+SELECT *, 1.0::DOUBLE AS one, ROW_NUMBER() OVER {w} AS rn, {', '.join(f'COALESCE(LAG(z{c}, {k}) OVER {w}, 0) AS z{c}_{k}' for k in range(1, ORDER + 1) for c in range(3))}
+FROM (SELECT series_id, date, {', '.join(f'{v} - AVG({v}) OVER (PARTITION BY series_id) AS z{i}' for i, v in enumerate(cols))} FROM {source}
+      WHERE {' AND '.join(f'{v} IS NOT NULL' for v in cols)})""")
+    cte(f"{tag}_m", f"SELECT series_id, COUNT(*) AS n, {products(_VX)} AS m FROM {tag}_lagged WHERE rn > {ORDER} GROUP BY 1")
+    sweep(f"{tag}_s", f"{tag}_m", "series_id, n", str(3 * ORDER + 1))
+    cte(f"{tag}_ic", f"SELECT series_id, (step - 1) // 3 AS p, LN({_DET}) + 2.0 / n * 3 * step AS aic, LN({_DET}) + LN(n) / n * 3 * step AS bic FROM {tag}_s WHERE step % 3 = 1")
+    cte(f"{tag}_pick", f"SELECT series_id, ARG_MIN(p, aic) AS order_aic, ARG_MIN(p, bic) AS order_bic, GREATEST(1, LEAST(ARG_MIN(p, aic), 7)) AS order_used FROM {tag}_ic GROUP BY 1")
+    cte(f"{tag}_fm", f"SELECT series_id, COUNT(*) AS n, 3 * order_used + 1 AS depth, {products(_VX)} AS m FROM {tag}_lagged JOIN {tag}_pick USING (series_id) WHERE rn > order_used GROUP BY 1, order_used")
+    sweep(f"{tag}_fs", f"{tag}_fm", "series_id, n", "depth")
+    return f"""
 SELECT series_id, order_aic, order_bic, order_used, n AS n_obs, LN({_DET}) + 2.0 / n * 3 * step AS aic, LN({_DET}) + LN(n) / n * 3 * step AS bic
-FROM var_fs JOIN var_pick USING (series_id) WHERE step = depth""")
+FROM {tag}_fs JOIN {tag}_pick USING (series_id) WHERE step = depth"""
+
+
+VAR_SPEC = "series_id order_aic:i order_bic:i order_used:i n_obs aic:5 bic:5"
+
+
+@query("var_fit", VAR_SPEC, var_sql("var", "clipped", VCOLS))
 def var_fit(spark, sf):
     return ts.var_fit(clipped(spark, sf), ["series_id"], VCOLS)
 
 
+# The same on differenced columns, chosen per series by the stationarity table.
+_sw = "(PARTITION BY l.series_id ORDER BY date)"
+cte("levels_stat", f"""
+SELECT l.series_id, l.date, {', '.join(f'CASE WHEN d_{v} THEN {v} - LAG({v}) OVER {_sw} ELSE {v} END AS {v}' for v in VARS)}
+FROM levels l LEFT JOIN (SELECT series_id, {', '.join(f"BOOL_OR(variable = '{v}' AND needs_diff) AS d_{v}" for v in VARS)} FROM stationary_table GROUP BY 1) t ON t.series_id = l.series_id""")
+SPAIRS = [("log_mentions", "log_mcap"), ("log_excess", "log_mcap"), ("log_mcap", "log_mentions")]
+
+
+def levels_stationarised(spark, sf):
+    return ts.stationarised(levels(spark, sf), stationarity(spark, sf), ["series_id"], VARS)
+
+
+@query("granger_stationarised", "series_id x_name y_name lag:i n df_den f_stat:4 f_p:5 significant", granger_sql("levels_stat", "gst", SPAIRS, (1, 2, 3, 5)))
+def granger_stationarised(spark, sf):
+    return ts.granger(levels_stationarised(spark, sf), ["series_id"], SPAIRS, (1, 2, 3, 5))
+
+
+@query("var_stationarised", VAR_SPEC.replace(":5", ":4"), var_sql("vst", "levels_stat", VARS))
+def var_stationarised(spark, sf):
+    return ts.var_fit(levels_stationarised(spark, sf), ["series_id"], VARS)
+
+
 # Johansen: partialled moment matrices from a sweep; the three roots by the cubic formula.
 _jw = "(PARTITION BY series_id ORDER BY date)"
 cte("joh_lagged", f"""
@@ -514,6 +542,16 @@ def johansen_trace(spark, sf):
     return out.select("series_id", "n_obs", stat.alias("trace0"), F.exp(-stat / (F.col("n_obs") - 3)).alias("full_det"))
 
 
+@query("johansen_i1", "series_id n_i1 tested reason", """
+SELECT series_id, COUNT(*) FILTER (WHERE p_level >= 0.05 AND p_diff < 0.05) AS n_i1, n_i1 >= 2 AS tested, CASE WHEN n_i1 < 2 THEN 'fewer than two variables' END AS reason
+FROM (SELECT series_id, variable, p_value AS p_level FROM adf_level) LEFT JOIN (SELECT series_id, variable, p_value AS p_diff FROM adf_diff) USING (series_id, variable) GROUP BY 1""")
+def johansen_i1(spark, sf):
+    """Which series have enough I(1) variables for the trace test, which is then run on those."""
+    out = ts.johansen(levels(spark, sf), ["series_id"], VARS, orders=integration_order(spark, sf))
+    few = F.col("reason").eqNullSafe("fewer than two variables")
+    return out.select("series_id", F.size("variables").cast("bigint").alias("n_i1"), (~few).alias("tested"), F.when(few, F.col("reason")).alias("reason"))
+
+
 # Validation ---------------------------------------------------------------------------------------------
 
 SPLIT = ["series_id", "split"]
