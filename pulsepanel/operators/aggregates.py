@@ -106,15 +106,17 @@ def grouped_summary(
 
     ``rollup`` expands the plain statistics map-side; medians are exact and
     distributed, because a group of events is not bounded by the calendar.
+    All columns share one pass, with the column's name as a second key.
     """
     mark = F.coalesce(F.col(group), F.lit("\u0000total")).alias("__k")
     plain = df.rollup(group) if total else df.groupBy(group)
     table = plain.agg(*[c.alias(n) for n, c in stats.items()]).select("*", mark)
     spread = df.withColumn(group, F.explode(F.array(F.col(group), F.lit(None).cast("string")))) if total else df
-    for name, value in medians.items():
-        med = exact_quantiles(spread.select("*", mark), ["__k"], value, {name: 0.5})
-        table = table.join(med, "__k", "left")
-    return table.drop("__k")
+    cells = F.array(*[F.struct(F.lit(n).alias("__m"), F.col(v).cast("double").alias("__x")) for n, v in medians.items()])
+    long = spread.select(mark, F.explode(cells).alias("c")).select("__k", "c.*")
+    found = exact_quantiles(long, ["__k", "__m"], "__x", {"__q": 0.5})
+    wide = found.groupBy("__k").agg(*[F.max(F.when(F.col("__m") == n, F.col("__q"))).alias(n) for n in medians])
+    return table.join(wide, "__k", "left").drop("__k")
 
 
 def range_summary(df: DataFrame, value: str) -> DataFrame:

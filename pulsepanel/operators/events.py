@@ -330,22 +330,26 @@ def event_validation(daily: DataFrame, events: DataFrame, boundary: str) -> Data
     })
 
 
-def records_in_windows(records: DataFrame, windows: DataFrame, salts: int = 16) -> DataFrame:
+def records_in_windows(records: DataFrame, windows: DataFrame, salts: int = 1) -> DataFrame:
     """Each record joined to every event window that holds its day.
 
-    Windows become one row per day, so this is an equi-join; days are salted
-    because one day may hold a large part of all records.
+    Windows become one row per day, so this is an equi-join.  A day that holds
+    a large part of all records is split by adaptive execution; ``salts``
+    above 1 spreads every day beforehand instead.
     """
     days = windows.select(
         "series_id", "preset", "event_id", "window_start", "window_end",
         F.explode(F.sequence("window_start", "window_end")).alias("date"),
     )
-    return salted_join(records, days, ["date"], salts)
+    return salted_join(records, days, ["date"], salts) if salts > 1 else records.join(days, "date")
 
 
-def event_articles(records: DataFrame, windows: DataFrame, salts: int = 16) -> DataFrame:
-    """Record x window fan-out, each composite key once."""
-    rows = records_in_windows(records, windows, salts).dropDuplicates(
-        ["series_id", "preset", "event_id", "date", "source_url", "record_id"])
+def event_articles(records: DataFrame, windows: DataFrame, salts: int = 1) -> DataFrame:
+    """Record x window fan-out, each composite key once.
+
+    An event has one window, so it is enough that no record comes twice; the
+    fan-out itself is never shuffled.
+    """
+    rows = records_in_windows(records.dropDuplicates(["date", "source_url", "record_id"]), windows, salts)
     key = F.format_string("%s:%s:%s_%s", "preset", "event_id", F.col("window_start").cast("string"), F.col("window_end").cast("string"))
     return rows.withColumn("window_key", key)
