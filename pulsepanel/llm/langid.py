@@ -181,7 +181,7 @@ def learn(labelled: DataFrame, sample_docs: int = 300, sample_chars: int = 20_00
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred, score and bits appended (doc columns are kept; texts are read whole).
+    """``docs``, with a column ``text``, and lang_pred, score and bits of every whole text.
 
     A null text or one without letters is ``und`` with score 0.  Equal
     languages go to the first in code point order.  Rows are independent.
@@ -212,5 +212,7 @@ def keep_identified(docs: DataFrame, **options) -> DataFrame:
     """Documents with a language, ``lang`` set to the predicted one; those without a letter go."""
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = learn(plain.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))), **options)
-    found = identify(docs.drop("lang_pred", "score", "bits"), model).where(F.col("lang_pred") != UNKNOWN)
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"))
+    new = {"text": F.col("text"), "lang": F.col("lang_pred")}
+    found = identify(rows, model).where(F.col("lang_pred") != UNKNOWN)
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])

@@ -85,8 +85,8 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = SCALE, bits: int = 5, file_rows: int = 32_768,
-          query_rows: int = 2_048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = SCALE, bits: int = 5, file_rows: int = 16_384,
+          query_rows: int = 8_192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of ``vectors`` with the largest integer inner product per row of ``queries``.
 
     Both frames hold an id and a vector, whose components become
@@ -96,6 +96,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = SCAL
     repeat an id are candidates one by one; repeated queries are asked once
     (of several vectors under one id, the smallest).  Fewer than k rows give
     fewer ranks; an empty table gives an empty result.
+
+    A vector travels once per block of queries and a query once per file, so
+    blocks are large; a task holds one of each and bounds for 256 queries,
+    some 100 MB at the defaults.
     """
 
     def part(df: DataFrame) -> DataFrame:

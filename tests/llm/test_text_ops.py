@@ -291,6 +291,10 @@ def test_language(spark):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     kept = langid.keep_identified(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns and kept.count() == len(rows) - 3
+    clash = frame(spark, rows).withColumns({"score": F.lit(1), "bits": F.lit(2), "lang_pred": F.lit("q")})
+    assert {(r.score, r.bits, r.lang_pred) for r in langid.keep_identified(clash).collect()} == {(1, 2, "q")}
+    unlabelled = langid.predicted(frame(spark, [(1, "some text", None, None)])).first()
+    assert (unlabelled.lang_pred, unlabelled.score) == ("und", 0.0)
 
 
 def test_phrases_are_greedy_longest_matches():
