@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsepanel.functions.clean import complete_rows, inf_to_null, one_hot, pct_from_logret
-from pulsepanel.functions.moments import safe_corr
 from pulsepanel.operators.gram import (
     VECTOR, dot, dot_arrays, gram, ols, segment_grams, segment_sums, solve_rows, spd_solve, triangle, vector,
 )
@@ -107,22 +110,88 @@ def feature_vector(df: DataFrame, features: list[str], name: str = "__f") -> Dat
     return df.withColumn(name, F.array(*[F.col(f).cast("double") for f in features]))
 
 
+def _moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Counts, means and central sums per column of x, as rows of one array.
+
+    Rows: all, non-null, mean and squares of x with 0 for NULL, pairs, mean of
+    x and y, squares of x and y, products.  Values are taken relative to the
+    first of each column, so a constant column has squares of exactly zero.
+    """
+    def centred(v: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = known.sum(axis=0)
+        base = v[known.argmax(axis=0), np.arange(v.shape[1])]
+        d = np.where(known, v - base, 0.0)
+        mean = d.sum(axis=0) / np.maximum(n, 1)
+        return n, np.where(n > 0, base + mean, 0.0), np.where(known, d - mean, 0.0)
+
+    seen = ~np.isnan(x)
+    filled = np.where(seen, x, 0.0)
+    rows, mean0, dev0 = centred(filled, np.ones_like(seen))
+    pair = seen & ~np.isnan(y)[:, None]
+    n, mean_x, dx = centred(filled, pair)
+    _, mean_y, dy = centred(np.broadcast_to(np.nan_to_num(y)[:, None], x.shape), pair)
+    return np.stack([rows, seen.sum(axis=0), mean0, (dev0**2).sum(axis=0), n, mean_x, mean_y, (dx**2).sum(axis=0), (dy**2).sum(axis=0), (dx * dy).sum(axis=0)])
+
+
+def _add_moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Moments of two sets of rows together."""
+    out = a + b
+    for n, x, y, cells in ((0, 2, 2, ((3, 2, 2),)), (4, 5, 6, ((7, 5, 5), (8, 6, 6), (9, 5, 6)))):
+        total = np.maximum(out[n], 1)
+        share = a[n] * b[n] / total
+        for cell, i, j in cells:
+            out[cell] += (b[i] - a[i]) * (b[j] - a[j]) * share
+        for m in {x, y}:
+            out[m] = np.where(a[n] == 0, b[m], a[m] + (b[m] - a[m]) * b[n] / total)
+    return out
+
+
 def screen_features(df: DataFrame, y: str, keys: list[str], vec: str = "__f") -> DataFrame:
     """Per (key, position): coverage, spread and correlation with the target.
 
-    The explode feeds partial aggregation in the same stage, so only one
-    (key, feature) accumulator per task is shuffled.
+    Each task keeps one array of moments per key; the arrays meet in one
+    exchange and only their results become rows.
     """
-    long = df.select(*keys, F.col(y).alias("__y"), F.posexplode(vec).alias("pos", "x"))
-    pair = F.when(F.col("x").isNotNull() & F.col("__y").isNotNull(), F.col("x"))
-    n = F.count(pair)
-    varies = (n >= 50) & (F.stddev_pop(pair) > 0)
-    return long.groupBy(*keys, "pos").agg(
-        F.avg(F.col("x").isNotNull().cast("double")).alias("non_null"),
-        F.stddev_pop(F.coalesce("x", F.lit(0.0))).alias("spread"),
-        n.alias("n_pairs"),
-        F.when(varies, safe_corr(F.col("x"), F.col("__y"))).alias("r"),
-    )
+    key_fields = [df.schema[k] for k in keys]
+    part_schema = T.StructType([*key_fields, T.StructField("m", T.ArrayType(T.DoubleType()))])
+    out_schema = T.StructType([*key_fields, *T.StructType.fromDDL("pos int, non_null double, spread double, n_pairs bigint, r double").fields])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        kinds = None
+        for batch in batches:
+            kinds = kinds or [batch.schema.field(i).type for i in range(len(keys))]
+            flat = batch.column(len(keys) + 1).flatten().to_numpy(zero_copy_only=False)
+            if not batch.num_rows:
+                continue
+            x, target = flat.reshape(batch.num_rows, -1), batch.column(len(keys)).to_numpy(zero_copy_only=False).astype(float)
+            names = pd.DataFrame({k: batch.column(i).to_pandas() for i, k in enumerate(keys)})
+            for key, rows in names.groupby(keys, sort=False, dropna=False).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
+                now = _moments(x[rows], target[rows])
+                sums[key] = _add_moments(sums[key], now) if key in sums else now
+        if sums:
+            columns = [pa.array([key[i] for key in sums], kinds[i]) for i in range(len(keys))]
+            columns.append(pa.array([m.ravel() for m in sums.values()], pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "m"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        total = None
+        for m in t.column("m"):
+            m = m.values.to_numpy().reshape(10, -1)
+            total = m if total is None else _add_moments(total, m)
+        rows, seen, _, square0, n, _, _, xx, yy, xy = total
+        varies = (n >= 50) & (xx > 0) & (yy > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = (xy / n) / (np.sqrt(xx / n) * np.sqrt(yy / n))
+        width = total.shape[1]
+        columns = {k: pa.array([t.column(k)[0].as_py()] * width, t.column(k).type) for k in keys}
+        return pa.table(columns | {
+            "pos": pa.array(np.arange(width, dtype=np.int32)), "non_null": pa.array(seen / rows), "spread": pa.array(np.sqrt(square0 / rows)),
+            "n_pairs": pa.array(n.astype(np.int64)), "r": pa.array(np.where(varies, r, 0.0), mask=~varies)})
+
+    picked = df.select(*keys, F.col(y).cast("double").alias("__y"), F.col(vec).alias("__v"))
+    return picked.mapInArrow(partial, part_schema).groupBy(*keys).applyInArrow(merge, out_schema)
 
 
 def filter_features(screen: DataFrame, min_non_null: float = 0.80) -> DataFrame:

@@ -304,3 +304,19 @@ def test_model_frame_options(spark):
     assert plain.count() == more.count() == n - 31
     assert md.prepare_model_frame(df, ffill=False).count() == 0
     assert all(r.regime == (1 if r.logret > 0 else -1) for r in more.collect())
+
+
+def test_moments_of_parts_add_up():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(20, 0.1, (300, 5)), rng.normal(size=300)
+    x[:, 1], x[::3, 2], x[:, 3], y[5] = 0.1, np.nan, np.nan, np.nan
+    cuts = [0, 1, 40, 300]
+    total = None
+    for a, b in zip(cuts, cuts[1:]):
+        m = md._moments(x[a:b], y[a:b])
+        total = m if total is None else md._add_moments(total, m)
+    whole = md._moments(x, y)
+    assert np.allclose(total, whole, rtol=1e-9, atol=1e-12) and total[7, 1] == 0.0 and total[3, 1] == 0.0
+    both = ~np.isnan(x[:, 2]) & ~np.isnan(y)
+    r = total[9, 2] / np.sqrt(total[7, 2] * total[8, 2])
+    assert r == pytest.approx(np.corrcoef(x[both, 2], y[both])[0, 1]) and total[4, 3] == 0
