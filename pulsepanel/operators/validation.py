@@ -121,7 +121,9 @@ def distribution_shift(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
 
 
 def with_shift_pvalues(shift: DataFrame) -> DataFrame:
+    """Two-sided p-values; the Kolmogorov-Smirnov one is that of the limiting distribution, as ``ks_p_kind`` says."""
     return shift.withColumns({
+        "ks_p_kind": F.lit("limiting"),
         "ks_p": ks_pvalue(F.col("ks_stat"), F.col("n_train"), F.col("n_test")),
         "mw_p": F.least(normal_pvalue(F.greatest(F.col("mw_z"), F.lit(0.0))), F.lit(1.0)),
     })

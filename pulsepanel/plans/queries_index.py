@@ -45,13 +45,16 @@ def index_zone(spark, sf):
     return _calibrated(spark, sf).withColumn("short", ix.zone_short(F.col("score")))
 
 
-@query("index_zone_details", "preset zone days lower:3 upper:3 n_chars", f"""
-SELECT preset, zone, days, lower, upper, n_chars FROM
-  (SELECT preset, {bins('score', BOUNDS, PRESSURE)} AS zone, COUNT(*) AS days FROM calibrated GROUP BY 1, 2)
-  JOIN (VALUES {', '.join(f"('{z[0]}', {z[1]}, {z[2]}, {len(z[3]) + len(z[4])})" for z in ix.ZONE_DETAILS)}) v(zone, lower, upper, n_chars) USING (zone)""")
+@query("index_zone_details", "preset zone days lower:3 upper:3 description note", """
+SELECT preset, v.zone, COUNT(*) AS days, lower, upper, description, note FROM calibrated JOIN (VALUES
+  ('MINIMAL', 0.0, 0.47, 'Coverage is lighter than usual and prices move on their own.', 'Lower quarter of the calibration sample.'),
+  ('BASELINE', 0.47, 0.53, 'Ordinary coverage without unusual pressure.', 'Between the 25th and 60th percentile of the calibration sample.'),
+  ('ELEVATED', 0.53, 0.59, 'Coverage is heavier than usual and prices react more.', 'Between the 60th and 75th percentile of the calibration sample.'),
+  ('HIGH', 0.59, 0.65, 'Coverage is much heavier than usual; reversals become likely.', 'Between the 75th and 95th percentile of the calibration sample.'),
+  ('EXTREME', 0.65, 1.001, 'Coverage is in its top twentieth; the excess fades within days.', 'Above the 95th percentile of the calibration sample.')
+) v(zone, lower, upper, description, note) ON calibrated.score >= v.lower AND calibrated.score < v.upper GROUP BY 1, 2, 4, 5, 6, 7""")
 def index_zone_details(spark, sf):
-    counts = ag.zone_distribution(_calibrated(spark, sf), "zone", "preset")
-    return sc.zone_details(counts).withColumn("n_chars", (F.length("description") + F.length("note")).cast("int"))
+    return sc.zone_details(ag.zone_distribution(_calibrated(spark, sf), "zone", "preset"))
 
 
 _PCT = "CASE " + " ".join(f"WHEN score <= {e} THEN {p}" for e, p in ix.PERCENTILE_BREAKS) + " ELSE 99 END"

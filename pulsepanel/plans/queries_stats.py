@@ -178,13 +178,11 @@ cte("convergence_days", f"SELECT date, {_FLAGS} AS conv_score FROM wide_signal")
 
 
 def convergence_days(spark, sf):
-    """Score 0..2 x presets per day; medians are over calendar days."""
-    wide = fx.wide_signal(spark, sf)
-    meds = wide.agg(*[F.median(f"mentions_{p}").alias(f"med_{p}") for p in _PRE])
+    """Score 0..2 x presets per day; medians are over all calendar days, one row each."""
+    wide = jn.wide_by_preset(pn.signals(spark, sf), list(_PRE), ["mentions", "tone"]).withColumn("calendar", F.lit("all"))
     flags = []
     for p in _PRE:
-        med = meds.select(f"med_{p}").scalar()
-        flags += [F.coalesce(f"mentions_{p}", F.lit(0)) > med, F.coalesce(f"tone_{p}", F.lit(0.0)) < -1.0]
+        flags += [wn.column_threshold(wide, f"mentions_{p}", "calendar"), F.coalesce(f"tone_{p}", F.lit(0.0)) < -1.0]
     return wide.select("date", wn.sum_flags(flags).alias("conv_score"))
 
 
@@ -601,8 +599,8 @@ GROUP BY 1)""".replace("SELECT *, u_stat FROM", "SELECT * FROM").replace("ca / n
 _EN = "SQRT(CAST(n_train AS DOUBLE) * n_test / (n_train + n_test)) * ks_stat"
 
 
-@query("ks_mw", "series_id n_train:i n_test:i ks_stat:6 u_stat:1 mw_z:5 mean_train:6 mean_test:6 mean_diff:6 verdict ks_p:6 mw_p:6", f"""
-SELECT *, {chi2_tail('(GREATEST(mw_z, 0) * GREATEST(mw_z, 0))', '1')} AS mw_p FROM (
+@query("ks_mw", "series_id n_train:i n_test:i ks_stat:6 u_stat:1 mw_z:5 mean_train:6 mean_test:6 mean_diff:6 verdict ks_p:6 ks_p_kind mw_p:6", f"""
+SELECT *, 'limiting' AS ks_p_kind, {chi2_tail('(GREATEST(mw_z, 0) * GREATEST(mw_z, 0))', '1')} AS mw_p FROM (
 SELECT *, (GREATEST(u_stat, CAST(n_train AS DOUBLE) * n_test - u_stat) - CAST(n_train AS DOUBLE) * n_test / 2 - 0.5) /
   SQRT(CAST(n_train AS DOUBLE) * n_test / 12.0 * (n_train + n_test + 1 - ties / ((n_train + n_test) * (n_train + n_test - 1)))) AS mw_z,
   ABS(mean_test - mean_train) AS mean_diff, CASE WHEN ABS(mean_test - mean_train) < 0.03 THEN 'stable' WHEN ABS(mean_test - mean_train) < 0.07 THEN 'moderate' ELSE 'unstable' END AS verdict,
