@@ -143,8 +143,9 @@ def predictive_performance(df: DataFrame, x: str = "oos_score", y: str = "excess
 def walk_forward(df: DataFrame, boundary: str, train: int = TRAIN_ROWS, test: int = TEST_ROWS) -> DataFrame:
     """Correlation on each test block, scaled by the rows before it.
 
-    A row joins the blocks it trains (about train / test of them) by one
-    explode; all grouping stays on the series partitioning.
+    The rows before a block are summed by running sums at its start and
+    ``train`` rows earlier, on values centred per series, so no row is copied
+    and all grouping stays on the series partitioning.
     """
     w = Window.partitionBy("series_id")
     rows = number_rows(proxies(df)).withColumns({
@@ -152,14 +153,20 @@ def walk_forward(df: DataFrame, boundary: str, train: int = TRAIN_ROWS, test: in
         "y": F.coalesce("excess_effect", F.lit(0.0)),
     }) if "rn" not in df.columns else df
     last = F.ceil((F.col("n") - train - test) / F.lit(test)) - 1  # blocks with start < n - train - test
-    lo = F.greatest(F.ceil((F.col("rn") - (train - 1)) / F.lit(test)), F.lit(0))
-    hi = F.least(F.floor(F.col("rn") / F.lit(test)), last)
-    blocks = F.when(hi >= lo, F.sequence(lo.cast("int"), hi.cast("int")))
-    stats = rows.select("series_id", *PROXIES, F.explode(blocks).alias("block")).groupBy("series_id", "block").agg(
-        *[F.avg(p).alias(f"{p}_mu") for p in PROXIES], *[F.stddev_pop(p).alias(f"{p}_sd") for p in PROXIES])
-    mine = F.floor((F.col("rn") - train) / F.lit(test)).cast("int")
-    tested = rows.filter(F.col("rn") >= train).withColumn("block", mine).filter(F.col("block") <= last)
-    scored = tested.join(stats, ["series_id", "block"]).withColumn(
+    order = w.orderBy("rn")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    for p in PROXIES:
+        rows = rows.withColumn(f"{p}_all", F.avg(p).over(w)).withColumn(f"{p}_c", F.col(p) - F.col(f"{p}_all"))
+    rows = rows.withColumns({f"{p}_s1": F.coalesce(F.sum(f"{p}_c").over(before), F.lit(0.0)) for p in PROXIES})
+    rows = rows.withColumns({f"{p}_s2": F.coalesce(F.sum(F.col(f"{p}_c") * F.col(f"{p}_c")).over(before), F.lit(0.0)) for p in PROXIES})
+    for p in PROXIES:
+        mean, square = ((F.col(f"{p}_{s}") - F.lag(f"{p}_{s}", train).over(order)) / F.lit(train) for s in ("s1", "s2"))
+        rows = rows.withColumns({f"{p}_m": F.col(f"{p}_all") + mean, f"{p}_d": F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))})
+    past = F.col("rn") - train
+    tested = rows.filter(past >= 0).withColumn("block", F.floor(past / F.lit(test)).cast("int")).filter(F.col("block") <= last)
+    block, start = Window.partitionBy("series_id", "block"), F.pmod(F.col("rn") - train, F.lit(test)) == 0
+    scored = tested.withColumns({
+        f"{p}_{to}": F.max(F.when(start, F.col(f"{p}_{of}"))).over(block) for p in PROXIES for to, of in (("mu", "m"), ("sd", "d"))}).withColumn(
         "roll", _blend([_z(F.col(p), F.col(f"{p}_mu"), F.col(f"{p}_sd")) for p in PROXIES]))
     agg = pearson_over(F.col("roll"), F.col("y"), 10)
     out = scored.groupBy("series_id", "block").agg(

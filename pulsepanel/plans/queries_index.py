@@ -110,7 +110,7 @@ def source_totals(spark, sf):
 @query("primary_preset", "preset days mentions_mean:6", """
 SELECT preset, COUNT(*) AS days, AVG(mentions) AS mentions_mean FROM media_signal WHERE preset = 'balanced' GROUP BY 1""")
 def primary_preset_query(spark, sf):
-    picked = primary_preset(fx.media_signal(spark, sf), ["balanced", "sensitive", "strong"], 101)
+    picked = primary_preset(pn.signals(spark, sf), ["balanced", "sensitive", "strong"], 101)
     return picked.groupBy("preset").agg(F.count(F.lit(1)).alias("days"), F.avg("mentions").alias("mentions_mean"))
 
 

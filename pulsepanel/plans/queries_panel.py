@@ -286,7 +286,7 @@ def signal_plain(spark, sf):
 @query("signal_mean_per_date", "date:d mentions:6 tone:6", """
 SELECT date, AVG(mentions) AS mentions, AVG(tone) AS tone FROM media_signal GROUP BY 1""")
 def signal_mean_per_date(spark, sf):
-    parts = [fx.media_signal(spark, sf).filter(F.col("preset") == p) for p in fx.PRESETS]
+    parts = [pn.signals(spark, sf).filter(F.col("preset") == p) for p in fx.PRESETS]
     return ag.mean_per_date(jn.union_all(*parts), ["mentions", "tone"])
 
 
