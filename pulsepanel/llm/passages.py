@@ -78,10 +78,7 @@ def stretches(words: np.ndarray, g: np.ndarray, min_words: int, stretch: int) ->
     low = sliding(np.minimum, g[:starts], reach)
     edge = np.zeros(reach - 1, np.uint64)
     at = np.flatnonzero(g[:starts] == sliding(np.maximum, np.concatenate([edge, low, edge]), reach))
-    rows = words[at[:, None] + np.arange(stretch)]
-    h1 = mix((rows * multipliers(stretch, 23)).sum(axis=1, dtype=np.uint64))
-    h2 = mix((rows * multipliers(stretch, 37)).sum(axis=1, dtype=np.uint64)) >> np.uint64(32)
-    return at, h1.view(np.int64), h2.astype(np.uint32).view(np.int32)
+    return at, *window_hashes(words, at, stretch)
 
 
 def long_lines(text: str, min_words: int) -> list[tuple[int, int]]:
@@ -103,12 +100,12 @@ def line_hashes(words: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.nda
 
 def band_keys(g: np.ndarray, spans: list[tuple[int, int]], bands: int, rows: int) -> list[list[int]]:
     """One key per band from the MinHash values of each span of words, given the document's shingles."""
-    lows = np.empty((len(spans), bands * rows), np.uint64)
+    lows = np.empty((len(spans), bands * rows), np.uint64)  # shingle hashes are mixed already; odd factors reorder them
     times = multipliers(bands * rows, 53)
     for i, (a, n) in enumerate(spans):
         low = None
         for at in range(a, a + n - SHINGLE + 1, 4096):  # bounds memory for very long lines
-            part = mix(g[at:min(at + 4096, a + n - SHINGLE + 1), None] * times).min(axis=0)
+            part = (g[at:min(at + 4096, a + n - SHINGLE + 1), None] * times).min(axis=0)
             low = part if low is None else np.minimum(low, part)
         lows[i] = low
     keys = (lows.reshape(-1, bands, rows) * multipliers(rows, 71)).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)
@@ -147,39 +144,71 @@ def in_table(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[slot // BITS] >> (slot % BITS)) & np.uint64(1) == 1
 
 
+def window_hashes(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, second hash) of the ``size`` words from each start."""
+    rows = words[at[:, None] + np.arange(size)]
+    h1 = mix((rows * multipliers(size, 23)).sum(axis=1, dtype=np.uint64))
+    h2 = mix((rows * multipliers(size, 37)).sum(axis=1, dtype=np.uint64)) >> np.uint64(32)
+    return h1.view(np.int64), h2.astype(np.uint32).view(np.int32)
+
+
+def chains(at: np.ndarray, stretch: int) -> list[tuple[int, int]]:
+    """(first, last) starts of stretches that overlap or touch one another."""
+    cuts = np.flatnonzero(np.diff(at) > stretch) + 1
+    return [(int(c[0]), int(c[-1])) for c in np.split(at, cuts) if len(c)]
+
+
 def repeated_stretches(docs: DataFrame, min_words: int, stretch: int) -> DataFrame:
-    """(doc_id, start, words, keeper): every place of a stretch that stands in two documents or more."""
+    """(doc_id, start, words, keeper): places of stretches, and of runs of ``min_words`` + 1 words, that stand in two documents or more.
+
+    Stretches that chain up to a long passage say enough.  Where a chain is
+    short, the runs of ``min_words`` + 1 words around it are compared too, so
+    that a passage of just that length is told from a shorter one.
+    """
+    run = min_words + 1
 
     def cut(doc: int, text: str):
         w = word_hashes(text)
         at, h1, h2 = stretches(w, grams(w), min_words, stretch)
-        return h1, h2, np.full(len(at), doc), at
+        return h1, h2, np.full(len(at), doc)
 
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32()]
-    counted = _map(docs, "h1 long, h2 int, doc_id long", kinds[:3], lambda *a: cut(*a)[:3])
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+    counted = _map(docs, "h1 long, h2 int, doc_id long", kinds[:3], cut)
     counted = counted.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
     repeated = written(counted.where("keeper < last").drop("last"), "repeated-stretches")
     bits = docs.sparkSession.sparkContext.broadcast(bit_table(repeated, "h1"))
 
     def again(doc: int, text: str):
-        found = cut(doc, text)
-        known = in_table(bits.value, found[0])
-        return [x[known] for x in found]
-
-    places = _map(docs, "h1 long, h2 int, doc_id long, start int", kinds, again)
-    return places.join(repeated, ["h1", "h2"]).select("doc_id", "start", F.lit(stretch).alias("words"), "keeper")
-
-
-def connected(sets: list[np.ndarray], others: list[int], least: float) -> np.ndarray:
+        w = word_hashes(text)
+        at, h1, h2 = stretches(w, grams(w), min_words, stretch)
+        known = in_table(bits.value, h1)
+        at, h1, h2 = at[known], h1[known], h2[known]
+        # The bit table may let a few foreign stretches pass, which lengthen a chain; hence the wide limit.
+        found = chains(at, stretch)
+        starts = [np.arange(max(0, a - run + stretch), min(b, len(w) - run) + 1) for a, b in found]
+        short = np.repeat([b - a + stretch < run + 2 * stretch for a, b in found], [len(x) for x in starts]).astype(bool)
+        more = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        r1, r2 = window_hashes(w, more, run)
+        size = np.concatenate([np.full(len(at), stretch), np.where(short, run, 0)])  # 0: counts for others, isn't a place
+        return np.concatenate([h1, r1]), np.concatenate([h2, r2]), np.full(len(size), doc), np.concatenate([at, more]), size
+
+    places = written(_map(docs, "h1 long, h2 int, doc_id long, start int, words int", kinds, again), "stretch-places")
+    runs = places.where(F.col("words") != stretch)
+    held = runs.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").drop("last")
+    found = places.where(F.col("words") == stretch).join(repeated, ["h1", "h2"]).unionByName(runs.where(F.col("words") == run).join(held, ["h1", "h2"]))
+    return found.select("doc_id", "start", "words", "keeper")
+
+
+def connected(sets: list[np.ndarray], side: np.ndarray, least: float) -> np.ndarray:
     """Component number of each set under Jaccard similarity ``least`` or more.
 
     Grows one component at a time: each member is compared with all sets that
     are in no component yet, which is every comparison that can matter.
-    ``others`` marks the side of a set; sets of one side of two aren't compared.
+    Sets of one side of two aren't compared; a side of -1 is compared with all.
     """
     sizes = np.array([len(s) for s in sets])
     flat, start = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    side, label, number = np.array(others), np.full(len(sets), -1), 0
+    label, number = np.full(len(sets), -1), 0
     for seed in range(len(sets)):
         if label[seed] >= 0:
             continue
@@ -245,16 +274,24 @@ def near_lines(docs: DataFrame, min_words: int, similarity: float, bands: int, r
     grid = grid.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).join(sets, ["h1", "h2"])
 
     def verify(t: pa.Table) -> pa.Table:
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        h = t.column("h1").to_numpy()
-        rows_ = [s.values.to_numpy() for s in t.column("shingles")]
-        side = [-1] * len(h) if lo == hi else (t.column("mine").to_numpy() == hi).astype(int).tolist()
-        label = connected(rows_, side, similarity)
-        low = np.full(label.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(low, label, h)
-        return pa.table([pa.array(h), pa.array(low[label])], ["a", "b"])
-
-    edges = grid.groupBy("key", "lo", "hi").applyInArrow(verify, "a long, b long").where("a <> b")
+        """Each block pair of a band bucket by itself; a task gets a few hundred rows of them at once."""
+        h, key, lo, hi, mine = (t.column(c).to_numpy() for c in ("h1", "key", "lo", "hi", "mine"))
+        sets_ = [s.values.to_numpy() for s in t.column("shingles")]
+        order = np.lexsort((hi, lo, key))
+        same = (np.diff(key[order]) == 0) & (np.diff(lo[order]) == 0) & (np.diff(hi[order]) == 0)
+        low = h.copy()
+        for part in np.split(order, np.flatnonzero(~same) + 1):
+            side = np.full(len(part), -1) if lo[part[0]] == hi[part[0]] else (mine[part] == hi[part]).astype(int)
+            label = connected([sets_[i] for i in part], side, similarity)
+            least = np.full(label.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, label, h[part])
+            low[part] = least[label]
+        linked = low != h
+        return pa.table([pa.array(h[linked]), pa.array(low[linked])], ["a", "b"])
+
+    slots = max(1, members.count() // 500)
+    slot = F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(slots)).alias("slot")
+    edges = grid.groupBy(slot).applyInArrow(verify, "a long, b long")
     comp = components(edges)
     of = classes.select("h1", "h2", "first", "last").join(comp, classes.h1 == comp.node, "left")
     of = written(of.select("h1", "h2", "first", "last", F.coalesce("component", "h1").alias("component")), "line-components")
@@ -266,24 +303,50 @@ def near_lines(docs: DataFrame, min_words: int, similarity: float, bands: int, r
 SPANS = "doc_id long, n_passages long, repeated_words long, removed_words long, spans array<struct<start:int,words:int,removed:boolean>>"
 
 
-def _merge(places: DataFrame) -> DataFrame:
-    """One row per document: its repeated stretches of words, joined where they touch; bounded by the document's length."""
-    per = places.groupBy("doc_id").agg(F.collect_set(F.struct("start", "words", (F.col("doc_id") != F.col("keeper")).alias("removed"))).alias("s"))
+def covered(starts: np.ndarray, words: np.ndarray, length: int) -> np.ndarray:
+    """Which words of a document lie in one of the spans."""
+    step = np.zeros(length + 1, np.int64)
+    np.add.at(step, starts, 1)
+    np.add.at(step, starts + words, -1)
+    return step.cumsum()[:-1] > 0
+
+
+def spans_of(flags: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of true flags."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
+def _merge(places: DataFrame, min_words: int, stretch: int) -> DataFrame:
+    """One row per document: its repeated stretches of words, joined where they touch; bounded by the document's length.
+
+    Single stretches count where they join to more than ``min_words`` words.
+    """
+    span = F.struct("start", "words", (F.col("doc_id") != F.col("keeper")).alias("removed"))
+    per = places.groupBy("doc_id").agg(F.collect_list(span).alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = []
-            for found in b.column(1).to_pylist():
-                end = max(s["start"] + s["words"] for s in found)
-                state = np.zeros(end + 2, np.int8)
-                for s in sorted(found, key=lambda s: s["removed"]):
-                    state[s["start"] + 1:s["start"] + s["words"] + 1] = 1 + s["removed"]
-                cuts = np.flatnonzero(np.diff(state))
-                spans.append([{"start": int(x), "words": int(y - x), "removed": bool(state[x + 1] == 2)} for x, y in zip(cuts, cuts[1:]) if state[x + 1]])
+            ids, spans = [], []
+            for doc, found in zip(b.column(0).to_pylist(), b.column(1)):
+                start, words, removed = (found.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                length = int((start + words).max())
+                single = words == stretch
+                keep = ~single
+                for x, y in spans_of(covered(start[single], words[single], length)):
+                    if y - x > min_words:
+                        keep |= single & (start >= x) & (start < y)
+                if not keep.any():
+                    continue
+                gone = covered(start[keep & removed], words[keep & removed], length)
+                state = np.where(gone, 2, covered(start[keep], words[keep], length).astype(int))
+                cuts = [0, *(np.flatnonzero(np.diff(state)) + 1).tolist(), length]
+                ids.append(doc)
+                spans.append([{"start": x, "words": y - x, "removed": bool(state[x] == 2)} for x, y in zip(cuts, cuts[1:]) if state[x]])
             total = [sum(s["words"] for s in x) for x in spans]
             removed = [sum(s["words"] for s in x if s["removed"]) for x in spans]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("removed", pa.bool_())]))
-            arrays = [b.column(0), *(pa.array(x, pa.int64()) for x in ([len(x) for x in spans], total, removed)), pa.array(spans, kind)]
+            arrays = [pa.array(ids, pa.int64()), *(pa.array(x, pa.int64()) for x in ([len(x) for x in spans], total, removed)), pa.array(spans, kind)]
             yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in SPANS.split(", ")])
 
     return per.mapInArrow(run, SPANS)
@@ -296,9 +359,9 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, stretch: int = 30, s
     ``spans`` are stretches of words (first word, words) that stand in another
     document as well; ``removed`` ones have a copy in a document with a smaller
     id and go, the others are what is kept.  Found are all verbatim runs of
-    more than ``min_words`` words, and lines of ``min_words`` words or more with
+    more than ``min_words`` words, and longer lines with
     a similar line elsewhere; a line at Jaccard 0.8 is missed with a chance of
-    1.5 %.  Runs shorter than ``stretch`` words are never reported.
+    1.5 %.  Shorter runs aren't reported.
 
     Null and empty texts hold nothing; rows without an id take no part; rows
     that repeat an id are one document; repeats inside one document aren't
@@ -307,5 +370,5 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, stretch: int = 30, s
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     picked = picked.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    places = repeated_stretches(picked, min_words, stretch).union(near_lines(picked, min_words, similarity, bands, rows, block))
-    return _merge(places)
+    places = repeated_stretches(picked, min_words, stretch).union(near_lines(picked, min_words + 1, similarity, bands, rows, block))
+    return _merge(places, min_words, stretch)
