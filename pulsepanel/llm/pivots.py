@@ -115,30 +115,36 @@ def links(classes: DataFrame, least: float, pivots: int, prefix: int, block: int
     listed = listed.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
 
     def verify(t: pa.Table) -> pa.Table:
+        """Each block pair of a list by itself; a task gets a few thousand rows of them at once."""
         n = t.column("len")[0].as_py()
-        k = t.column("key")[0].as_py()
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
         flat = pa.concat_arrays([c.flatten() for c in t.column("v").chunks]).to_numpy(zero_copy_only=False)
         rows = unit(flat.reshape(-1, n))
         near = pa.concat_arrays([c.flatten() for c in t.column("near").chunks]).to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-        cid, copies, mine = (t.column(c).to_numpy() for c in ("cid", "copies", "mine"))
-        a, b = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
-        linked, counted = compare(rows[a], rows[b], near[a], near[b], (k >> 32, k & 0xFFFFFFFF), least, lo == hi)
-        count = np.zeros(len(rows), np.int64)
-        root = cid.copy()
-        count[a] = counted @ copies[b]
-        root[a], root_b = local_roots(linked, cid[a], cid[b])
-        if lo != hi:
-            count[b] = copies[a] @ counted
-            root[b] = root_b
-        found = np.zeros(len(rows), bool)
-        found[a] = linked.any(axis=1)
-        found[b] |= linked.any(axis=0)
+        cid, copies, mine, key, lo, hi = (t.column(c).to_numpy() for c in ("cid", "copies", "mine", "key", "lo", "hi"))
+        label = np.unique(t.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        order = np.lexsort((hi, lo, key, label))
+        steps = [np.diff(x[order]) != 0 for x in (label, key, lo, hi)]
+        count, root, found = np.zeros(len(rows), np.int64), cid.copy(), np.zeros(len(rows), bool)
+        for part in np.split(order, np.flatnonzero(np.any(steps, axis=0)) + 1):
+            k, low, high = int(key[part[0]]), lo[part[0]], hi[part[0]]
+            a, b = part[mine[part] == low], part[mine[part] == high]
+            linked, counted = compare(rows[a], rows[b], near[a], near[b], (k >> 32, k & 0xFFFFFFFF), least, low == high)
+            if not linked.any():
+                continue
+            count[a] = counted @ copies[b]
+            root[a], root_b = local_roots(linked, cid[a], cid[b])
+            found[a] = linked.any(axis=1)
+            if low != high:
+                count[b] = copies[a] @ counted
+                root[b] = root_b
+                found[b] = linked.any(axis=0)
         keep = pa.array(found)
         out = [t.column(c).filter(keep) for c in ("cid", "h1", "h2")] + [pa.array(count[found]), pa.array(root[found])]
         return pa.table(out, ["cid", "h1", "h2", "links", "root"])
 
-    return listed.groupBy(*group, "lo", "hi").applyInArrow(verify, "cid long, h1 long, h2 long, links long, root long")
+    slots = max(1, lists.count() * (prefix * (prefix - 1) // 2) // 4000)
+    slot = F.pmod(F.xxhash64("label", "key", "lo", "hi"), F.lit(slots)).alias("slot")
+    return listed.groupBy("len", slot).applyInArrow(verify, "cid long, h1 long, h2 long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93, pivots: int = 128, prefix: int = 5, block: int = 2048,
