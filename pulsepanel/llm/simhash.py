@@ -135,13 +135,17 @@ def simhash_groups(docs: DataFrame, words: int = 3, max_distance: int = 2, segme
     return prints.join(roots.join(low, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, **options) -> DataFrame:
-    """The documents without all but one of each near-duplicate group: the row with the smallest id stays.
+def keep_smallest(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The documents without all but one of each group (doc_id, component_id): the row with the smallest id stays.
 
     Rows without an id stay (they can't be told apart).  Rows that repeat the
     smallest id with its text become one; with another text they stay.
     """
-    groups = simhash_groups(docs, words, **options)
     stays = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def keep_one(docs: DataFrame, words: int = 3, **options) -> DataFrame:
+    """The documents without all but one of each group of near fingerprints."""
+    return keep_smallest(docs, simhash_groups(docs, words, **options))
