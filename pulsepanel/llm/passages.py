@@ -158,12 +158,13 @@ def chains(at: np.ndarray, stretch: int) -> list[tuple[int, int]]:
     return [(int(c[0]), int(c[-1])) for c in np.split(at, cuts) if len(c)]
 
 
-def repeated_stretches(docs: DataFrame, min_words: int, stretch: int) -> DataFrame:
-    """(doc_id, start, words, keeper): places of stretches, and of runs of ``min_words`` + 1 words, that stand in two documents or more.
+def repeated_runs(docs: DataFrame, min_words: int, stretch: int) -> DataFrame:
+    """(doc_id, start, words, keeper): places of all runs of ``min_words`` + 1 words that stand in two documents or more.
 
-    Stretches that chain up to a long passage say enough.  Where a chain is
-    short, the runs of ``min_words`` + 1 words around it are compared too, so
-    that a passage of just that length is told from a shorter one.
+    Every such run holds a repeated stretch, so only the runs around chains of
+    stretches are placed and compared.  A longer passage is the union of its
+    runs, up to its first and last word.  Foreign stretches that the bit table
+    lets pass add runs to compare and decide nothing.
     """
     run = min_words + 1
 
@@ -172,31 +173,23 @@ def repeated_stretches(docs: DataFrame, min_words: int, stretch: int) -> DataFra
         at, h1, h2 = stretches(w, grams(w), min_words, stretch)
         return h1, h2, np.full(len(at), doc)
 
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32()]
     counted = _map(docs, "h1 long, h2 int, doc_id long", kinds[:3], cut)
     counted = counted.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
-    repeated = written(counted.where("keeper < last").drop("last"), "repeated-stretches")
+    repeated = written(counted.where("keeper < last").select("h1"), "repeated-stretches")
     bits = docs.sparkSession.sparkContext.broadcast(bit_table(repeated, "h1"))
 
     def again(doc: int, text: str):
         w = word_hashes(text)
-        at, h1, h2 = stretches(w, grams(w), min_words, stretch)
-        known = in_table(bits.value, h1)
-        at, h1, h2 = at[known], h1[known], h2[known]
-        # The bit table may let a few foreign stretches pass, which lengthen a chain; hence the wide limit.
-        found = chains(at, stretch)
-        starts = [np.arange(max(0, a - run + stretch), min(b, len(w) - run) + 1) for a, b in found]
-        short = np.repeat([b - a + stretch < run + 2 * stretch for a, b in found], [len(x) for x in starts]).astype(bool)
-        more = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        r1, r2 = window_hashes(w, more, run)
-        size = np.concatenate([np.full(len(at), stretch), np.where(short, run, 0)])  # 0: counts for others, isn't a place
-        return np.concatenate([h1, r1]), np.concatenate([h2, r2]), np.full(len(size), doc), np.concatenate([at, more]), size
-
-    places = written(_map(docs, "h1 long, h2 int, doc_id long, start int, words int", kinds, again), "stretch-places")
-    runs = places.where(F.col("words") != stretch)
-    held = runs.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").drop("last")
-    found = places.where(F.col("words") == stretch).join(repeated, ["h1", "h2"]).unionByName(runs.where(F.col("words") == run).join(held, ["h1", "h2"]))
-    return found.select("doc_id", "start", "words", "keeper")
+        at, h1, _ = stretches(w, grams(w), min_words, stretch)
+        at = at[in_table(bits.value, h1)]
+        starts = np.unique(np.concatenate([np.arange(max(0, a - run + stretch), min(b, len(w) - run) + 1) for a, b in chains(at, stretch)] or [at]))
+        h1, h2 = window_hashes(w, starts, run)
+        return h1, h2, np.full(len(starts), doc), starts
+
+    places = written(_map(docs, "h1 long, h2 int, doc_id long, start int", kinds, again), "run-places")
+    held = places.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").drop("last")
+    return places.join(held, ["h1", "h2"]).select("doc_id", "start", F.lit(run).alias("words"), "keeper")
 
 
 def connected(sets: list[np.ndarray], side: np.ndarray, least: float) -> np.ndarray:
@@ -317,11 +310,8 @@ def spans_of(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def _merge(places: DataFrame, min_words: int, stretch: int) -> DataFrame:
-    """One row per document: its repeated stretches of words, joined where they touch; bounded by the document's length.
-
-    Single stretches count where they join to more than ``min_words`` words.
-    """
+def _merge(places: DataFrame) -> DataFrame:
+    """One row per document: its repeated runs and lines, joined where they touch; bounded by the document's length."""
     span = F.struct("start", "words", (F.col("doc_id") != F.col("keeper")).alias("removed"))
     per = places.groupBy("doc_id").agg(F.collect_list(span).alias("s"))
 
@@ -331,15 +321,8 @@ def _merge(places: DataFrame, min_words: int, stretch: int) -> DataFrame:
             for doc, found in zip(b.column(0).to_pylist(), b.column(1)):
                 start, words, removed = (found.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
                 length = int((start + words).max())
-                single = words == stretch
-                keep = ~single
-                for x, y in spans_of(covered(start[single], words[single], length)):
-                    if y - x > min_words:
-                        keep |= single & (start >= x) & (start < y)
-                if not keep.any():
-                    continue
-                gone = covered(start[keep & removed], words[keep & removed], length)
-                state = np.where(gone, 2, covered(start[keep], words[keep], length).astype(int))
+                gone = covered(start[removed], words[removed], length)
+                state = np.where(gone, 2, covered(start, words, length).astype(int))
                 cuts = [0, *(np.flatnonzero(np.diff(state)) + 1).tolist(), length]
                 ids.append(doc)
                 spans.append([{"start": x, "words": y - x, "removed": bool(state[x] == 2)} for x, y in zip(cuts, cuts[1:]) if state[x]])
@@ -370,5 +353,5 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, stretch: int = 30, s
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     picked = picked.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    places = repeated_stretches(picked, min_words, stretch).union(near_lines(picked, min_words + 1, similarity, bands, rows, block))
-    return _merge(places, min_words, stretch)
+    places = repeated_runs(picked, min_words, stretch).union(near_lines(picked, min_words + 1, similarity, bands, rows, block))
+    return _merge(places)

@@ -364,6 +364,24 @@ def test_passages(spark):
     assert set(blocks) == set(got)
 
 
+@pytest.mark.parametrize("slots", [64, 1 << 26])
+def test_passage_bounds_for_any_table(spark, slots, monkeypatch):
+    """Runs of 50 words or more, with few slots nearly all of which are taken: true bounds, and none of 50 words."""
+    monkeypatch.setattr(passages, "SLOTS", slots)
+    rng = np.random.default_rng(21)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10 ** 9, n)]
+    rows, want = [], {}
+    for k, size in enumerate([50, 51, 52, 55, 60, 65, 70, 90, 110, 111, 150, 200, 260] * 3):
+        shared = fresh(size)
+        for side in range(2):
+            before = int(rng.integers(40, 160))
+            rows.append((2 * k + side, " ".join(fresh(before) + shared + fresh(120))))
+            if size > 50:
+                want[2 * k + side] = [(before, size, side == 1)]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in passages.repeated_passages(frame(spark, rows)).collect()}
+    assert got == want
+
+
 def test_connected_matches_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(20):
