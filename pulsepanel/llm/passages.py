@@ -342,8 +342,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, stretch: int = 30, s
     ``spans`` are stretches of words (first word, words) that stand in another
     document as well; ``removed`` ones have a copy in a document with a smaller
     id and go, the others are what is kept.  Found are all verbatim runs of
-    more than ``min_words`` words, and longer lines with
-    a similar line elsewhere; a line at Jaccard 0.8 is missed with a chance of
+    more than ``min_words`` words up to their first and last word, and longer
+    lines with a similar line elsewhere; a line at Jaccard 0.8 is missed with a chance of
     1.5 %.  Shorter runs aren't reported.
 
     Null and empty texts hold nothing; rows without an id take no part; rows
