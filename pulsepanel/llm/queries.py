@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsepanel.llm import langid, lines, mixing, packing, passages, pieces, pivots, simhash, templates, vafile
+from pulsepanel.llm import bytepairs, langid, lines, mixing, packing, passages, pieces, pivots, simhash, templates, vafile
 from pulsepanel.llm.common import table
 
 
@@ -64,6 +64,17 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = bytepairs.decode(bytepairs.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return done.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(bytepairs.little_endian(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 LINES_SQL = r"""
 WITH cut AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
@@ -82,7 +93,7 @@ FROM marked GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op2_vector_topk, op3_html_text, op4_token_counts, op5_packing, op6_mixing, op7_pivot_dedup, op8_simhash, op9_line_dedup, op10_passages)}
+    f.__name__: f for f in (op1_language, op2_vector_topk, op3_html_text, op4_token_counts, op5_packing, op6_mixing, op7_pivot_dedup, op8_simhash, op9_line_dedup, op10_passages, op12_byte_bpe)}
 VECTORS_SQL = """
 WITH usable AS (
   SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
