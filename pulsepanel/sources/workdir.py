@@ -59,6 +59,17 @@ def stage(spark: SparkSession, source: str, name: str, build: Callable[[], DataF
     return spark.read.parquet(_stages[key])
 
 
+def remove_table(path_of: DataFrame) -> None:
+    """Delete the files of a table under the shared folder, given a frame that was read from it."""
+    spark = path_of.sparkSession
+    jvm, root = spark.sparkContext._jvm, shared_dir(spark)
+    for folder in {f.rsplit("/", 1)[0] for f in path_of.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if root.split(":", 1)[-1].lstrip("/") not in folder:
+            raise ValueError(f"{folder} is not under {root}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget_stages() -> None:
     """Next use rebuilds; the bench calls this between measurements."""
     _stages.clear()
