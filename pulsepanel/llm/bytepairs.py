@@ -35,9 +35,10 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,27 +60,30 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @cache
-def _library_class(name: str) -> str:
-    """All characters of a Unicode class as the tokenizer library knows it."""
+def _library_class(name: str) -> np.ndarray:
+    """Code points of a Unicode class as the tokenizer library knows it."""
     import tiktoken
 
     probe = tiktoken.Encoding("probe", pat_str=name, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
-    return probe.decode(probe.encode_ordinary(_all_characters()))
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    blocks = ("".join(every[i:i + 4096]) for i in range(0, len(every), 4096))
+    return np.array([ord(c) for b in blocks for c in probe.decode(probe.encode_ordinary(b))])
 
 
-@cache
-def _all_characters() -> str:
-    return "".join(map(chr, (i for i in range(0x110000) if not 0xD800 <= i < 0xE000)))
+def _java_class(spark: SparkSession, name: str) -> np.ndarray:
+    """Code points of a Unicode class as the executors' Java knows it."""
+    points = spark.range(0x110000).where("id < 55296 OR id > 57343")
+    letter = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    return points.where(letter.rlike(name)).toPandas()["id"].to_numpy()
 
 
-def _ranges(points: Iterable[int]) -> str:
-    runs: list[list[int]] = []
-    for p in sorted(points):
-        if runs and runs[-1][1] == p - 1:
-            runs[-1][1] = p
-        else:
-            runs.append([p, p])
-    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
+def _ranges(points: np.ndarray) -> str:
+    if not len(points):
+        return ""
+    points = np.sort(points)
+    ends = np.flatnonzero(np.diff(points) > 1)
+    firsts, lasts = points[np.concatenate([[0], ends + 1])], points[np.concatenate([ends, [len(points) - 1]])]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(firsts.tolist(), lasts.tolist()))
 
 
 _patterns: dict[tuple[str, str], str] = {}
@@ -89,12 +93,10 @@ def java_pattern(spark: SparkSession, pattern: str) -> str:
     """The split pattern with classes that match what the tokenizer library matches, whatever Java's Unicode version."""
     key = spark.sparkContext.applicationId, pattern
     if key not in _patterns:
-        everything = F.lit(_all_characters())
-        rest = spark.range(1).select(*[F.regexp_replace(everything, F.lit(c), F.lit("")) for c in (r"\p{L}", r"\p{N}")]).first()
         plus, minus = {}, {}
-        for c, left in zip(("L", "N"), rest):
-            library, java = set(map(ord, _library_class(rf"\p{{{c}}}"))), set(range(0x110000)) - set(map(ord, left)) - set(range(0xD800, 0xE000))
-            plus[c], minus[c] = _ranges(library - java), _ranges(java - library)
+        for c in "LN":
+            library, java = _library_class(rf"\p{{{c}}}"), _java_class(spark, rf"\p{{{c}}}")
+            plus[c], minus[c] = _ranges(np.setdiff1d(library, java)), _ranges(np.setdiff1d(java, library))
         both = r"\s" + "".join(rf"\p{{{c}}}{plus[c]}" for c in "LN")
         gone = "".join(minus.values())
         other = f"[^{both}]" if not gone else f"(?:[^{both}]|[{gone}])"

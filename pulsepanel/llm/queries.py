@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsepanel.llm import bytepairs, langid, lines, mixing, packing, passages, pieces, pivots, simhash, templates, vafile
+from pulsepanel.llm import bytepairs, codebooks, langid, lines, mixing, packing, passages, pieces, pivots, simhash, templates, vafile
 from pulsepanel.llm.common import table
 
 
@@ -75,6 +75,10 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 LINES_SQL = r"""
 WITH cut AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
@@ -93,7 +97,7 @@ FROM marked GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op2_vector_topk, op3_html_text, op4_token_counts, op5_packing, op6_mixing, op7_pivot_dedup, op8_simhash, op9_line_dedup, op10_passages, op12_byte_bpe)}
+    f.__name__: f for f in (op1_language, op2_vector_topk, op3_html_text, op4_token_counts, op5_packing, op6_mixing, op7_pivot_dedup, op8_simhash, op9_line_dedup, op10_passages, op12_byte_bpe, op13_vector_codes)}
 VECTORS_SQL = """
 WITH usable AS (
   SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
@@ -106,4 +110,4 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-SQL = {"op2_vector_topk": VECTORS_SQL, "op6_mixing": mixing.SQL, "op9_line_dedup": LINES_SQL}
+SQL = {"op2_vector_topk": VECTORS_SQL, "op6_mixing": mixing.SQL, "op9_line_dedup": LINES_SQL, "op13_vector_codes": codebooks.SQL}
