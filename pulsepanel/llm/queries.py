@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsepanel.llm import bytepairs, codebooks, langid, lines, mixing, packing, passages, pieces, pivots, simhash, templates, vafile
+from pulsepanel.llm import bytepairs, codebooks, langid, lines, mixing, packing, passages, pieces, pivots, prefixtrie, simhash, templates, vafile
 from pulsepanel.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.conversation_tree(table(spark, sf_dir, "conversations"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -97,7 +101,7 @@ FROM marked GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language, op2_vector_topk, op3_html_text, op4_token_counts, op5_packing, op6_mixing, op7_pivot_dedup, op8_simhash, op9_line_dedup, op10_passages, op12_byte_bpe, op13_vector_codes)}
+    f.__name__: f for f in (op1_language, op2_vector_topk, op3_html_text, op4_token_counts, op5_packing, op6_mixing, op7_pivot_dedup, op8_simhash, op9_line_dedup, op10_passages, op11_conversation_trie, op12_byte_bpe, op13_vector_codes)}
 VECTORS_SQL = """
 WITH usable AS (
   SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
@@ -110,4 +114,4 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-SQL = {"op2_vector_topk": VECTORS_SQL, "op6_mixing": mixing.SQL, "op9_line_dedup": LINES_SQL, "op13_vector_codes": codebooks.SQL}
+SQL = {"op2_vector_topk": VECTORS_SQL, "op6_mixing": mixing.SQL, "op9_line_dedup": LINES_SQL, "op11_conversation_trie": prefixtrie.SQL, "op13_vector_codes": codebooks.SQL}
