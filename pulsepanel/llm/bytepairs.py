@@ -8,16 +8,17 @@ expressions see it; where Java's Unicode tables differ from the tokenizer
 library's, the letters and digits of the pattern are corrected by the
 difference, computed once a session.
 
-* **Rank map.**  One constant value: 65,536 small maps, chosen by a token's
-  hash, since Spark looks a key up by scanning its map.  Bytes are held as
-  Latin-1 characters, one a byte.
+* **Rank map.**  One constant array: a hash table with two places for every
+  pair of tokens that makes a token, since Spark looks a key of a map up by
+  scanning it.
 * **Fold.**  ``aggregate`` over as many steps as a word has bytes; the state
-  holds the pieces and the rank of every neighbouring pair, and a merge
-  renews the two ranks beside it.
-* **Distinct words.**  Words are counted over all texts and the commonest
-  ``known_words`` folded once; their ids go into every task as one more
-  constant.  Any other word is folded where it stands, so no text is ever
-  shuffled and nothing grows with the corpus but the count of words.
+  is an array with one long a piece, which holds the rank of the pair it makes
+  with its neighbour, its offset and its id.  A merge renews two of them.
+* **Distinct words.**  Words are counted over all texts; the commonest
+  ``most_known``, and the vocabulary's own, are folded once, and their ids go
+  into every task as one more constant.  Any other word is folded where it
+  stands, so no text is ever shuffled and nothing grows with the corpus but the
+  count of words.
 * **Long words.**  The fold's work grows with the square of a word.  Texts with
   a run of more than 64 characters without (or of) white space may hold words
   of more than 260 bytes; all their words go through a heap of pairs with the
@@ -47,9 +48,14 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from pulsepanel.llm.common import written
 
-#: Words whose ids every task holds; the rest are folded in place.  About 10 MB.
-KNOWN_WORDS = 1 << 17
-BUCKETS = 1 << 16
+#: Words whose ids every task holds, beside the vocabulary's own; the rest are folded in place.  About 20 MB.
+KNOWN_WORDS = 1 << 18
+BUCKETS = 1 << 17
+#: Places of the pair table (a vocabulary of 50,000 tokens has about a quarter of a million pairs).
+PAIR_SLOTS = 1 << 20
+NONE, EMPTY = 0xFFFFF, 1 << 61
+#: Odd factors that spread the two ids of a pair over the table.
+MIXERS = ((0x9E3779B1, 0x85EBCA77), (0xC2B2AE3D, 0x27D4EB2F))
 #: A text without a longer run than this of one kind of character has no word of over 4 * 65 bytes.
 LONG_RUN = 64
 
@@ -87,6 +93,7 @@ def _ranges(points: np.ndarray) -> str:
 
 
 _patterns: dict[tuple[str, str], str] = {}
+ASCII = {"L": "a-zA-Z", "N": "0-9"}  # asked first
 
 
 def java_pattern(spark: SparkSession, pattern: str) -> str:
@@ -97,12 +104,13 @@ def java_pattern(spark: SparkSession, pattern: str) -> str:
         for c in "LN":
             library, java = _library_class(rf"\p{{{c}}}"), _java_class(spark, rf"\p{{{c}}}")
             plus[c], minus[c] = _ranges(np.setdiff1d(library, java)), _ranges(np.setdiff1d(java, library))
-        both = r"\s" + "".join(rf"\p{{{c}}}{plus[c]}" for c in "LN")
+        plus = {c: f"[\\x{{80}}-\\x{{10ffff}}&&[{p}]]" if p else "" for c, p in plus.items()}  # ASCII never walks the corrections
+        both = r"\s" + "".join(rf"{ASCII[c]}\p{{{c}}}{plus[c]}" for c in "LN")
         gone = "".join(minus.values())
         other = f"[^{both}]" if not gone else f"(?:[^{both}]|[{gone}])"
         out = pattern.replace(r"[^\s\p{L}\p{N}]", "OTHER")
         for c in "LN":
-            kind = rf"\p{{{c}}}{plus[c]}"
+            kind = rf"{ASCII[c]}\p{{{c}}}{plus[c]}"
             out = out.replace(rf"\p{{{c}}}", f"[{kind}&&[^{minus[c]}]]" if minus[c] else f"[{kind}]")
         _patterns[key] = "(?U)" + out.replace("OTHER", other)
     return _patterns[key]
@@ -113,8 +121,8 @@ def words_of(text: Column, pattern: str) -> Column:
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
-    """One-based place of a key among the small maps."""
-    return (F.pmod(F.xxhash64(key), F.lit(buckets)) + 1).cast("int")
+    """Place of a key among the small maps, from zero; ``buckets`` is a power of two."""
+    return F.xxhash64(key).bitwiseAND(buckets - 1).cast("int")
 
 
 def constant_map(entries: DataFrame, buckets: int = BUCKETS) -> Column:
@@ -128,8 +136,8 @@ def constant_map(entries: DataFrame, buckets: int = BUCKETS) -> Column:
 
 
 def constant_array(placed: DataFrame, size: int) -> Column:
-    """(place, value) rows, places from 1 to ``size``, as one constant array; NULL where no row has the place."""
-    every = placed.sparkSession.range(1, size + 1).select(F.col("id").cast("int").alias("place")).join(placed, "place", "left")
+    """(place, value) rows, places from zero, as one constant array of ``size``; NULL where no row has the place."""
+    every = placed.sparkSession.range(size).select(F.col("id").cast("int").alias("place")).join(placed, "place", "left")
     rows = every.agg(F.array_sort(F.collect_list(F.struct("place", "value")), lambda a, b: a["place"] - b["place"]).alias("rows"))
     return rows.select(F.transform("rows", lambda x: x["value"])).scalar()
 
@@ -153,7 +161,7 @@ def using(df: DataFrame, constants: list[Column], name: str, body) -> DataFrame:
 
 
 def look_up(table: Column, key: Column, buckets: int = BUCKETS) -> Column:
-    return F.try_element_at(F.element_at(table, bucket_of(key, buckets)), key)
+    return F.try_element_at(F.get(table, bucket_of(key, buckets)), key)
 
 
 def let(value: Column, body) -> Column:
@@ -161,35 +169,96 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def fold(word: Column, ranks: Column) -> Column:
-    """The ids of one word: the pair of lowest rank is merged, step by step, over the bytes."""
-    def pairs(pieces: Column) -> Column:
-        n = F.size(pieces) - 1
-        return F.zip_with(F.slice(pieces, 1, n), F.slice(pieces, 2, n), lambda a, b: look_up(ranks, F.concat(a, b)))
+def pair_table(ranks: dict[bytes, int], slots: int = PAIR_SLOTS) -> np.ndarray:
+    """All pairs of tokens whose joined bytes are a token, as a cuckoo table: key * 2^20 + merged id, in one of two places of the key.
 
-    def merge(state: Column, at: Column) -> Column:
-        pieces, rank = state["pieces"], state["ranks"]
-        n, none = F.size(pieces), F.array().cast("array<int>")
-        joined = F.concat(F.element_at(pieces, at), F.element_at(pieces, at + 1))
-        before = F.when(at > 1, F.array(look_up(ranks, F.concat(F.try_element_at(pieces, at - 1), joined)))).otherwise(none)
-        after = F.when(at + 1 < n, F.array(look_up(ranks, F.concat(joined, F.try_element_at(pieces, at + 2))))).otherwise(none)
-        return F.struct(
-            F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(joined), F.slice(pieces, at + 2, n)).alias("pieces"),
-            F.concat(F.slice(rank, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(rank, at + 2, n)).alias("ranks"))
+    The key is left id * 2^20 + right id; ``EMPTY`` marks a free place.
+    """
+    table = [EMPTY] * slots
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is None or right is None:
+                continue
+            item = (left << 20 | right) << 20 | rank
+            place = _places(left, right, slots)[0]
+            for _ in range(1000):
+                item, table[place] = table[place], item
+                if item == EMPTY:
+                    break
+                first, second = _places(item >> 40, item >> 20 & NONE, slots)
+                place = second if place == first else first
+            else:
+                raise ValueError("the pair table is too full; use more slots")
+    return np.array(table, np.int64)
+
+
+def _places(left, right, slots: int) -> list:
+    """The two places of a pair: bits of products that stay below 2^63.  Works on integers and on columns."""
+    mixed = [left * a + right * b for a, b in MIXERS]
+    return [F.shiftright(m, 16).bitwiseAND(slots - 1) if isinstance(m, Column) else m >> 16 & slots - 1 for m in mixed]
+
+
+def joined_rank(pairs: Column, left: Column, right: Column, slots: int = PAIR_SLOTS) -> Column:
+    """Id of the token that two neighbours make, or ``NONE``.
+
+    XOR with the key leaves the id where a place holds the pair, and a larger number where it holds another or none.
+    """
+    key = F.shiftleft(left, 40).bitwiseOR(F.shiftleft(right, 20))
+    return F.least(*[F.get(pairs, p.cast("int")).bitwiseXOR(key) for p in _places(left, right, slots)], F.lit(NONE).cast("bigint"))
+
+
+def fold(word: Column, whole: Column, pairs: Column, singles: Column) -> Column:
+    """The ids of one word: the pair of lowest rank is merged, step by step, over the bytes.
+
+    ``whole`` is the id of the word if it is a token.  A piece is one long:
+    rank of the pair it makes with the next piece (20 bits, ``NONE`` for
+    none), its offset (22), its id (20).  The smallest is the leftmost pair of
+    lowest rank, and its rank is the id of the merged piece.
+    """
+    def id_of(x: Column) -> Column:
+        return x.bitwiseAND(NONE)
+
+    def place_of(state: Column, low: Column) -> Column:
+        """One-based; counts offsets, since array_position leaves its loop by an exception."""
+        offset = 0x3FFFFF << 20
+        return F.size(F.filter(state, lambda x: x.bitwiseAND(offset) <= low.bitwiseAND(offset)))
+
+    def ranked(x: Column, rank: Column) -> Column:
+        return F.shiftleft(rank, 42).bitwiseOR(x)
+
+    def merge(state: Column, low: Column, at: Column) -> Column:
+        merged = F.shiftright(low, 42)
+
+        def here(after: Column) -> Column:
+            piece = low.bitwiseAND(0x3FFFFF << 20).bitwiseOR(merged)  # its offset, its new id
+            return F.when(after.isNull(), ranked(piece, F.lit(NONE).cast("bigint"))).otherwise(ranked(piece, joined_rank(pairs, merged, id_of(after))))
+
+        def with_before(before: Column) -> Column:
+            return ranked(before.bitwiseAND((1 << 42) - 1), joined_rank(pairs, id_of(before), merged))
+
+        piece = let(F.get(state, at + 1), here)  # get counts from zero
+        return F.when(at > 1, F.concat(
+            F.slice(state, F.lit(1), at - 2), F.array(let(F.get(state, at - 2), with_before), piece), F.slice(state, at + 2, F.size(state)),
+        )).otherwise(F.concat(F.array(piece), F.slice(state, F.lit(3), F.size(state))))
 
     def step(state: Column, _: Column) -> Column:
-        at = F.array_position(state["ranks"], F.array_min(state["ranks"])).cast("int")  # the leftmost of the lowest
-        return F.when(F.array_min(state["ranks"]).isNull(), state).otherwise(let(at, lambda i: merge(state, i)))
+        return let(F.array_min(state), lambda low: F.when(low >= F.lit(NONE << 42), state).otherwise(
+            let(place_of(state, low), lambda at: merge(state, low, at))))
 
-    def merged(latin: Column) -> Column:
-        pieces = F.split(latin, F.lit(""))
-        start = F.struct(pieces.alias("pieces"), pairs(pieces).alias("ranks"))
-        return F.aggregate(F.sequence(F.lit(1), F.length(latin)), start, step, lambda s: F.transform(s["pieces"], lambda p: look_up(ranks, p)))
+    def start(ids: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            after = F.get(ids, i + 1)
+            rank = F.when(after.isNull(), F.lit(NONE).cast("bigint")).otherwise(joined_rank(pairs, x, after))
+            return ranked(F.shiftleft(i.cast("bigint"), 20).bitwiseOR(x), rank)
+
+        return F.transform(ids, piece)
 
-    def of(latin: Column) -> Column:
-        return let(look_up(ranks, latin), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged(latin)))
+    def merged(latin: Column) -> Column:
+        ids = F.transform(F.split(latin, F.lit("")), lambda c: F.get(singles, F.ascii(c)))
+        return F.aggregate(F.sequence(F.lit(2), F.length(latin) + 1), let(ids, start), step, lambda s: F.transform(s, lambda x: id_of(x).cast("int")))
 
-    return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), of)
+    return F.when(whole.isNotNull(), F.array(whole)).otherwise(merged(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -241,12 +310,13 @@ def _encode_long(ranks: dict[bytes, int], name: str):
 
 
 def known_words(texts: DataFrame, text: str, pattern: str, most: int) -> DataFrame:
-    """The commonest words over all rows, ``most`` at most: all words from some count up.
+    """The commonest words that texts without long runs may hold, ``most`` at most: all words from some count up.
 
     The count to start from is read off a histogram of counts by 32nds of a
     power of two, a table of under 2,048 rows.
     """
-    words = texts.select(F.explode(words_of(F.col(text), pattern)).alias("key")).groupBy("key").count()
+    words = texts.select(F.explode(words_of(F.col(text), pattern)).alias("key")).where(F.length("key") <= LONG_RUN + 1)
+    words = words.groupBy("key").count()
     words = written(words.withColumn("level", F.floor(F.log2("count") * 32).cast("int")), "words")
     total, cut = 0, None
     for level, n in sorted(((r["level"], r["n"]) for r in words.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
@@ -257,32 +327,61 @@ def known_words(texts: DataFrame, text: str, pattern: str, most: int) -> DataFra
     return words.where(F.col("level") >= F.lit(cut)).select("key")
 
 
+class Vocabulary:
+    """A rank file as constants of a plan."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.ranks = spark, read_ranks(path)
+        if max(self.ranks.values()) >= NONE:
+            raise ValueError("ids of a vocabulary take 20 bits at most")
+
+    def pairs(self) -> Column:
+        return self._constant(pair_table(self.ranks))
+
+    def singles(self) -> Column:
+        return self._constant(np.array([self.ranks[bytes([b])] for b in range(256)], np.int64))
+
+    def _constant(self, values: np.ndarray) -> Column:
+        row = pa.table({"value": pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))})
+        return written(self.spark.createDataFrame(row), "constant").select("value").scalar()
+
+    def tokens(self) -> DataFrame:
+        """(key, whole): tokens whose bytes are text, as words may be."""
+        text = [(t.decode(), r) for t, r in self.ranks.items() if _is_text(t)]
+        return written(self.spark.createDataFrame(pd.DataFrame(text, columns=["key", "whole"])).select("key", F.col("whole").cast("int")), "tokens")
+
+
+def _is_text(token: bytes) -> bool:
+    try:
+        return bool(token.decode())
+    except UnicodeDecodeError:
+        return False
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", most_known: int = KNOWN_WORDS) -> DataFrame:
     """The rows with an array of token ids of each whole text, as the column ``ids``."""
     spark = docs.sparkSession
-    ranks, split = read_ranks(ranks_path), java_pattern(spark, pattern)
-    table = pd.DataFrame({"key": [token.decode("latin-1") for token in ranks], "value": list(ranks.values())})
-    entries = written(spark.createDataFrame(table).select("key", F.col("value").cast("int")), "ranks")
-    rank_map = constant_map(entries)
-    known = using(known_words(docs, text, split, most_known), [rank_map], "value", lambda r: fold(F.col("key"), r))
-    known_map = constant_map(written(known, "known"))
+    book, split = Vocabulary(spark, ranks_path), java_pattern(spark, pattern)
+    pairs, singles, tokens = book.pairs(), book.singles(), book.tokens()
+    words = known_words(docs, text, split, most_known).join(tokens, "key", "full")  # every token is known, so no other word is one
+    known = written(using(words, [pairs, singles], "value", lambda p, s: fold(F.col("key"), F.col("whole"), p, s)), "known")
     long = F.coalesce(F.col(text).rlike(rf"(?U)(?<!\S)\S{{{LONG_RUN + 1},}}|\s{{{LONG_RUN + 1},}}"), F.lit(False))
 
-    def of_word(word: Column, known_map: Column, rank_map: Column) -> Column:
-        return F.coalesce(look_up(known_map, word), fold(word, rank_map))
+    def of_word(word: Column, known_map: Column, pairs: Column, singles: Column) -> Column:
+        return F.coalesce(look_up(known_map, word), fold(word, F.lit(None).cast("int"), pairs, singles))
 
     short = using(
-        docs.where(~long), [known_map, rank_map], ids,
-        lambda k, r: F.flatten(F.transform(words_of(F.col(text), split), lambda w: of_word(w, k, r))))
+        docs.where(~long), [constant_map(known.select("key", "value")), pairs, singles], ids,
+        lambda k, p, s: F.flatten(F.transform(words_of(F.col(text), split), lambda w: of_word(w, k, p, s))))
     rest = docs.where(long).select(*[F.col(f"`{c}`") for c in docs.columns if c != ids], words_of(F.col(text), split).alias("__words"))
     kept = StructType([f for f in docs.schema if f.name != ids])
-    return short.unionByName(rest.mapInArrow(_encode_long(ranks, ids), kept.add(ids, ArrayType(IntegerType()))))
+    return short.unionByName(rest.mapInArrow(_encode_long(book.ranks, ids), kept.add(ids, ArrayType(IntegerType()))))
 
 
 def token_bytes(spark: SparkSession, ranks_path: str) -> Column:
-    """Constant array: hexadecimal digits of every token's bytes, at its id plus one."""
+    """Constant array: hexadecimal digits of every token's bytes, at its id."""
     ranks = read_ranks(ranks_path)
-    table = pd.DataFrame({"place": [rank + 1 for rank in ranks.values()], "value": [token.hex() for token in ranks]})
+    table = pd.DataFrame({"place": list(ranks.values()), "value": [token.hex() for token in ranks]})
     placed = written(spark.createDataFrame(table).select(F.col("place").cast("int"), "value"), "tokens")
     return constant_array(placed, max(ranks.values()) + 1)
 
@@ -294,7 +393,7 @@ def decode(rows: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decod
     """
     def body(tokens: Column) -> Column:
         def piece(i: Column) -> Column:
-            found = F.when(i >= 0, F.try_element_at(tokens, i + 1))
+            found = F.get(tokens, i)
             return F.coalesce(found, F.raise_error(F.concat(F.lit("no token has the id "), F.coalesce(i.cast("string"), F.lit("NULL")))).cast("string"))
 
         return F.unhex(F.array_join(F.transform(F.col(ids), piece), ""))
