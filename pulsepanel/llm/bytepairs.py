@@ -54,6 +54,7 @@ BUCKETS = 1 << 17
 #: Places of the pair table (a vocabulary of 50,000 tokens has about a quarter of a million pairs).
 PAIR_SLOTS = 1 << 20
 NONE, EMPTY = 0xFFFFF, 1 << 61
+LONGS = "array<bigint>"
 #: Odd factors that spread the two ids of a pair over the table.
 MIXERS = ((0x9E3779B1, 0x85EBCA77), (0xC2B2AE3D, 0x27D4EB2F))
 #: A text without a longer run than this of one kind of character has no word of over 4 * 65 bytes.
@@ -156,17 +157,26 @@ def using(df: DataFrame, constants: list[Column], name: str, body) -> DataFrame:
             return body(*bound)
         return F.element_at(F.transform(F.array(F.col(left[0])), lambda c: bind(left[1:], [*bound, c])), 1)
 
-    below = df.select("*", *[c.alias(h) for c, h in zip(constants, held)])
-    return below.select(*[F.col(f"`{c}`") for c in df.columns if c != name], bind(held, []).alias(name))
+    def bound(rows: DataFrame) -> DataFrame:
+        below = rows.select("*", *[c.alias(h) for c, h in zip(constants, held)])
+        return below.select(*[F.col(f"`{c}`") for c in df.columns if c != name], bind(held, []).alias(name))
+
+    out = bound(df)
+    # Where the rows' own columns are computed just below, the optimizer may keep the projection; a written table has none.
+    return bound(written(df, "rows")) if "AS __constant" in out._jdf.queryExecution().optimizedPlan().toString() else out
 
 
 def look_up(table: Column, key: Column, buckets: int = BUCKETS) -> Column:
     return F.try_element_at(F.get(table, bucket_of(key, buckets)), key)
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def let(value: Column, body, kind: str) -> Column:
+    """``body`` of a value that is computed once.
+
+    The casts to the type it has anyway go before a plan runs; without them the
+    analyzer derives types of nested lambdas again at every level.
+    """
+    return F.element_at(F.transform(F.array(value), lambda v: body(v).cast(kind)).cast(f"array<{kind}>"), 1)
 
 
 def pair_table(ranks: dict[bytes, int], slots: int = PAIR_SLOTS) -> np.ndarray:
@@ -205,7 +215,7 @@ def joined_rank(pairs: Column, left: Column, right: Column, slots: int = PAIR_SL
     XOR with the key leaves the id where a place holds the pair, and a larger number where it holds another or none.
     """
     key = F.shiftleft(left, 40).bitwiseOR(F.shiftleft(right, 20))
-    return F.least(*[F.get(pairs, p.cast("int")).bitwiseXOR(key) for p in _places(left, right, slots)], F.lit(NONE).cast("bigint"))
+    return F.least(*[F.get(pairs, p.cast("int")).bitwiseXOR(key) for p in _places(left, right, slots)], F.lit(NONE).cast("bigint")).cast("bigint")
 
 
 def fold(word: Column, whole: Column, pairs: Column, singles: Column) -> Column:
@@ -237,14 +247,14 @@ def fold(word: Column, whole: Column, pairs: Column, singles: Column) -> Column:
         def with_before(before: Column) -> Column:
             return ranked(before.bitwiseAND((1 << 42) - 1), joined_rank(pairs, id_of(before), merged))
 
-        piece = let(F.get(state, at + 1), here)  # get counts from zero
+        piece = let(F.get(state, at + 1), here, "bigint")  # get counts from zero
         return F.when(at > 1, F.concat(
-            F.slice(state, F.lit(1), at - 2), F.array(let(F.get(state, at - 2), with_before), piece), F.slice(state, at + 2, F.size(state)),
+            F.slice(state, F.lit(1), at - 2), F.array(let(F.get(state, at - 2), with_before, "bigint"), piece), F.slice(state, at + 2, F.size(state)),
         )).otherwise(F.concat(F.array(piece), F.slice(state, F.lit(3), F.size(state))))
 
     def step(state: Column, _: Column) -> Column:
         return let(F.array_min(state), lambda low: F.when(low >= F.lit(NONE << 42), state).otherwise(
-            let(place_of(state, low), lambda at: merge(state, low, at))))
+            let(place_of(state, low), lambda at: merge(state, low, at), LONGS)), LONGS)
 
     def start(ids: Column) -> Column:
         def piece(x: Column, i: Column) -> Column:
@@ -256,9 +266,9 @@ def fold(word: Column, whole: Column, pairs: Column, singles: Column) -> Column:
 
     def merged(latin: Column) -> Column:
         ids = F.transform(F.split(latin, F.lit("")), lambda c: F.get(singles, F.ascii(c)))
-        return F.aggregate(F.sequence(F.lit(2), F.length(latin) + 1), let(ids, start), step, lambda s: F.transform(s, lambda x: id_of(x).cast("int")))
+        return F.aggregate(F.sequence(F.lit(2), F.length(latin) + 1), let(ids, start, LONGS), step, lambda s: F.transform(s, lambda x: id_of(x).cast("int")).cast("array<int>"))
 
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(merged(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")))
+    return F.when(whole.isNotNull(), F.array(whole)).otherwise(merged(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")).cast("array<int>")).cast("array<int>")
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -363,7 +373,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     spark = docs.sparkSession
     book, split = Vocabulary(spark, ranks_path), java_pattern(spark, pattern)
     pairs, singles, tokens = book.pairs(), book.singles(), book.tokens()
-    words = known_words(docs, text, split, most_known).join(tokens, "key", "full")  # every token is known, so no other word is one
+    words = written(known_words(docs, text, split, most_known).join(tokens, "key", "full"), "to-fold")  # every token is known, so no other word is one
     known = written(using(words, [pairs, singles], "value", lambda p, s: fold(F.col("key"), F.col("whole"), p, s)), "known")
     long = F.coalesce(F.col(text).rlike(rf"(?U)(?<!\S)\S{{{LONG_RUN + 1},}}|\s{{{LONG_RUN + 1},}}"), F.lit(False))
 
