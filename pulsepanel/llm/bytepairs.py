@@ -370,22 +370,47 @@ def _is_text(token: bytes) -> bool:
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", most_known: int = KNOWN_WORDS) -> DataFrame:
     """The rows with an array of token ids of each whole text, as the column ``ids``."""
+    short, rest = encoded_parts(docs, ranks_path, pattern, text, ids, most_known)
+    return short.unionByName(rest)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", most_known: int = KNOWN_WORDS) -> DataFrame:
+    """The rows with ``ids`` and, from these, the bytes ``decoded``, in one pass over the documents."""
+    docs, tokens = docs.drop("ids", "decoded"), token_bytes(docs.sparkSession, ranks_path)
+
+    def with_bytes(ids: Column, tokens: Column) -> Column:
+        return let(ids, lambda i: F.struct(i.alias("ids"), bytes_of(i, tokens).alias("decoded")), "struct<ids: array<int>, decoded: binary>")
+
+    short, rest = encoded_parts(docs, ranks_path, pattern, text, "__trip", most_known, [tokens], with_bytes)
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    short = short.select(*kept, F.col("__trip.ids").alias("ids"), F.col("__trip.decoded").alias("decoded"))
+    rest = using(rest.withColumnRenamed("__trip", "ids"), [tokens], "decoded", lambda t: bytes_of(F.col("ids"), t))
+    return short.unionByName(rest.select(*kept, "ids", "decoded"))
+
+
+def encoded_parts(
+    docs: DataFrame, ranks_path: str, pattern: str, text: str, ids: str, most_known: int, more: list[Column] = [], then=None,
+) -> tuple[DataFrame, DataFrame]:
+    """Encoded texts without long runs, and those with one.  ``then(ids, *more)`` goes on with the former's ids in the same expression."""
     spark = docs.sparkSession
     book, split = Vocabulary(spark, ranks_path), java_pattern(spark, pattern)
     pairs, singles, tokens = book.pairs(), book.singles(), book.tokens()
-    words = written(known_words(docs, text, split, most_known).join(tokens, "key", "full"), "to-fold")  # every token is known, so no other word is one
+    words = known_words(docs, text, split, most_known).join(tokens, "key", "full")  # every token is known, so no other word is one
+    words = written(words, "to-fold")
     known = written(using(words, [pairs, singles], "value", lambda p, s: fold(F.col("key"), F.col("whole"), p, s)), "known")
     long = F.coalesce(F.col(text).rlike(rf"(?U)(?<!\S)\S{{{LONG_RUN + 1},}}|\s{{{LONG_RUN + 1},}}"), F.lit(False))
 
-    def of_word(word: Column, known_map: Column, pairs: Column, singles: Column) -> Column:
-        return F.coalesce(look_up(known_map, word), fold(word, F.lit(None).cast("int"), pairs, singles))
+    def of_text(known_map: Column, pairs: Column, singles: Column, *others: Column) -> Column:
+        def of_word(word: Column) -> Column:
+            return F.coalesce(look_up(known_map, word), fold(word, F.lit(None).cast("int"), pairs, singles))
 
-    short = using(
-        docs.where(~long), [constant_map(known.select("key", "value")), pairs, singles], ids,
-        lambda k, p, s: F.flatten(F.transform(words_of(F.col(text), split), lambda w: of_word(w, k, p, s))))
+        found = F.flatten(F.transform(words_of(F.col(text), split), of_word))
+        return then(found, *others) if then else found
+
+    short = using(docs.where(~long), [constant_map(known.select("key", "value")), pairs, singles, *more], ids, of_text)
     rest = docs.where(long).select(*[F.col(f"`{c}`") for c in docs.columns if c != ids], words_of(F.col(text), split).alias("__words"))
     kept = StructType([f for f in docs.schema if f.name != ids])
-    return short.unionByName(rest.mapInArrow(_encode_long(book.ranks, ids), kept.add(ids, ArrayType(IntegerType()))))
+    return short, rest.mapInArrow(_encode_long(book.ranks, ids), kept.add(ids, ArrayType(IntegerType())))
 
 
 def token_bytes(spark: SparkSession, ranks_path: str) -> Column:
@@ -396,19 +421,20 @@ def token_bytes(spark: SparkSession, ranks_path: str) -> Column:
     return constant_array(placed, max(ranks.values()) + 1)
 
 
+def bytes_of(ids: Column, tokens: Column) -> Column:
+    """The tokens' bytes, concatenated."""
+    def piece(i: Column) -> Column:
+        return F.coalesce(F.get(tokens, i), F.raise_error(F.concat(F.lit("no token has the id "), F.coalesce(i.cast("string"), F.lit("NULL")))).cast("string"))
+
+    return F.unhex(F.array_join(F.transform(ids, piece), ""))
+
+
 def decode(rows: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """The rows with the bytes that their ids stand for, as the binary column ``out``.
 
     NULL ids give NULL; an id that is NULL or no token's raises an error.
     """
-    def body(tokens: Column) -> Column:
-        def piece(i: Column) -> Column:
-            found = F.get(tokens, i)
-            return F.coalesce(found, F.raise_error(F.concat(F.lit("no token has the id "), F.coalesce(i.cast("string"), F.lit("NULL")))).cast("string"))
-
-        return F.unhex(F.array_join(F.transform(F.col(ids), piece), ""))
-
-    return using(rows, [token_bytes(rows.sparkSession, ranks_path)], out, body)
+    return using(rows, [token_bytes(rows.sparkSession, ranks_path)], out, lambda tokens: bytes_of(F.col(ids), tokens))
 
 
 def little_endian(ids: Column) -> Column:

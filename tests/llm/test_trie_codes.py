@@ -117,7 +117,7 @@ def test_ids_and_bytes(spark, library, known):
     texts = [*ODD, *ODD[:3], " ".join(f"word{i % 50} Wort{i}" for i in range(4000))]
     rows = [(i % 7, t, "kept", 5, "x") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, words string, ids int, decoded string").repartition(3)
-    got = bytepairs.decode(bytepairs.encode(docs, RANKS, public_tokenizers.PATTERN, most_known=known), RANKS)
+    got = bytepairs.round_trip(docs, RANKS, public_tokenizers.PATTERN, most_known=known)
     got = got.select("*", bytepairs.little_endian(got.ids).alias("packed")).collect()
     assert len(got) == len(rows) and all(r.words == "kept" for r in got)
     want = collections.Counter((d, t, tuple(library.encode_ordinary(t or ""))) for d, t, *_ in rows)
@@ -126,7 +126,10 @@ def test_ids_and_bytes(spark, library, known):
     assert all(bytes(r.packed) == struct.pack(f"<{len(r.ids)}I", *r.ids) for r in got)
 
 
-def test_no_rows_and_bad_ids(spark):
+def test_no_rows_and_bad_ids(spark, library):
+    some = spark.createDataFrame([("one two",), (None,)], "text string")
+    apart = bytepairs.decode(bytepairs.encode(some, RANKS, public_tokenizers.PATTERN), RANKS).collect()
+    assert {r.text: (r.ids, bytes(r.decoded)) for r in apart} == {"one two": (library.encode_ordinary("one two"), b"one two"), None: ([], b"")}
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bytepairs.encode(docs, RANKS, public_tokenizers.PATTERN).collect() == []
     ids = spark.createDataFrame([(None,), ([],)], "ids array<int>")
@@ -139,8 +142,9 @@ def test_no_rows_and_bad_ids(spark):
 def test_constants_stay_out_of_rows(spark):
     """The optimizer binds the maps inside the lambda: no operator hands them on as a column."""
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
-    plan = bytepairs.encode(docs, RANKS, public_tokenizers.PATTERN)._jdf.queryExecution().optimizedPlan().toString()
-    assert "AS __constant" not in plan
+    for rows in (bytepairs.encode(docs, RANKS, public_tokenizers.PATTERN), bytepairs.round_trip(docs, RANKS, public_tokenizers.PATTERN)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "AS __constant" not in plan and "/rows" not in "".join(rows.inputFiles())
 
 
 @settings(max_examples=300, deadline=None)
