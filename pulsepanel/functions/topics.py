@@ -126,3 +126,9 @@ def classify_domain(
         .when(_suffix_of(d, trusted or TRUSTED_DOMAINS), "trusted")
         .otherwise("unknown")
     )
+
+
+def host_suffixes(domain: Column) -> Column:
+    """The domain and what is left of it after each dot, longest first."""
+    parts = F.split(domain, "\\.")
+    return F.transform(parts, lambda _, i: F.array_join(F.slice(parts, i + 1, F.size(parts)), "."))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from pulsepanel.functions.clean import clip
 from pulsepanel.functions.moments import safe_corr
+from pulsepanel.operators.joins import attach
 from pulsepanel.operators.quantiles import exact_quantiles
-from pulsepanel.operators.windows import average_rank
+from pulsepanel.operators.slices import prefix_counts
+from pulsepanel.sources.workdir import kept_table
 
 
 # Daily signals -------------------------------------------------------------
@@ -208,11 +210,24 @@ def correlation_grid(df: DataFrame, keys: list[str], xs: list[str], ys: list[str
 
 
 def spearman_grid(df: DataFrame, keys: list[str], xs: list[str], ys: list[str], least: int = 10) -> DataFrame:
-    """Pearson r of average ranks over pairwise complete rows."""
+    """Pearson r of average ranks over pairwise complete rows.
+
+    Equal (x, y) pairs are counted first; ranks belong to distinct values and
+    come from ranges of them, so no group is sorted in one task.
+    """
     long = melt_pairs(df, keys, xs, ys).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     by = [*keys, "predictor", "target"]
-    ranked = long.select(*by, average_rank("x", *by).alias("rx"), average_rank("y", *by).alias("ry"))
-    return pearson(ranked, "rx", "ry", by, least).withColumnRenamed("r", "rho")
+    pairs = kept_table(long.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    ranks = {c: prefix_counts(pairs.groupBy(*by, c).agg(F.sum("n").alias("n")), by, c, ["n"]).select(
+        *by, c, (F.col("below_n") + (F.col("n") + 1) / 2.0).alias(f"r{c}")) for c in ("x", "y")}
+    ranked = attach(attach(pairs, ranks["x"], [*by, "x"]), ranks["y"], [*by, "y"])
+    # The mean rank of a group is (N + 1) / 2; centred sums keep their digits.
+    total = ranked.groupBy(*by).agg(F.sum("n").alias("__all"))
+    w, a, b = F.col("n"), F.col("rx") - (F.col("__all") + 1) / 2.0, F.col("ry") - (F.col("__all") + 1) / 2.0
+    sums = attach(ranked, total, by).groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"))
+    rho = F.when((F.col("n") >= least) & (F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb")))
+    return sums.select(*by, "n", rho.alias("rho"))
 
 
 def linear_fit(df: DataFrame, x: str, y: str, keys: list[str], least: int = 11) -> DataFrame:

@@ -11,6 +11,7 @@ from pulsepanel.functions.clean import clip, eps_ratio, pct_from_logret, safe_ra
 from pulsepanel.functions.index import composite_label, sigmoid
 from pulsepanel.operators.aggregates import grouped_summary
 from pulsepanel.operators.joins import events_x_daily, events_x_rows, number_rows, salted_join, top_n
+from pulsepanel.sources.recordstore import days_of_windows, records_of_days
 from pulsepanel.operators.windows import event_id, local_max, log_return, min_gap_dates, ordered, rolling_zscore
 
 
@@ -347,9 +348,11 @@ def records_in_windows(records: DataFrame, windows: DataFrame, salts: int = 1) -
 def event_articles(records: DataFrame, windows: DataFrame, salts: int = 1) -> DataFrame:
     """Record x window fan-out, each composite key once.
 
-    An event has one window, so it is enough that no record comes twice; the
-    fan-out itself is never shuffled.
+    Only records of days inside windows are taken up; of a table with a folder
+    per day no other is read.  An event has one window, so it is enough that no
+    record comes twice; the fan-out itself is never shuffled.
     """
+    records = records_of_days(records, days_of_windows(windows))
     rows = records_in_windows(records.dropDuplicates(["date", "source_url", "record_id"]), windows, salts)
     key = F.format_string("%s:%s:%s_%s", "preset", "event_id", F.col("window_start").cast("string"), F.col("window_end").cast("string"))
     return rows.withColumn("window_key", key)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pulsepanel.functions.topics import host_suffixes
+
 
 def align_to_calendar(base: DataFrame, *others: DataFrame, on=("series_id", "date")) -> DataFrame:
     """Left joins on the base calendar; days the others lack stay NULL."""
@@ -22,6 +24,32 @@ def merge_panel(base: DataFrame, other: DataFrame, suffix: str, on=("series_id",
     return base.join(renamed, list(on), "left")
 
 
+def attach(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of a table with unique keys; NULLs in a key are equal."""
+    other = small.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return df.join(other, on, "left").drop(*[f"__k_{k}" for k in keys])
+
+
+def classify_by_table(df: DataFrame, domain: str, classes: DataFrame, out: str = "cred", default: str = "unknown") -> DataFrame:
+    """Class of each row's domain by a table (domain, cred, priority) of any size.
+
+    A domain matches an entry that it equals or is a subdomain of.  The
+    smallest priority wins, then the longest entry.  Each distinct domain is
+    unfolded into its suffixes, which meet the table by equality; rows get
+    their domain's class back, NULL domains the default.
+    """
+    d = F.trim(F.replace(F.lower(F.coalesce(F.col(domain), F.lit(""))), F.lit("www."), F.lit("")))
+    rows = df.withColumn("__domain", d)
+    parts = rows.select("__domain").distinct().select("__domain", F.posexplode(host_suffixes(F.col("__domain"))).alias("__cut", "__suffix"))
+    table = classes.select(F.lower("domain").alias("__suffix"), F.col("cred").alias("__cred"), F.col("priority").alias("__priority"))
+    hits = parts.join(table, "__suffix").groupBy("__domain").agg(
+        F.min_by("__cred", F.struct("__priority", "__cut", "__cred")).alias("__cred"))
+    return rows.join(hits, "__domain", "left").withColumn(out, F.coalesce("__cred", F.lit(default))).drop("__domain", "__cred")
+
+
 def attach_signal(market: DataFrame, signal: DataFrame) -> DataFrame:
     """One day-keyed signal attached to every series."""
     return market.join(signal, "date", "left")

@@ -347,16 +347,24 @@ def johansen(df: DataFrame, keys: list[str], cols: list[str], k_diff: int = 2, l
     """Trace test with a constant; full rank is reported as not applicable.
 
     With ``orders``, the table of integration orders, each key tests its own
-    I(1) variables only.  Critical values reach as far as their table; systems
-    with more variables are reported as such.
+    I(1) variables only, on the rows where those are known: a variable that
+    isn't tested costs no row.  Critical values reach as far as their table;
+    systems with more variables are reported as such.
     """
     depth = k_diff + 1
-    grams, width = lagged_grams(df.dropna(subset=cols), keys, cols, depth)
+    every = F.array(*map(F.lit, cols))
     if orders is None:
-        grams = grams.withColumn("chosen", F.array(*map(F.lit, cols)))
+        chosen, rows = None, df.dropna(subset=cols)
     else:
-        i1 = orders.groupBy(*keys).agg(F.collect_set(F.when(F.col("is_i1"), F.col("variable"))).alias("chosen"))
-        grams = grams.join(i1, keys, "left")
+        chosen = orders.groupBy(*keys).agg(F.collect_set(F.when(F.col("is_i1"), F.col("variable"))).alias("chosen"))
+        tested = df.join(chosen.withColumnRenamed("chosen", "__chosen"), keys, "left")
+        known = F.lit(True)
+        for c in cols:
+            known = known & (F.col(c).isNotNull() | ~F.array_contains(F.coalesce("__chosen", every), c))
+        # Untested variables only fill places of the matrix that nothing reads.
+        rows = tested.where(known).withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in cols}).drop("__chosen")
+    grams, width = lagged_grams(rows, keys, cols, depth)
+    grams = grams.withColumn("chosen", every) if chosen is None else grams.join(chosen, keys, "left")
 
     def at(c: int, lag: int) -> int:
         return 1 + c * (depth + 1) + lag

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from pulsepanel.functions.clean import clip
 from pulsepanel.functions.index import market_regime, sigmoid
-from pulsepanel.functions.pvalues import corr_pvalue, ks_pvalue, normal_pvalue
+from pulsepanel.functions.pvalues import corr_pvalue, ks_exact_pvalue, ks_pvalue, normal_pvalue
 from pulsepanel.operators.aggregates import incremental_r2, linear_fit, pearson, pearson_over, spearman_grid
-from pulsepanel.operators.joins import number_rows
+from pulsepanel.operators.joins import attach, number_rows
+from pulsepanel.operators.slices import prefix_counts
 from pulsepanel.operators.windows import average_rank
 
 # Weights of volume, tone and residual; walk-forward sizes.
@@ -85,24 +86,26 @@ def train_calibration(scored: DataFrame) -> DataFrame:
 def distribution_shift(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Kolmogorov-Smirnov and Mann-Whitney between splits, and the mean verdict.
 
-    Equal values are merged before the running counts, so ties cost nothing.
+    Equal values are merged before the running counts, so ties cost nothing;
+    the counts below a value come from ranges of values, so no group is sorted
+    in one task.
     """
     train, test = F.col("split") == "TRAIN", F.col("split") == "TEST"
     known = df.filter(F.col(value).isNotNull())
     counts = known.groupBy(*keys, value).agg(F.count_if(train).alias("a"), F.count_if(test).alias("b"))
-    w = Window.partitionBy(*keys)
-    up = w.orderBy(value)
-    c = counts.withColumns({
-        "na": F.sum("a").over(w), "nb": F.sum("b").over(w), "ca": F.sum("a").over(up), "cb": F.sum("b").over(up)})
+    totals = counts.groupBy(*keys).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    c = attach(prefix_counts(counts, keys, value, ["a", "b"]), totals, keys)
     t = F.col("a") + F.col("b")
-    below = F.col("ca") + F.col("cb") - t
+    ca, cb = F.col("below_a") + F.col("a"), F.col("below_b") + F.col("b")
+    below = F.col("below_a") + F.col("below_b")
     c = c.withColumns({
-        "gap": F.abs(F.col("ca") / F.nullif(F.col("na"), F.lit(0)) - F.col("cb") / F.nullif(F.col("nb"), F.lit(0))),
+        "gap": F.abs(ca / F.nullif(F.col("na"), F.lit(0)) - cb / F.nullif(F.col("nb"), F.lit(0))),
+        "whole_gap": F.abs(ca * F.col("nb") - cb * F.col("na")),
         "rank_a": F.col("a") * (below + (t + 1) / 2.0),
         "tie": (t * t * t - t).cast("double"),
     })
     s = c.groupBy(*keys).agg(
-        F.max("na").alias("n_train"), F.max("nb").alias("n_test"), F.max("gap").alias("ks_stat"),
+        F.max("na").alias("n_train"), F.max("nb").alias("n_test"), F.max("gap").alias("ks_stat"), F.max("whole_gap").alias("ks_gap"),
         F.sum("rank_a").alias("ra"), F.sum("tie").alias("ties"),
         (F.sum(F.col(value) * F.col("a")) / F.nullif(F.max("na"), F.lit(0))).alias("mean_train"),
         (F.sum(F.col(value) * F.col("b")) / F.nullif(F.max("nb"), F.lit(0))).alias("mean_test"),
@@ -114,15 +117,16 @@ def distribution_shift(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     z = (F.greatest(u1, n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5) / F.nullif(spread, F.lit(0.0))
     diff = F.abs(F.col("mean_test") - F.col("mean_train"))
     return s.select(
-        *keys, "n_train", "n_test", "ks_stat", u1.alias("u_stat"), z.alias("mw_z"),
+        *keys, "n_train", "n_test", "ks_stat", "ks_gap", u1.alias("u_stat"), z.alias("mw_z"),
         "mean_train", "mean_test", diff.alias("mean_diff"),
         F.when(diff < 0.03, "stable").when(diff < 0.07, "moderate").otherwise("unstable").alias("verdict"),
     )
 
 
 def with_shift_pvalues(shift: DataFrame) -> DataFrame:
-    """Two-sided p-values; the Kolmogorov-Smirnov one is that of the limiting distribution, as ``ks_p_kind`` says."""
+    """Two-sided p-values: Kolmogorov-Smirnov by the limiting distribution (``ks_p``) and, up to a size, exact (``ks_p_exact``)."""
     return shift.withColumns({
+        "ks_p_exact": ks_exact_pvalue(F.col("ks_gap"), F.col("n_train"), F.col("n_test")),
         "ks_p_kind": F.lit("limiting"),
         "ks_p": ks_pvalue(F.col("ks_stat"), F.col("n_train"), F.col("n_test")),
         "mw_p": F.least(normal_pvalue(F.greatest(F.col("mw_z"), F.lit(0.0))), F.lit(1.0)),

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from pulsepanel.operators.joins import attach
+from pulsepanel.sources.workdir import kept_table
+
 KEYS = ("series_id",)
 
 
@@ -143,6 +146,37 @@ def min_gap_dates(df: DataFrame, gap_days: Column | int, *keys: str, date: str =
     return folded.select(*keys, F.explode(kept).alias(date))
 
 
+def min_gap_dates_linked(df: DataFrame, gap_days: Column | int, *keys: str, date: str = "date") -> DataFrame:
+    """The same days as ``min_gap_dates``, for many candidates a series: no list of a series is ever gathered.
+
+    Every candidate points at its successor, the first candidate at least the
+    gap away; kept are the days on the chain from the first one.  Successors
+    come from one ordered pass: days and days plus gap are sorted together,
+    latest first, and carry the last day seen.  Then pointers double: with
+    jumps of 1, 2, 4, ... successors, the days reached double each round, so a
+    chain of n days takes log n rounds of equi-joins.
+    """
+    keys = keys or KEYS
+    gap = F.lit(gap_days) if isinstance(gap_days, int) else gap_days
+    days = df.groupBy(*keys, F.unix_date(date).alias("__day")).agg(F.max(gap).alias("__gap"))
+    days = days.withColumn("__gap", F.max("__gap").over(Window.partitionBy(*keys)))
+    asked = F.explode(F.array(
+        F.struct(F.col("__day").alias("t"), F.lit(0).alias("kind")), F.struct((F.col("__day") + F.greatest("__gap", F.lit(1))).alias("t"), F.lit(1).alias("kind"))))
+    both = days.select(*keys, "__day", asked.alias("q")).select(*keys, "__day", "q.*")
+    latest = Window.partitionBy(*keys).orderBy(F.col("t").desc(), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = F.last(F.when(F.col("kind") == 0, F.col("t")), ignorenulls=True).over(latest)
+    jumps = kept_table(both.withColumn("__to", seen).where("kind = 1").select(*keys, "__day", "__to"), "successors")
+    kept, n = kept_table(jumps.groupBy(*keys).agg(F.min("__day").alias("__day")), "kept"), -1
+    while (held := kept.count()) != n:
+        n = held
+        reached = attach(kept, jumps, [*keys, "__day"]).where("__to IS NOT NULL").select(*keys, F.col("__to").alias("__day"))
+        kept = kept_table(kept.unionByName(reached).distinct(), "kept")
+        ahead = jumps.withColumnsRenamed({"__day": "__mid", "__to": "__far"})
+        jumps = attach(jumps.withColumnRenamed("__to", "__mid"), ahead, [*keys, "__mid"]).select(*keys, "__day", F.col("__far").alias("__to"))
+        jumps = kept_table(jumps, "jumps")
+    return kept.select(*keys, F.date_from_unix_date("__day").alias(date))
+
+
 def column_threshold(df: DataFrame, x: str, *keys: str) -> Column:
     """x over the median of its group (missing counts as 0)."""
     return F.coalesce(F.col(x), F.lit(0.0)) > F.median(x).over(Window.partitionBy(*(keys or KEYS)))

@@ -23,6 +23,8 @@ RIDGE_FEATURES = [
     "news_log_mentions_lag1", "news_tone_lag1", "news_log_mentions_ma7", "news_tone_std7",
 ]
 ALPHA, SPLITS = 10.0, 5
+#: Layout of daily tables that joins and windows read by series.
+BY_SERIES = ("series_id", "date")
 
 
 # Daily tables.  Everything below the daily grain is aggregated once per session;
@@ -48,11 +50,11 @@ def aligned(spark: SparkSession, sf: str, panel: DataFrame | None = None) -> Dat
 
 def model_frame(spark: SparkSession, sf: str) -> DataFrame:
     """Written once: the fit and the scoring both read it."""
-    return stage(spark, sf, "frame", lambda: prepare_model_frame(aligned(spark, sf, prices(spark, sf))))
+    return stage(spark, sf, "frame", lambda: prepare_model_frame(aligned(spark, sf, prices(spark, sf))), BY_SERIES)
 
 
 def baseline_panel(spark: SparkSession, sf: str) -> DataFrame:
-    return stage(spark, sf, "baseline", lambda: baseline(model_frame(spark, sf), baseline_features()))
+    return stage(spark, sf, "baseline", lambda: baseline(model_frame(spark, sf), baseline_features()), BY_SERIES)
 
 
 def panel_with_market(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +76,7 @@ def news_table(spark: SparkSession, sf: str) -> DataFrame:
     """Target, level and the modelled features, written once for fit and scoring."""
     keep = ["series_id", "date", "price", "mcap", "volume", "logret", "vol_30", "regime", "expected_logret", "abnormal_logret",
             "abnormal_return_pct", "abnormal_z60", "abnormal_usd", "mentions", "tone", *RIDGE_FEATURES]
-    return stage(spark, sf, "news", lambda: news_panel(spark, sf).select(*keep))
+    return stage(spark, sf, "news", lambda: news_panel(spark, sf).select(*keep), BY_SERIES)
 
 
 def ridge_rows(df: DataFrame, names: list[str], y: str = "abnormal_logret") -> DataFrame:
@@ -106,7 +108,12 @@ def scored_panel(spark: SparkSession, sf: str) -> DataFrame:
     def build() -> DataFrame:
         return excess_effect(score_days(effect_panel(spark, sf))).select(*SCORED)
 
-    return stage(spark, sf, "scored", build)
+    return stage(spark, sf, "scored", build, BY_SERIES)
+
+
+def article_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Landed article records with a folder per day."""
+    return stage(spark, sf, "articles", lambda: fx.article_records(spark, sf), day="date")
 
 
 def peaks(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,7 +132,7 @@ def event_impact(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def validated(spark: SparkSession, sf: str) -> DataFrame:
-    return stage(spark, sf, "oos", lambda: oos_index(scored_panel(spark, sf), fx.BOUNDARY))
+    return stage(spark, sf, "oos", lambda: oos_index(scored_panel(spark, sf), fx.BOUNDARY), BY_SERIES)
 
 
 # The full attribution with screening and pruning ------------------------------
@@ -152,7 +159,7 @@ def candidate_panel(spark: SparkSession, sf: str) -> DataFrame:
         return feature_vector(df, candidate_features()).select(
             "series_id", "date", "mcap", "abnormal_logret", "abnormal_usd", "segment", "__f")
 
-    return stage(spark, sf, "candidates", build)
+    return stage(spark, sf, "candidates", build, BY_SERIES)
 
 
 def screened(spark: SparkSession, sf: str) -> DataFrame:

@@ -163,7 +163,7 @@ FROM article_records r JOIN peaks e ON r.date BETWEEN e.window_start AND e.windo
 
 @query("event_articles", "series_id preset event_id record_id date:d source_url source_domain window_key num_articles avg_tone:1", "SELECT * FROM event_articles")
 def event_articles(spark, sf):
-    return ev.event_articles(fx.article_records(spark, sf), pn.peaks(spark, sf))
+    return ev.event_articles(pn.article_store(spark, sf), pn.peaks(spark, sf))
 
 
 # URL words that occur in the given pages.

@@ -207,10 +207,26 @@ def stream_dedupe(spark, sf):
     a, b = (fx.stream_records(fx.read_event_stream(spark, sf)) for _ in range(2))
     path = fresh_path(spark, "stream_once")
     st.run_once_only(a.unionByName(b), path, fresh_path(spark, "ckpt"), ["event_id"])
-    return st.read_once_only(spark, path).groupBy(F.to_date("ts").alias("date")).agg(
+    return st.read_once_only(spark, path, a.schema).groupBy(F.to_date("ts").alias("date")).agg(
         F.count(F.lit(1)).alias("records"), F.countDistinct("source").alias("sources"))
 
 
+@query("stream_once_runs", "date:d source records", """
+SELECT CAST(ts AS DATE) AS date, source, COUNT(*) AS records FROM (
+  SELECT DISTINCT CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id END AS record_id, source, CAST(ts AS DATE) AS ts FROM stream_records)
+GROUP BY 1, 2""")
+def stream_once_runs(spark, sf):
+    """Three runs over a landing folder: nothing yet, a first part, then all of it again; a fifth of the records have no id."""
+    records = fx.stream_records(fx.table(spark, sf, "events")).select(
+        F.when(F.col("event_id") % 5 != 0, F.col("event_id")).alias("record_id"), "source", F.to_date("ts").alias("day"), "matched")
+    landing, path, checkpoint = (fresh_path(spark, n) for n in ("landing", "stream_once", "ckpt"))
+    for part in (records.where("false"), records.where("record_id % 3 = 0 OR record_id IS NULL"), records):
+        part.write.mode("append").parquet(landing)
+        st.run_once_only(spark.readStream.schema(records.schema).parquet(landing), path, checkpoint, ["record_id", "source", "day"])
+    once = st.read_once_only(spark, path, records.schema)
+    return once.groupBy(F.col("day").alias("date"), "source").agg(F.count(F.lit(1)).alias("records"))
+
+
 @query("stream_upsert", "date:d source mentions tone:5", """
 SELECT CAST(ts AS DATE) AS date, source, COUNT(*) FILTER (WHERE matched) AS mentions, AVG(tone) FILTER (WHERE matched) AS tone FROM stream_records GROUP BY 1, 2""")
 def stream_upsert(spark, sf):

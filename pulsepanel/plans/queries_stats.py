@@ -523,10 +523,13 @@ FROM (SELECT series_id, n, q00 + q11 + q22 AS e1, q00 * q11 - q01 * q10 + q00 *
   q00 * (q11 * q22 - q12 * q21) - q01 * (q10 * q22 - q12 * q20) + q02 * (q10 * q21 - q11 * q20) AS e3 FROM (SELECT series_id, n, {_entries} FROM joh_pair))))""")
 
 
-@query("johansen", "series_id n_obs applicable rank:0 reason trace0:3 trace1:3 trace2:3", """
+cte("joh_test", """
 SELECT *, rank < 3 AS applicable, CASE WHEN rank >= 3 THEN 'full rank' END AS reason FROM (
 SELECT *, CAST(trace0 > 29.7961 AS INTEGER) + CAST(trace1 > 15.4943 AS INTEGER) + CAST(trace2 > 3.8415 AS INTEGER) AS rank FROM (
 SELECT series_id, n + 3 AS n_obs, -n * (LN(mu[1]) + LN(mu[2]) + LN(mu[3])) AS trace0, -n * (LN(mu[2]) + LN(mu[3])) AS trace1, -n * LN(mu[3]) AS trace2 FROM joh_roots))""")
+
+
+@query("johansen", "series_id n_obs applicable rank:0 reason trace0:3 trace1:3 trace2:3", "SELECT * FROM joh_test")
 def johansen(spark, sf):
     out = ts.johansen(levels(spark, sf), ["series_id"], VARS)
     return out.withColumns({f"trace{i}": F.get("trace", F.lit(i)) for i in range(3)})
@@ -540,14 +543,26 @@ def johansen_trace(spark, sf):
     return out.select("series_id", "n_obs", stat.alias("trace0"), F.exp(-stat / (F.col("n_obs") - 3)).alias("full_det"))
 
 
-@query("johansen_i1", "series_id n_i1 tested reason", """
-SELECT series_id, COUNT(*) FILTER (WHERE p_level >= 0.05 AND p_diff < 0.05) AS n_i1, n_i1 >= 2 AS tested, CASE WHEN n_i1 < 2 THEN 'fewer than two variables' END AS reason
-FROM (SELECT series_id, variable, p_value AS p_level FROM adf_level) LEFT JOIN (SELECT series_id, variable, p_value AS p_diff FROM adf_diff) USING (series_id, variable) GROUP BY 1""")
+@query("johansen_i1", "series_id n_i1 n_obs tested reason rank:0 trace0:3 trace1:3 trace2:3", """
+SELECT o.series_id, n_i1, r.n_obs, n_i1 >= 2 AND r.n_obs >= 100 AS tested, CASE WHEN n_i1 < 2 THEN 'fewer than two variables' WHEN r.n_obs < 100 THEN 'too few observations' WHEN n_i1 = 3 THEN t.reason END AS reason,
+  CASE WHEN n_i1 = 3 THEN t.rank END AS rank, CASE WHEN n_i1 = 3 THEN t.trace0 END AS trace0, CASE WHEN n_i1 = 3 THEN t.trace1 END AS trace1, CASE WHEN n_i1 = 3 THEN t.trace2 END AS trace2
+FROM (SELECT series_id, COUNT(*) FILTER (WHERE p_level >= 0.05 AND p_diff < 0.05) AS n_i1
+  FROM (SELECT series_id, variable, p_value AS p_level FROM adf_level) LEFT JOIN (SELECT series_id, variable, p_value AS p_diff FROM adf_diff) USING (series_id, variable) GROUP BY 1) o
+JOIN (SELECT series_id, COUNT(*) AS n_obs FROM levels GROUP BY 1) r USING (series_id) LEFT JOIN joh_test t USING (series_id)""")
 def johansen_i1(spark, sf):
-    """Which series have enough I(1) variables for the trace test, which is then run on those."""
+    """The trace test on each series' own I(1) variables.
+
+    The SQL has the statistics of series whose three variables are all I(1);
+    those of two variables are left out on both sides here and held against
+    plain matrices in the tests.
+    """
     out = ts.johansen(levels(spark, sf), ["series_id"], VARS, orders=integration_order(spark, sf))
-    few = F.col("reason").eqNullSafe("fewer than two variables")
-    return out.select("series_id", F.size("variables").cast("bigint").alias("n_i1"), (~few).alias("tested"), F.when(few, F.col("reason")).alias("reason"))
+    n = F.size("variables").cast("bigint")
+    whole = {f"trace{i}": F.when(n == 3, F.get("trace", F.lit(i))) for i in range(3)}
+    why = F.when((n != 2) | ~F.coalesce(F.col("reason") == "full rank", F.lit(False)), F.col("reason"))
+    return out.withColumns(whole).select(
+        "series_id", n.alias("n_i1"), "n_obs", F.col("rank").isNotNull().alias("tested"), why.alias("reason"),
+        F.when(n == 3, F.col("rank")).alias("rank"), *whole)
 
 
 # Validation ---------------------------------------------------------------------------------------------

@@ -9,16 +9,19 @@ a record, and a back-filled day simply gains a batch.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pulsepanel.functions.index import Calibration, pressure_index, zone
 from pulsepanel.sources.sinks import append_days, merge_batches
+from pulsepanel.sources.workdir import source_version
 
 SUMS = ["mentions", "tone_sum", "tone_n"]
-KEY_PARTS = 64
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def daily_sums(records: DataFrame, *keys: str) -> DataFrame:
@@ -28,6 +31,19 @@ def daily_sums(records: DataFrame, *keys: str) -> DataFrame:
         F.count_if("matched").alias("mentions"), F.sum(tone).alias("tone_sum"), F.count(tone).alias("tone_n"))
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the time of a job's start."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_batches(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> None:
     """Drain what is available, micro-batch by micro-batch."""
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -49,29 +65,23 @@ def read_days(spark: SparkSession, path: str, *keys: str) -> DataFrame:
 
 
 def run_once_only(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> None:
-    """Append each composite key once, however late or often it comes.
+    """Append each composite key once, however late or often it comes; NULLs in a key are equal.
 
-    The keys written so far lie beside the records, partitioned by hash and
-    batch; a micro-batch drops its own repeats, then those keys.  A replayed
-    batch leaves out what it had written itself and rewrites it.
+    The keys are Spark's own state: kept in RocksDB, partitioned by key and
+    versioned with the checkpoint, so a micro-batch looks up its own keys and
+    reads no others, and a replayed batch sees the state from before it and
+    rewrites its folder.  Batches without rows write nothing that later ones
+    need.
     """
-    part = F.pmod(F.xxhash64(*keys), F.lit(KEY_PARTS)).alias("part")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        if batch_id:
-            held = spark.read.parquet(f"{path}/keys").where(F.col("batch") < batch_id)
-            fresh = fresh.withColumn("part", part).join(held.select("part", *keys), ["part", *keys], "left_anti").drop("part")
-        append_days(fresh, f"{path}/records", batch_id)
-        written = spark.read.parquet(f"{path}/records/batch={batch_id}")
-        written.select(*keys, part).write.mode("overwrite").partitionBy("part").parquet(f"{path}/keys/batch={batch_id}")
-
-    run_batches(stream, checkpoint, write)
+    with settings(stream.sparkSession, {"spark.sql.streaming.stateStore.providerClass": ROCKS}):
+        run_batches(stream.dropDuplicates(keys), checkpoint, lambda batch, batch_id: append_days(batch, f"{path}/records", batch_id))
 
 
-def read_once_only(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/records").drop("batch")
+def read_once_only(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """All records so far; with the records' schema also where no batch has written yet."""
+    if schema and not source_version(spark, f"{path}/records"):
+        return spark.createDataFrame([], schema)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(f"{path}/records/batch=*")
 
 
 def live_index(days: DataFrame, calib: Calibration | None = None) -> DataFrame:
