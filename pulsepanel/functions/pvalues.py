@@ -150,33 +150,29 @@ KS_EXACT_MOST = 10_000
 
 
 def ks_exact(gap: int, n: int, m: int) -> float:
-    """P(D >= gap / (n m)) for two samples of n and m values without ties, by counting lattice paths.
+    """P(D >= gap / (n m)) for two samples of n and m values without ties, by lattice paths.
 
     A path from (0, 0) to (n, m) takes a step per value in order; the statistic
-    stays below the gap where |i m - j n| < gap all along.  Row by row, the
-    paths to the allowed points are running sums of the row before; rows are
-    scaled down as they grow.
+    stays below the gap where |i m - j n| < gap all along.  ``inside[i]`` is
+    the share of the paths to (i, k - i) that have stayed below it; the step
+    that led there was one of the i or one of the k - i, at random.
     """
     n, m = sorted((int(n), int(m)))
     if gap <= 0:
         return 1.0
-    paths, scale = np.zeros(m + 1), 0.0
-    paths[:min(m, (gap - 1) // n) + 1] = 1.0
-    for i in range(1, n + 1):
-        low, high = max(0, (i * m - gap) // n + 1), min(m, (i * m + gap - 1) // n)
+    inside = np.zeros(n + 1)
+    inside[0] = 1.0
+    for k in range(1, n + m + 1):
+        low = max(0, k - m, (k * n - gap) // (n + m) + 1)
+        high = min(n, k, (k * n + gap - 1) // (n + m))
         if low > high:
             return 1.0
-        paths[:low] = 0.0
-        paths[high + 1:] = 0.0
-        paths[low:high + 1] = np.cumsum(paths[low:high + 1])
-        top = paths[high]
-        if top > 1e250:
-            paths /= top
-            scale += math.log(top)
-    if paths[m] <= 0.0:
-        return 1.0
-    every = math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1)
-    return float(min(1.0, max(0.0, -math.expm1(math.log(paths[m]) + scale - every))))
+        i = np.arange(low, high + 1)
+        before = inside[i - 1] if low else np.concatenate([[0.0], inside[low:high]])
+        fresh = (before * i + inside[low:high + 1] * (k - i)) / k
+        inside[max(0, low - 1):high + 2] = 0.0
+        inside[low:high + 1] = fresh
+    return float(min(1.0, max(0.0, 1.0 - inside[n])))
 
 
 @F.pandas_udf(T.DoubleType())
