@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pulsepanel.functions.index import Calibration, pressure_index, zone
-from pulsepanel.sources.sinks import append_days, merge_batches
+from pulsepanel.sources.sinks import append_days, fold_batches, merge_batches
 from pulsepanel.sources.workdir import source_version
 
 SUMS = ["mentions", "tone_sum", "tone_n"]
@@ -50,10 +50,16 @@ def run_batches(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame,
     query.awaitTermination()
 
 
-def run_daily(stream: DataFrame, path: str, checkpoint: str, *keys: str) -> None:
-    """Append the sums of each micro-batch to the batched day table under ``path``."""
+def run_daily(stream: DataFrame, path: str, checkpoint: str, *keys: str, fold_every: int = 50) -> None:
+    """Append the sums of each micro-batch to the batched day table under ``path``.
+
+    Every ``fold_every`` batches the job adds them up into one folder, so a
+    reader meets a bounded number of them however long the job has run.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         append_days(daily_sums(batch, *keys), path, batch_id)
+        if batch_id % fold_every == fold_every - 1:
+            fold_batches(batch.sparkSession, path, ["date", *keys], SUMS, batch_id)
 
     run_batches(stream, checkpoint, write)
 

@@ -1,4 +1,6 @@
 import datetime as dt
+import os
+import glob
 import json
 
 import pytest
@@ -252,3 +254,19 @@ def test_sorted_files(spark, tmp_path):
     assert [r.v for r in spark.read.parquet(path).coalesce(1).collect()] and sum(1 for _ in (tmp_path / "s").glob("*.parquet")) > 1
     got = [r.v for f in sorted((tmp_path / "s").glob("*.parquet")) for r in spark.read.parquet(str(f)).collect()]
     assert got == list(range(1000))
+
+
+def test_job_folds_its_batches(spark, tmp_path):
+    """Readers before, between and after folds see the same sums; old batches go, the last ones stay."""
+    base = dt.datetime(2024, 1, 1)
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    early = None
+    for k in range(9):
+        stream_rows(spark, src, [(base + dt.timedelta(hours=7 * i + k), i, float(k), i % 2 == 0) for i in range(6)], f"r{k}")
+        st.run_daily(spark.readStream.schema("ts timestamp, id int, tone double, matched boolean").parquet(src + "/*"), out, ck, fold_every=3)
+        days = st.read_days(spark, out)
+        early = days if k == 7 else early
+        assert days.agg(F.sum("mentions")).first()[0] == 3 * (k + 1)
+    assert early.agg(F.sum("mentions")).first()[0] == 24  # a reader from before the last fold goes on
+    held = sorted(os.path.basename(p) for p in glob.glob(out + "/*=*"))
+    assert held == ["batch=6", "batch=7", "batch=8", "fold=5", "fold=8"]
