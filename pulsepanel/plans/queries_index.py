@@ -107,13 +107,35 @@ def source_totals(spark, sf):
     return ag.source_totals(pn.scored_panel(spark, sf))
 
 
-@query("primary_preset", "preset days mentions_mean:6", """
-SELECT preset, COUNT(*) AS days, AVG(mentions) AS mentions_mean FROM media_signal WHERE preset = 'balanced' GROUP BY 1""")
-def primary_preset_query(spark, sf):
-    picked = primary_preset(pn.signals(spark, sf), ["balanced", "sensitive", "strong"], 101)
+def _preset_sql(signals: str) -> str:
+    """The first preset in order that has more than 100 known days."""
+    return f"""
+SELECT preset, COUNT(*) AS days, AVG(mentions) AS mentions_mean FROM {signals} WHERE preset = (
+  SELECT preset FROM (SELECT preset, COUNT(mentions) AS n FROM {signals} GROUP BY 1)
+  JOIN (VALUES ('balanced', 1), ('sensitive', 2), ('strong', 3)) AS o(preset, place) USING (preset) WHERE n >= 101 ORDER BY place LIMIT 1) GROUP BY 1"""
+
+
+def _primary(signals):
+    picked = primary_preset(signals, ["balanced", "sensitive", "strong"], 101)
     return picked.groupBy("preset").agg(F.count(F.lit(1)).alias("days"), F.avg("mentions").alias("mentions_mean"))
 
 
+@query("primary_preset", "preset days mentions_mean:6", _preset_sql("media_signal"))
+def primary_preset_query(spark, sf):
+    return _primary(pn.signals(spark, sf))
+
+
+cte("thin_signal", """
+SELECT preset, date, tone, CASE WHEN preset <> 'balanced' OR date < DATE '1995-03-01' THEN mentions END AS mentions FROM media_signal""")
+
+
+@query("primary_preset_fallback", "preset days mentions_mean:6", _preset_sql("thin_signal"))
+def primary_preset_fallback(spark, sf):
+    """The preferred preset has two months of data only, so the next one is taken."""
+    known = (F.col("preset") != "balanced") | (F.col("date") < F.to_date(F.lit("1995-03-01")))
+    return _primary(pn.signals(spark, sf).withColumn("mentions", F.when(known, F.col("mentions"))))
+
+
 # Feature panels ---------------------------------------------------------------------
 
 from pulsepanel.operators.features import context_features, feature_names  # noqa: E402
