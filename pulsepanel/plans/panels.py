@@ -111,11 +111,6 @@ def scored_panel(spark: SparkSession, sf: str) -> DataFrame:
     return stage(spark, sf, "scored", build, BY_SERIES)
 
 
-def article_store(spark: SparkSession, sf: str) -> DataFrame:
-    """Landed article records with a folder per day."""
-    return stage(spark, sf, "articles", lambda: fx.article_records(spark, sf), day="date")
-
-
 def peaks(spark: SparkSession, sf: str) -> DataFrame:
     return stage(spark, sf, "peaks", lambda: detect_peaks(prices(spark, sf)))
 
