@@ -10,20 +10,24 @@ neighbourhood.  Where a text repeats, the same stretches start at the same
 words: every verbatim run of ``min_words`` + 1 words holds at least one whole
 stretch.  Equal stretches have similarity 1, and all their bands are one key.
 
-Stretches and lines are counted by hash first; a bit table of fixed size then
-tells the next pass which of them can matter, so that only those are shuffled
-with their places or shingles.  The bit table only saves work: exact joins
-decide.
+The documents are read three times.  The first pass counts stretches.  The
+second one places the blocks of run starts around repeated stretches, cut where
+stretches start, and describes lines.  Where a block stands in several
+documents, one of them speaks for its runs: the third pass places single runs
+of blocks that stand once or belong to their smallest document, and gives the
+shingles of one line a class.  Between passes a bit table of fixed size tells
+what can matter.  The bit tables only save work: exact joins decide.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsepanel.llm.common import components, written
@@ -31,11 +35,23 @@ from pulsepanel.llm.common import components, written
 SHINGLE = 5
 SLOTS = 1 << 26
 BITS = np.uint64(64)
+SLICE = 1 << 20
+BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+HOT = 2000
+_powers: dict[int, np.ndarray] = {}
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """64-bit hash of each word of a lower-cased text."""
-    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, text.lower().split())), np.uint64)
+    """64-bit hash of each word of a lower-cased text; long texts are split in slices, which bounds the list of words."""
+    if len(text) <= SLICE:
+        return np.frombuffer(b"".join(map(xxhash.xxh64_digest, text.lower().split())), np.uint64)
+    parts, at = [], 0
+    while at < len(text):
+        space = re.compile(r"\s").search(text, at + SLICE)
+        end = space.start() if space else len(text)
+        parts.append(np.frombuffer(b"".join(map(xxhash.xxh64_digest, text[at:end].lower().split())), np.uint64))
+        at = end
+    return np.concatenate(parts)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,7 +94,7 @@ def stretches(words: np.ndarray, g: np.ndarray, min_words: int, stretch: int) ->
     low = sliding(np.minimum, g[:starts], reach)
     edge = np.zeros(reach - 1, np.uint64)
     at = np.flatnonzero(g[:starts] == sliding(np.maximum, np.concatenate([edge, low, edge]), reach))
-    return at, *window_hashes(words, at, stretch)
+    return at, *span_hashes(words, at, np.full(len(at), stretch))
 
 
 def long_lines(text: str, min_words: int) -> list[tuple[int, int]]:
@@ -144,12 +160,25 @@ def in_table(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[slot // BITS] >> (slot % BITS)) & np.uint64(1) == 1
 
 
-def window_hashes(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, second hash) of the ``size`` words from each start."""
-    rows = words[at[:, None] + np.arange(size)]
-    h1 = mix((rows * multipliers(size, 23)).sum(axis=1, dtype=np.uint64))
-    h2 = mix((rows * multipliers(size, 37)).sum(axis=1, dtype=np.uint64)) >> np.uint64(32)
-    return h1.view(np.int64), h2.astype(np.uint32).view(np.int32)
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0, base^1, ... modulo 2^64, at least n of them; kept for the next text."""
+    held = _powers.get(base)
+    if held is None or len(held) < n:
+        held = np.full(max(n, 4096), base, np.uint64)
+        held[0] = 1
+        held = _powers[base] = np.cumprod(held, dtype=np.uint64)
+    return held
+
+
+def span_hashes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, second hash) of spans of words: two polynomials modulo 2^64, each span by two prefix sums."""
+    both = []
+    for base in BASES:
+        sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * powers(base, len(words))[:len(words)], out=sums[1:])
+        h = (sums[starts + sizes] - sums[starts]) * powers(pow(base, -1, 1 << 64), len(words) + 1)[starts]
+        both.append(mix(h + sizes.astype(np.uint64)))
+    return both[0].view(np.int64), (both[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def chains(at: np.ndarray, stretch: int) -> list[tuple[int, int]]:
@@ -158,38 +187,63 @@ def chains(at: np.ndarray, stretch: int) -> list[tuple[int, int]]:
     return [(int(c[0]), int(c[-1])) for c in np.split(at, cuts) if len(c)]
 
 
-def repeated_runs(docs: DataFrame, min_words: int, stretch: int) -> DataFrame:
-    """(doc_id, start, words, keeper): places of all runs of ``min_words`` + 1 words that stand in two documents or more.
+def run_blocks(at: np.ndarray, repeated: np.ndarray, n_words: int, run: int, stretch: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first start, starts) of blocks: starts of runs that hold a repeated stretch, cut where any stretch starts."""
+    starts = [np.arange(max(0, a - run + stretch), min(b, n_words - run) + 1) for a, b in chains(at[repeated], stretch)]
+    starts = np.unique(np.concatenate(starts or [at[:0]]))
+    piece = np.searchsorted(at, starts, "right")
+    cuts = np.flatnonzero((np.diff(piece) != 0) | (np.diff(starts) != 1)) + 1
+    cuts = np.concatenate([[0], cuts])[:len(starts)].astype(np.int64)
+    return starts[cuts], np.diff(np.append(cuts, len(starts)))
+
 
-    Every such run holds a repeated stretch, so only the runs around chains of
-    stretches are placed and compared.  A longer passage is the union of its
-    runs, up to its first and last word.  Foreign stretches that the bit table
-    lets pass add runs to compare and decide nothing.
+def looked_up(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with their row of ``found`` by (h1, h2); ``found`` has the count ``n`` of each key's rows.
+
+    Keys with more than a ``HOT``-th of all rows, fewer than ``HOT`` of them whatever the input, are sent to
+    the rows; all others have few rows a key and meet by a shuffle.
     """
-    run = min_words + 1
+    total = rows.count()
+    hot = found.where(F.col("n") * HOT > total)
+    spread = rows.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti")
+    return rows.join(F.broadcast(hot), ["h1", "h2"]).unionByName(spread.join(found.where(F.col("n") * HOT <= total), ["h1", "h2"]))
 
-    def cut(doc: int, text: str):
-        w = word_hashes(text)
-        at, h1, h2 = stretches(w, grams(w), min_words, stretch)
-        return h1, h2, np.full(len(at), doc)
 
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32()]
-    counted = _map(docs, "h1 long, h2 int, doc_id long", kinds[:3], cut)
-    counted = counted.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
-    repeated = written(counted.where("keeper < last").select("h1"), "repeated-stretches")
-    bits = docs.sparkSession.sparkContext.broadcast(bit_table(repeated, "h1"))
+def shared(rows: DataFrame) -> DataFrame:
+    """(h1, h2, keeper, last, n): first and last document of each text."""
+    return rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
 
-    def again(doc: int, text: str):
-        w = word_hashes(text)
-        at, h1, _ = stretches(w, grams(w), min_words, stretch)
-        at = at[in_table(bits.value, h1)]
-        starts = np.unique(np.concatenate([np.arange(max(0, a - run + stretch), min(b, len(w) - run) + 1) for a, b in chains(at, stretch)] or [at]))
-        h1, h2 = window_hashes(w, starts, run)
-        return h1, h2, np.full(len(starts), doc), starts
 
-    places = written(_map(docs, "h1 long, h2 int, doc_id long, start int", kinds, again), "run-places")
-    held = places.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").drop("last")
-    return places.join(held, ["h1", "h2"]).select("doc_id", "start", F.lit(run).alias("words"), "keeper")
+def speaker(h1: str, doc: str) -> Column:
+    """One long for a text and the document that speaks for it."""
+    return F.col(h1).bitwiseXOR(F.col(doc)).alias("slot")
+
+
+def repeated_runs(blocks: DataFrame, classes: DataFrame, runs: DataFrame, run: int) -> DataFrame:
+    """(doc_id, start, words, keeper): places of all runs of words that stand in two documents or more.
+
+    A block that stands in a smaller document is decided as a whole.  The runs
+    of all other blocks are in ``runs``, and so are each run's smallest
+    document and, but for one case, a second one: a document may hold a run
+    twice, once in a block that it speaks for and once elsewhere.  Runs that
+    only one document placed, and more than once, therefore look at the
+    documents of their blocks.  A longer passage is the union of its runs.
+    """
+    whole = looked_up(blocks, classes.where("keeper < last"))
+    whole = whole.select("doc_id", "start", (F.col("words") + run - 1).alias("words"), "keeper")
+    many = written(shared(runs).where("n > 1"), "repeated-runs")
+    bits = runs.sparkSession.sparkContext.broadcast(bit_table(many, "h1"))
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_table(bits.value, b.column("h1").to_numpy())))
+
+    met = written(looked_up(runs.mapInArrow(known, runs.schema), many), "met-runs")
+    single = met.where("keeper = last")
+    other = classes.where("keeper < last").select(F.col("h1").alias("b1"), F.col("h2").alias("b2"))
+    held = single.join(other, ["b1", "b2"]).select("h1", "h2").distinct()
+    ends = met.where("keeper < last").unionByName(single.join(held, ["h1", "h2"], "left_semi").select(met.columns))
+    return whole.unionByName(ends.select("doc_id", "start", F.lit(run).alias("words"), "keeper"))
 
 
 def connected(sets: list[np.ndarray], side: np.ndarray, least: float) -> np.ndarray:
@@ -224,44 +278,18 @@ def connected(sets: list[np.ndarray], side: np.ndarray, least: float) -> np.ndar
     return label
 
 
-def near_lines(docs: DataFrame, min_words: int, similarity: float, bands: int, rows: int, block: int) -> DataFrame:
-    """(doc_id, start, words, keeper): every long line with an equal or similar line in another document."""
-
-    def describe(doc: int, text: str):
-        spans = long_lines(text, min_words)
-        w = word_hashes(text if spans else "")
-        h1, h2 = line_hashes(w, spans)
-        keys = band_keys(grams(w), spans, bands, rows)
-        return h1, h2, np.full(len(spans), doc), keys
-
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-    lines = _map(docs, "h1 long, h2 int, doc_id long, keys array<long>", kinds, describe)
-    # One class per text; classes are what is banded, so copies of a line meet nobody.
-    classes = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("keys").alias("keys"))
-    classes = written(classes, "line-classes")
+def line_bands(classes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Classes in the band buckets that they share with others (h1, h2, key, blocks), and each bucket's (key, n, blocks)."""
     banded = classes.select("h1", "h2", F.explode("keys").alias("key"))
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = written(sizes.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "line-bands")
-    members = written(banded.join(sizes, "key"), "line-members")
-    alike = members.select("h1", "h2").distinct()
-    wanted = written(alike.unionByName(classes.where("first < last").select("h1", "h2")).distinct(), "line-wanted")
-    bits = docs.sparkSession.sparkContext.broadcast(bit_table(wanted, "h1"))
-
-    def again(doc: int, text: str):
-        spans = long_lines(text, min_words)
-        w = word_hashes(text if spans else "")
-        h1, h2 = line_hashes(w, spans)
-        known = np.flatnonzero(in_table(bits.value, h1))
-        spans = [spans[i] for i in known]
-        sets = [np.unique(grams(w[a:a + n])).view(np.int64) for a, n in spans]
-        return h1[known], h2[known], np.full(len(known), doc), [a for a, _ in spans], [n for _, n in spans], sets
-
-    places = _map(docs, "h1 long, h2 int, doc_id long, start int, words int, shingles array<long>",
-                  [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())], again)
-    places = written(places, "line-places")
+    sizes = written(sizes.select("key", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "line-bands")
+    return written(banded.join(sizes.drop("n"), "key"), "line-members"), sizes
+
 
+def near_lines(lines: DataFrame, classes: DataFrame, members: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, start, words, keeper): every long line with an equal or similar line in another document."""
     # The id of a class in the graph; two classes with equal h1 would be one node, a chance of 2^-64 a pair.
-    sets = places.join(alike, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("shingles").alias("shingles"))
+    sets = sets.groupBy("h1", "h2").agg(F.first("shingles").alias("shingles"))
     mine = F.pmod(F.col("h2"), F.col("blocks"))
     grid = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     grid = grid.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).join(sets, ["h1", "h2"])
@@ -282,15 +310,16 @@ def near_lines(docs: DataFrame, min_words: int, similarity: float, bands: int, r
         linked = low != h
         return pa.table([pa.array(h[linked]), pa.array(low[linked])], ["a", "b"])
 
-    slots = max(1, members.count() // 500)
+    # Rows as the verification gets them: each member once per block of its bucket.
+    slots = max(1, (sizes.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) // 500)
     slot = F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(slots)).alias("slot")
     edges = grid.groupBy(slot).applyInArrow(verify, "a long, b long")
     comp = components(edges)
-    of = classes.select("h1", "h2", "first", "last").join(comp, classes.h1 == comp.node, "left")
-    of = written(of.select("h1", "h2", "first", "last", F.coalesce("component", "h1").alias("component")), "line-components")
+    of = classes.select("h1", "h2", "n", "first", "last").join(comp, classes.h1 == comp.node, "left")
+    of = written(of.select("h1", "h2", "n", "first", "last", F.coalesce("component", "h1").alias("component")), "line-components")
     groups = of.groupBy("component").agg(F.min("first").alias("keeper"), F.max("last").alias("last")).where("keeper < last").drop("last")
-    kept = of.join(groups, "component").select("h1", "h2", "keeper")
-    return places.join(kept, ["h1", "h2"]).select("doc_id", "start", "words", "keeper")
+    kept = written(of.join(groups, "component").select("h1", "h2", "n", "keeper"), "line-keepers")
+    return looked_up(lines, kept).select("doc_id", "start", "words", "keeper")
 
 
 SPANS = "doc_id long, n_passages long, repeated_words long, removed_words long, spans array<struct<start:int,words:int,removed:boolean>>"
@@ -353,5 +382,66 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, stretch: int = 30, s
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     picked = picked.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    places = repeated_runs(picked, min_words, stretch).union(near_lines(picked, min_words + 1, similarity, bands, rows, block))
-    return _merge(places)
+    send, run = docs.sparkSession.sparkContext.broadcast, min_words + 1
+
+    def cut(doc: int, text: str):
+        w = word_hashes(text)
+        at, h1, h2 = stretches(w, grams(w), min_words, stretch)
+        return h1, h2, np.full(len(at), doc)
+
+    h, place = [pa.int64(), pa.int32(), pa.int64()], [pa.int32(), pa.int32()]
+    counted = shared(_map(picked, "h1 long, h2 int, doc_id long", h, cut))
+    bits = send(bit_table(written(counted.where("keeper < last").select("h1"), "repeated-stretches"), "h1"))
+
+    def blocks_of(w: np.ndarray, g: np.ndarray):
+        at, h1, _ = stretches(w, g, min_words, stretch)
+        first, n = run_blocks(at, in_table(bits.value, h1), len(w), run, stretch)
+        return first, n, *span_hashes(w, first, n + run - 1)
+
+    def describe(doc: int, text: str):
+        w = word_hashes(text)
+        g = grams(w)
+        first, n, b1, b2 = blocks_of(w, g)
+        lines = long_lines(text, run)
+        h1, h2 = line_hashes(w, lines)
+        keys = [None] * len(first) + band_keys(g, lines, bands, rows)
+        starts, sizes = np.concatenate([first, [a for a, _ in lines]]), np.concatenate([n, [k for _, k in lines]])
+        return np.concatenate([b1, h1]), np.concatenate([b2, h2]), np.full(len(keys), doc), starts, sizes, keys
+
+    described = _map(picked, "h1 long, h2 int, doc_id long, start int, words int, keys array<long>", [*h, *place, pa.list_(pa.int64())], describe)
+    described = written(described, "blocks-and-lines")
+    blocks = described.where("keys IS NULL").drop("keys")
+    lines = described.where("keys IS NOT NULL")
+    block_classes = written(shared(blocks), "block-classes")
+    speaks = send(bit_table(block_classes.select(speaker("h1", "keeper")), "slot"))
+    # One class per text; classes are what is banded, so copies of a line meet nobody.
+    per = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
+    classes = written(per, "line-classes")
+    members, sizes = line_bands(classes, block)
+    alike = members.select("h1", "h2").distinct().join(classes.select("h1", "h2", "first"), ["h1", "h2"])
+    asked = send(bit_table(alike.select(speaker("h1", "first")), "slot"))
+
+    def single(doc: int, text: str):
+        w = word_hashes(text)
+        g = grams(w)
+        first, n, b1, b2 = blocks_of(w, g)
+        mine = in_table(speaks.value, b1 ^ doc)
+        first, n, b1, b2 = first[mine], n[mine], b1[mine], b2[mine]
+        starts = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        h1, h2 = span_hashes(w, starts, np.full(len(starts), run))
+        spans = long_lines(text, run)
+        l1, l2 = line_hashes(w, spans)
+        some = np.unique(l1, return_index=True)[1]
+        some = some[in_table(asked.value, l1[some] ^ doc)]
+        sets = [np.unique(g[a:a + k - SHINGLE + 1]).view(np.int64) for a, k in (spans[i] for i in some)]
+        none = np.zeros(len(some), np.int64)
+        return (np.concatenate([h1, l1[some]]), np.concatenate([h2, l2[some]]), np.full(len(starts) + len(some), doc), np.concatenate([starts, none]),
+                np.concatenate([np.repeat(b1, n), none]), np.concatenate([np.repeat(b2, n), none]), [None] * len(starts) + sets)
+
+    placed = _map(picked, "h1 long, h2 int, doc_id long, start int, b1 long, b2 int, shingles array<long>",
+                  [*h, pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())], single)
+    placed = written(placed, "runs-and-shingles")
+    runs = placed.where("shingles IS NULL").drop("shingles")
+    sets = placed.where("shingles IS NOT NULL").select("h1", "h2", "shingles")
+    found = repeated_runs(blocks, block_classes, runs, run)
+    return _merge(found.unionByName(near_lines(lines.drop("keys"), classes, members, sizes, sets, similarity)))

@@ -382,6 +382,61 @@ def test_passage_bounds_for_any_table(spark, slots, monkeypatch):
     assert got == want
 
 
+def slow_runs(rows, run=51):
+    """{doc_id: [(start, words, removed)]} by every run of every document, and the documents that hold it."""
+    texts, held = {}, {}
+    for doc, text in rows:
+        texts.setdefault(doc, []).append(text.lower().split())
+    for doc, all_words in texts.items():
+        for words in all_words:
+            for i in range(len(words) - run + 1):
+                held.setdefault(tuple(words[i:i + run]), set()).add(doc)
+    out = {}
+    for doc, (words, *_) in texts.items():
+        state = [0] * len(words)
+        for i in range(len(words) - run + 1):
+            docs = held[tuple(words[i:i + run])]
+            if len(docs) > 1:
+                for j in range(i, i + run):
+                    state[j] = max(state[j], 1 if min(docs) == doc else 2)
+        if any(state):
+            cuts = [0, *(j for j in range(1, len(words)) if state[j] != state[j - 1]), len(words)]
+            out[doc] = [(x, y - x, state[x] == 2) for x, y in zip(cuts, cuts[1:]) if state[x]]
+    return out
+
+
+@pytest.mark.parametrize("slots", [64, 1 << 26])
+def test_runs_match_brute_force(spark, slots, monkeypatch):
+    """Texts put together from shared pieces of many lengths, copies, runs twice in one document, and one very frequent piece."""
+    monkeypatch.setattr(passages, "SLOTS", slots)
+    rng = np.random.default_rng(33)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10 ** 9, n)]
+    pieces_ = [fresh(n) for n in rng.integers(20, 160, 40)]
+    rows = []
+    for doc in range(150):
+        words = []
+        for _ in range(rng.integers(1, 6)):
+            p = pieces_[min(rng.geometric(0.1), 40) - 1]
+            a = rng.integers(0, len(p) // 3)
+            words += p[a:len(p) - rng.integers(0, len(p) // 3)] + fresh(rng.integers(0, 30))
+        rows.append((doc, " ".join(words)))
+    rows += [(200 + i, rows[3 * i][1]) for i in range(20)]
+    twice, tail = fresh(60), fresh(80)
+    rows += [(300, " ".join(twice + tail + fresh(50) + twice + fresh(70))), (301, " ".join(fresh(40) + twice + tail)), (302, " ".join(twice + fresh(9) + twice))]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in passages.repeated_passages(frame(spark, rows), similarity=1.0).collect()}
+    assert got == slow_runs(rows)
+
+
+def test_words_of_slices():
+    text = "\u039f\u0394\u039f\u03a3 Ab\u2003c\x1cd \n" * 3000
+    whole = passages.word_hashes(text)
+    passages.SLICE, before = 7, passages.SLICE
+    try:
+        assert (passages.word_hashes(text) == whole).all() and len(whole) == 12_000
+    finally:
+        passages.SLICE = before
+
+
 def test_connected_matches_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(20):
