@@ -1,17 +1,23 @@
 """Main text of web pages by site template removal.
 
-Every page is parsed into elements, and each block element outside the
-article is described by a hash of its whole subtree: tags, texts, in order.
-Spark counts on how many pages of a host each hash occurs; subtrees on many
-pages of their host are its template and are deleted, besides elements whose
-tag, role or class names say that they aren't part of the text.
+Every page is parsed into elements, and each block element, inside the article
+and outside, is described by a hash of its whole subtree: tags, texts, in
+order.  Spark counts on how many pages of a host each hash occurs; subtrees on
+many pages of their host are its template and are deleted from every page,
+besides elements whose tag, role or class names say that they aren't part of
+the text.  What stays is measured, and the text is that of the article or main
+element which holds most of it.
+
+Text of an article is protected twice: inside it only subtrees on at least half
+of the host's pages go, and none where they hold half of the article or more:
+that page is a copy.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -173,37 +179,54 @@ class Page:
         if self.parent[node] >= 0:
             parts[self.parent[node]].append(str(out[node]))
 
-    def main(self, away: list[bool]) -> int | None:
-        """The article with the most text, else the largest main."""
+    def sizes(self, away: list[bool]) -> list[int]:
+        """Letters under each element, without what is away."""
         size = [0] * len(self.tag)
         for node, text in self.events:
             if text is not None and not away[node]:
-                size[node] += len(text)
+                size[node] += len(text.strip())
         for node in range(len(self.tag) - 1, 0, -1):
             size[self.parent[node]] += size[node]
-        for kind in MAIN:
-            found = [n for n in range(1, len(self.tag)) if not away[n] and (self.tag[n] == kind or (kind == "main" and self._is_main(n)))]
-            if found:
-                return max(found, key=lambda n: (size[n], -n))
-        return None
-
-    def outside(self) -> list[int]:
-        """Blocks that template removal may delete: those that aren't, hold or lie in an article or main."""
-        away = self.named_away()
-        main = self.main(away)
-        barred = set()
-        if main is not None:
-            node = main
-            while node > 0:
-                barred.add(node)
-                node = self.parent[node]
+        return size
+
+    def main(self, away: list[bool]) -> int | None:
+        """The largest article or main element; the outer one of two equal ones."""
+        size = self.sizes(away)
+        found = [n for n in range(1, len(self.tag)) if not away[n] and self._is_main(n)]
+        return max(found, key=lambda n: (size[n], -n)) if found else None
+
+    def candidates(self, away: list[bool], main: int | None) -> list[tuple[int, bool]]:
+        """Blocks that template removal may delete, and whether they lie in ``main``: all but article and main elements and what holds the chosen one."""
+        holds = {0}
+        node = main or 0
+        while node > 0:
+            holds.add(node)
+            node = self.parent[node]
         inside, found = [False] * len(self.tag), []
         for node in range(1, len(self.tag)):
             inside[node] = node == main or inside[self.parent[node]]
-            if not (inside[node] or away[node] or node in barred) and self.tag[node] in BLOCKS and self.tag[node] not in ("html", "body"):
-                found.append(node)
+            if not away[node] and node not in holds and self.tag[node] in BLOCKS and self.tag[node] not in ("html", "body", *MAIN):
+                found.append((node, inside[node]))
         return found
 
+    def without(self, away: list[bool], template: Container[int], common: Container[int]) -> list[bool]:
+        """``away`` and the subtrees of the site's template."""
+        main, hashes = self.main(away), self.subtree_hashes()
+        outer, inner = set(), set()
+        for node, inside in self.candidates(away, main):
+            if hashes[node] in (common if inside else template):
+                (inner if inside else outer).add(node)
+        gone = self._below(away, outer | inner)
+        if inner and 2 * self.sizes(gone)[main] <= self.sizes(away)[main]:
+            return self._below(away, outer)
+        return gone
+
+    def _below(self, away: list[bool], roots: set[int]) -> list[bool]:
+        gone = list(away)
+        for node in range(1, len(self.tag)):
+            gone[node] = gone[node] or gone[self.parent[node]] or node in roots
+        return gone
+
     def blocks(self, away: list[bool], below: int) -> str:
         """Texts of the blocks under an element, without what is away."""
         out, now, inside = [], [], [False] * len(self.tag)
@@ -229,24 +252,21 @@ class Page:
         return "\n\n".join(out)
 
 
-def main_text(source: str, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """Main text of a page, given the subtree hashes of its site's template.
+def main_text(source: str, template: Container[int] = frozenset(), common: Container[int] = frozenset()) -> str:
+    """Main text of a page, given the subtree hashes of its site's template and those on at least half of the site's pages.
 
-    Where template removal would leave nothing of a page without an article,
-    the page is itself a copy that recurs, and only names decide.
+    Template removal comes first, on every page.  Then the article or main
+    element with the most text left is the text, or the whole page where that
+    holds less than half of what is left.  Where template removal would leave
+    nothing, the page is itself a copy that recurs, and only names decide.
     """
     page = Page(source)
     away = page.named_away()
-    main = page.main(away)
-    if main is not None:
-        return page.blocks(away, main)
-    if not template:
-        return page.blocks(away, 0)
-    hashes, gone = page.subtree_hashes(), list(away)
-    candidates = set(page.outside())
-    for node in range(1, len(page.tag)):
-        gone[node] = gone[node] or gone[page.parent[node]] or (node in candidates and hashes[node] in template)
-    return page.blocks(gone, 0) or page.blocks(away, 0)
+    for gone in ([page.without(away, template, common)] if template or common else []) + [away]:
+        size, main = page.sizes(gone), page.main(gone)
+        if text := page.blocks(gone, main if main is not None and 2 * size[main] >= size[0] else 0):
+            return text
+    return ""
 
 
 def host_of(url: str | None) -> str | None:
@@ -254,8 +274,9 @@ def host_of(url: str | None) -> str | None:
     return m[1].lower().removeprefix("www.") if m else None
 
 
-def site_templates(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """(host, template): the subtree hashes on at least ``min_pages`` pages and ``min_share`` of a host's pages; columns host, html.
+def site_templates(pages: DataFrame, min_pages: int, min_share: float, inside_share: float = 0.5) -> DataFrame:
+    """(host, template, common): the subtree hashes on at least ``min_pages`` pages and ``min_share`` of a host's pages, and
+    those of them on ``inside_share`` of its pages; columns host, html.
 
     A hash on that share of pages takes that share of the blocks of an average
     page, so the list of a host is bounded by blocks per page / ``min_share``.
@@ -275,7 +296,8 @@ def site_templates(pages: DataFrame, min_pages: int, min_share: float) -> DataFr
             for host, source in zip(b.column(0).to_pylist(), b.column(1)):
                 page = Page(source.as_py() or "")
                 hashes = page.subtree_hashes()
-                for h in {hashes[node] for node in page.outside()} | {0}:  # 0 counts the pages
+                away = page.named_away()
+                for h in {hashes[node] for node, _ in page.candidates(away, page.main(away))} | {0}:  # 0 counts the pages
                     seen[host, h] = seen.get((host, h), 0) + 1
                 if len(seen) > 100_000:
                     yield flush()
@@ -285,7 +307,8 @@ def site_templates(pages: DataFrame, min_pages: int, min_share: float) -> DataFr
     counts = written(counts.where((F.col("hash") == 0) | (F.col("n") >= min_pages)), "subtree-counts")
     sizes = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
     many = counts.where("hash <> 0").join(sizes, "host").where(F.col("n") >= min_share * F.col("pages"))
-    return written(many.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template")), "site-templates")
+    common = F.collect_list(F.when(F.col("n") >= inside_share * F.col("pages"), F.col("hash")))
+    return written(many.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template"), F.sort_array(common).alias("common")), "site-templates")
 
 
 def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -307,9 +330,10 @@ def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(s.as_py() or "", frozenset(t or ())) for s, t in zip(b.column(2), b.column(3).to_pylist())]
+            lists = zip(b.column(3).to_pylist(), b.column(4).to_pylist())
+            texts = [main_text(s.as_py() or "", frozenset(t or ()), frozenset(c or ())) for s, (t, c) in zip(b.column(2), lists)]
             arrays = [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_chars"])
 
-    joined = hosted.join(templates, "host", "left").select("page_id", "url", "html", "template")
+    joined = hosted.join(templates, "host", "left").select("page_id", "url", "html", "template", "common")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -128,3 +128,27 @@ def test_site_template(spark):
     assert all(got[300 + i].text == "All the same" for i in range(9))
     assert all(r.n_chars == len(r.text) for r in got.values()) and len(got) == len(rows)
     assert templates.extract(pages.where("page_id < 0")).count() == 0
+
+
+def test_template_acts_inside_articles(spark):
+    """A notice of neutral class inside every article goes, whatever its place; a paragraph that some articles share, and copied articles, stay."""
+    page = "<body><article><h1>T{i}</h1><div>Read <b>our</b> terms</div><p>{body}</p><section>{shared}</section></article><div>Beside {i}</div></body>"
+    shared = lambda i: "<p>A saying that a third of them share, word by word</p>" if i % 3 == 0 else f"<p>Last {i}</p>"
+    body = lambda i: f"Story {i} " + "told at length " * 5
+    rows = [(i, f"http://n.example/{i}", page.format(i=i, body=body(i), shared=shared(i))) for i in range(24)]
+    rows += [(100 + i, f"http://copy.example/{i}", page.format(i=0, body=body(0), shared=shared(1))) for i in range(7)]
+    rows += [(200 + i, f"http://near.example/{i}", page.format(i=0, body=body(0), shared=f"<p>{i}</p>")) for i in range(7)]
+    got = {r.page_id: r.text.split("\n\n") for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    on_pages = lambda text: sum(f">{text}<" in html for k, _, html in rows if k < 100)  # noqa: E731  brute force over the first host
+    for i in range(24):
+        parts = [f"T{i}", body(i).strip(), shared(i)[3:-4]]
+        assert all(2 * on_pages(p) < 24 for p in parts) and got[i] == parts
+    assert got[100] == ["T0", "Read our terms", body(0).strip(), "Last 1"]
+    assert got[203] == ["T0", "Read our terms", body(0).strip(), "3"]
+
+
+def test_root_by_text():
+    body = "long text of the body " * 20
+    assert templates.main_text(f"<article>Teaser</article><div><p>{body}</p></div>") == "Teaser\n\n" + body.strip()
+    assert templates.main_text("<main><article>One one</article><article>Two</article><p>End</p></main>") == "One one\n\nTwo\n\nEnd"
+    assert templates.main_text(f"<article>{body}</article><main>short</main><div>x</div>") == body.strip()
