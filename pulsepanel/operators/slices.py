@@ -6,7 +6,7 @@ ordinary window functions, a small table of one row a range is combined in
 order, and what a range needs from before it comes back by an equi-join:
 
 * a count, so that every row gets its number (``numbered``) and slices of equal
-  size can be cut from then on;
+  size can be cut from then on; the rows are sorted by Spark's range exchange;
 * the last known value (``forward_fill``), a running sum and maximum
   (``running``, ``with_drawdown``);
 * for rolling frames, copies of the rows just before the slice (``rolling``).
@@ -27,7 +27,7 @@ from pulsepanel.operators.joins import attach
 from pulsepanel.operators.windows import running as up_to_here
 from pulsepanel.sources.workdir import kept_table
 
-#: First cut: ranges a series; then rows a slice.
+#: Ranges a group of values is cut into; rows a slice.
 RANGES, ROWS = 256, 1 << 20
 SLICE, PLACE = "__slice", "__rn"
 
@@ -40,19 +40,24 @@ def cut_ranges(df: DataFrame, keys: list[str], by: str, ranges: int = RANGES) ->
     return placed.withColumn(SLICE, F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(by))), F.lit(0))).drop("__cuts")
 
 
-def numbered(df: DataFrame, keys: list[str], by: str, ties: tuple[str, ...] = (), rows: int = ROWS, ranges: int = RANGES) -> DataFrame:
-    """Rows with their number in the series and slices of ``rows`` rows, as a written table.
+def numbered(df: DataFrame, keys: list[str], by: str, ties: tuple[str, ...] = (), rows: int = ROWS, ranges: int | None = None) -> DataFrame:
+    """Rows with their number in the series and slices of ``rows`` rows.
 
     Rows are in the order of ``by``, a number, day or time, and of ``ties`` where it is equal.
+    Spark deals them to ranges of that order (``ranges`` of them, else as its shuffles are set),
+    sorts each and numbers its rows; the sorted rows are written once, and a row's number is its
+    own plus what the ranges before it hold of its series.
     """
-    placed = kept_table(cut_ranges(df, keys, by, ranges), "ranges")
-    counts = placed.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*keys, SLICE, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(by, *ties))
-    out = attach(placed.withColumn("__own", own), counts, [*keys, SLICE])
-    out = out.withColumn(PLACE, F.col("__own") + F.col("__before")).drop("__own", "__before")
-    return kept_table(out.withColumn(SLICE, F.floor((F.col(PLACE) - 1) / rows).cast("bigint")), "slices")
+    order = [*keys, by, *ties]
+    dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    placed = kept_table(dealt.sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranges")
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
+    counts = placed.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("__n").over(before), F.lit(0)) + 1 - F.col("__first")
+    out = attach(placed, kept_table(counts.select(*keys, "__part", shift.alias("__shift")), "offsets"), [*keys, "__part"])
+    out = out.withColumn(PLACE, F.col("__at") + F.col("__shift")).drop("__at", "__part", "__shift")
+    return out.withColumn(SLICE, F.floor((F.col(PLACE) - 1) / rows).cast("bigint"))
 
 
 def within(keys: list[str]) -> WindowSpec:
@@ -60,10 +65,10 @@ def within(keys: list[str]) -> WindowSpec:
 
 
 def carried(cut: DataFrame, keys: list[str], parts: dict[str, Column], over: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:
-    """One row a slice: aggregates ``parts`` of the slices before it, combined by ``over``."""
+    """One row a slice, written: aggregates ``parts`` of the slices before it, combined by ``over``."""
     per_slice = cut.groupBy(*keys, SLICE).agg(*[c.alias(n) for n, c in parts.items()])
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    return per_slice.select(*keys, SLICE, *[c(before).alias(n) for n, c in over.items()])
+    return kept_table(per_slice.select(*keys, SLICE, *[c(before).alias(n) for n, c in over.items()]), "carried")
 
 
 def forward_fill(cut: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:

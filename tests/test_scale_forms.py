@@ -122,6 +122,18 @@ def test_slices_equal_plain_windows(spark, long_series):
         slices.rolling(cut, ["series_id"], 100, lambda s: {}, rows=64)
 
 
+def test_rows_are_numbered_where_they_lie(spark, long_series, monkeypatch):
+    """A file of the written rows is one stretch of a series: rows are sorted once, by ranges, and get their numbers there."""
+    tables = {}
+    monkeypatch.setattr(slices, "kept_table", lambda df, name: tables.setdefault(name, workdir.kept_table(df, name)))
+    cut = slices.numbered(long_series, ["series_id"], "at", rows=64, ranges=16)
+    files = tables["ranges"].where("series_id = 'one'").groupBy(F.input_file_name()).agg(F.count("at").alias("n"), F.min("at").alias("a"), F.max("at").alias("b"))
+    stretches = files.collect()
+    assert len(stretches) > 8 and all(r.b - r.a + 1 == r.n for r in stretches)
+    filled = slices.forward_fill(cut, ["x"], ["series_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in filled  # what slices carry is a written table of known size
+
+
 def test_ranks_equal_plain_ranks(spark):
     rng = np.random.default_rng(8)
     rows = [("g", float(x)) for x in rng.integers(0, 50, 2000)] + [("h", 1.0)] * 700 + [("h", 2.0), (None, 3.0), (None, 3.0), ("g", None)]
