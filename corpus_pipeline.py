@@ -2,7 +2,7 @@
 
 Language ID drops documents without a language and sets ``lang``; line dedup
 rewrites texts without lines that many documents share; near-duplicate search
-keeps one document of each group at five-word Jaccard 0.8; mixing repeats or leaves out documents
+by SimHash keeps one document of each group at five-word Jaccard 0.8; mixing repeats or leaves out documents
 so that sources meet their target weights, in curriculum order; packing
 encodes the rest into sequences.  All but the last return the columns of
 ``documents``.

@@ -1,9 +1,15 @@
 """Near-duplicate documents: five-word shingles at Jaccard similarity 0.8.
 
 A document is the set of its word 5-shingles; one of fewer words is a single
-shingle.  MinHash bands find candidates, exact Jaccard similarity of the whole
-sets decides.  A pair at similarity s agrees in no band with a chance of
-(1 - s^rows)^bands: 3 in 100,000 at 0.8 for 20 bands of 4 rows.
+shingle.  Exact Jaccard similarity of whole sets decides every link; the
+candidates come from SimHash.  The 64-bit fingerprints of the sets are joined
+by pigeonring segments within two bits (``simhash.links``), which finds the
+copies with few edits and joins them to groups.
+
+Similarity 0.8 shows as some ten bits, where no segment is selective.  So
+MinHash bands look for what two bits leave: pairs of different groups only.  A
+pair at similarity s agrees in no band with a chance of (1 - s^rows)^bands: 3
+in 100,000 at 0.8 for 20 bands of 4 rows.
 
 Equal sets are one class.  In every band bucket all classes are first compared
 with the smallest one, which joins groups of near copies without pairing them.
@@ -23,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pulsepanel.llm.common import components, written
 from pulsepanel.llm.passages import band_keys, bit_table, connected, grams, in_table
-from pulsepanel.llm.simhash import keep_smallest
+from pulsepanel.llm.simhash import fingerprint_of, keep_smallest, links
 
 SHINGLE = 5
 
@@ -42,28 +48,23 @@ def class_of(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), 3) - (1 << 63)
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether two sorted sets have Jaccard similarity ``least`` or more."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return not len(b)
-    shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-    return shared >= least * (len(a) + len(b) - shared)
+def near_fingerprints(classes: DataFrame) -> DataFrame:
+    """(a, b) candidate pairs of classes (h, n, fp): the smallest class of a fingerprint with its others, and those of fingerprints within two bits."""
+    heads = written(classes.groupBy("fp").agg(F.min(F.struct("h", "n")).alias("head"), F.count(F.lit(1)).alias("held")), "neardup-fingerprints")
+    same = classes.join(heads.where("held > 1"), "fp").select(F.col("head.h").alias("a"), F.col("h").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b"))
+    at_a = heads.select(F.col("fp").alias("a"), F.col("head").alias("one"))
+    at_b = heads.select(F.col("fp").alias("b"), F.col("head").alias("two"))
+    near = links(heads.select("fp")).join(at_a, "a").join(at_b, "b").select(
+        F.col("one.h").alias("a"), F.col("two.h").alias("b"), F.col("one.n").alias("n_a"), F.col("two.n").alias("n_b"))
+    return same.where("a <> b").unionByName(near)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The rows (a, b, ...) whose two classes are similar."""
     first, second = sets.select(F.col("h").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("h").alias("b"), F.col("shingles").alias("t"))
-    names = pairs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = zip(batch.column("s"), batch.column("t"))
-            linked = [similar(s.values.to_numpy().view(np.uint64), t.values.to_numpy().view(np.uint64), similarity) for s, t in both]
-            yield batch.select(names).filter(pa.array(linked, pa.bool_()))
-
-    return pairs.join(first, "a").join(second, "b").select(*names, "s", "t").mapInArrow(run, pairs.schema)
+    shared, both = F.size(F.array_intersect("s", "t")), F.size("s") + F.size("t")
+    linked = F.exists(F.array(shared), lambda n: n >= F.lit(similarity) * (both - n))  # counts the shared ones once
+    return pairs.join(first, "a").join(second, "b").where(linked).select(*pairs.columns)
 
 
 def linked_blocks(members: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
@@ -108,22 +109,28 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, bands: int =
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in batches:
-                h, n, keys = [], [], []
+                h, n, fps, keys = [], [], [], []
                 for text in b.column(1):
                     found = shingle_set(text.as_py())
                     h.append(class_of(found))
                     n.append(len(found))
-                    keys.append(band_keys(found, [(0, len(found) + SHINGLE - 1)], bands, rows)[0] if len(found) else [])
-                arrays = [b.column(0), pa.array(h, pa.int64()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "h", "n", "keys"])
+                    fps.append(fingerprint_of([found], len(found)))
+                    keys.append(band_keys(found, [(0, len(found) + SHINGLE - 1)], bands, rows)[0] if len(found) and bands else [])
+                arrays = [b.column(0), pa.array(h, pa.int64()), pa.array(n, pa.int32()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "h", "n", "fp", "keys"])
 
-    described = written(picked.mapInArrow(describe, "doc_id long, h long, n int, keys array<long>"), "neardup-documents")
-    classes = written(described.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "neardup-classes")
+    def may(a: str, b: str):
+        return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
+
+    described = written(picked.mapInArrow(describe, "doc_id long, h long, n int, fp long, keys array<long>"), "neardup-documents")
+    classes = written(described.groupBy("h").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "fp", "keys")]), "neardup-classes")
+    near = written(near_fingerprints(classes.select("h", "n", "fp")).where(may("n_a", "n_b")).select("a", "b").distinct(), "neardup-near")
     banded = classes.select("h", "n", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("h", "n")).alias("first")).where("held > 1")
     buckets = written(buckets.select("key", F.col("first.h").alias("first"), F.col("first.n").alias("first_n")), "neardup-buckets")
     members = written(banded.join(buckets, "key"), "neardup-members")
-    bits = docs.sparkSession.sparkContext.broadcast(bit_table(members.select("h").distinct(), "h"))
+    asked = members.select("h").union(near.select("a")).union(near.select("b")).distinct()
+    bits = docs.sparkSession.sparkContext.broadcast(bit_table(asked, "h"))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -138,13 +145,17 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, bands: int =
     # One row a class; the bit table only saves work, the joins with candidates drop what else it lets pass.
     sets = written(picked.mapInArrow(again, "h long, shingles array<long>").groupBy("h").agg(F.first("shingles").alias("shingles")), "neardup-sets")
 
-    def may(a: str, b: str):
-        return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
-
+    comp = written(components(verified(near, sets, similarity)), "neardup-linked")
     stars = members.where(F.col("h") != F.col("first")).where(may("n", "first_n")).select(F.col("first").alias("a"), F.col("h").alias("b")).distinct()
-    comp = written(components(verified(stars, sets, similarity)), "neardup-stars")
-    held = members.join(comp.withColumnRenamed("node", "h"), "h", "left").select("key", "h", "n", "first", F.coalesce("component", "h").alias("comp"))
-    held = written(held, "neardup-held")
+    for end in ("a", "b"):  # pairs of one SimHash group are linked already
+        stars = stars.join(comp.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+        stars = stars.withColumn(f"comp_{end}", F.coalesce(f"of_{end}", end)).drop(f"of_{end}")
+    edges = verified(written(stars.where("comp_a <> comp_b"), "neardup-pairs"), sets, similarity)
+    wider = written(components(edges.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))), "neardup-stars")
+    labels = classes.select("h", "rep").join(comp.withColumnRenamed("node", "h"), "h", "left").select("h", "rep", F.coalesce("component", "h").alias("node"))
+    labels = labels.join(wider, "node", "left").select("h", "rep", F.coalesce("component", "node").alias("comp"))
+    labels = written(labels, "neardup-labels")
+    held = written(members.join(labels.drop("rep"), "h").select("key", "h", "n", "first", "comp"), "neardup-held")
     mixed = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "n")
     mixed = written(mixed, "neardup-mixed")
     few = held.where(F.col("h") != F.col("first")).join(mixed.where(F.col("n") <= dense).select("key"), "key")  # the first has met all others
@@ -156,8 +167,7 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = 0.8, bands: int =
     if not many.isEmpty():
         edges = edges.union(linked_blocks(held.select("key", "h", "comp"), many, sets, similarity, block))
     more = components(edges).select(F.col("node").alias("comp"), F.col("component").alias("lower"))
-    roots = classes.select("h", "rep").join(comp.withColumnRenamed("node", "h"), "h", "left").select("h", "rep", F.coalesce("component", "h").alias("comp"))
-    roots = written(roots.join(more, "comp", "left").select("h", "rep", F.coalesce("lower", "comp").alias("root")), "neardup-roots")
+    roots = written(labels.join(more, "comp", "left").select("h", "rep", F.coalesce("lower", "comp").alias("root")), "neardup-roots")
     low = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     return described.select("doc_id", "h").join(roots.join(low, "root").select("h", "component_id"), "h").select("doc_id", "component_id")
 

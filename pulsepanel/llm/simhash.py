@@ -18,7 +18,7 @@ the number of distinct fingerprints and not with the square of a group.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +40,16 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     n = max(1, len(parts) - words + 1)
     shingles = [b" ".join(parts[i:i + words]) for i in range(n)] if words != 3 or n == 1 else [
         b"%b %b %b" % t for t in zip(parts, parts[1:], parts[2:])]
+    digest = xxhash.xxh64_intdigest
+    return fingerprint_of((np.array([digest(s, SEED) for s in shingles[at:at + (1 << 16)]], np.uint64) for at in range(0, n, 1 << 16)), n)
+
+
+def fingerprint_of(hashes: Iterable[np.ndarray], n: int) -> int:
+    """Signed 64-bit SimHash of ``n`` hashes in several arrays: bit i is set if more than half of them have it; 0 for none."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):  # bounds memory for very long texts
-        digest = xxhash.xxh64_intdigest
-        h = np.array([digest(s, SEED) for s in shingles[at:at + (1 << 16)]], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    for part in hashes:
+        for at in range(0, len(part), 1 << 12):  # bounds memory for very long texts
+            ones += np.unpackbits(part[at:at + (1 << 12)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits((2 * ones > n), bitorder="little").view(np.int64)[0])
 
 

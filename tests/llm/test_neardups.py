@@ -73,3 +73,16 @@ def test_stage_matches_brute_force(spark):
     texts = {r.doc_id: r.text for r in lined.collect()}
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, lined, SMALL).collect()}
     assert kept == set(slow_groups(texts).values())
+
+
+def test_fingerprints_link_without_bands(spark):
+    """SimHash alone links what lies within two bits at Jaccard 0.8, and nothing below that similarity."""
+    texts = edited_texts()
+    got = {r.doc_id: r.component_id for r in neardups.near_duplicate_groups(frame(spark, list(texts.items())), bands=0).collect()}
+    prints = {d: neardups.fingerprint_of([s := neardups.shingle_set(t)], len(s)) for d, t in texts.items()}
+    sets = {d: slow_set(t) for d, t in texts.items()}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    near = [(a, b) for a in texts for b in texts if b < a and prints[a] != prints[b] and ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() <= 2 and alike(a, b)]
+    assert len(near) > 10 and all(got[a] == got[b] for a, b in near)
+    whole = slow_groups(texts)
+    assert all(whole[d] == whole[c] for d, c in got.items())
