@@ -15,16 +15,15 @@ difference, computed once a session.
   is an array with one long a piece, which holds the rank of the pair it makes
   with its neighbour, its offset and its id.  A merge renews two of them.
 * **Distinct words.**  Words are counted over all texts; the commonest
-  ``most_known``, and the vocabulary's own, are folded once, and their ids go
-  into every task as one more constant.  Any other word is folded where it
-  stands, so no text is ever shuffled and nothing grows with the corpus but the
-  count of words.
-* **Long words.**  The fold's work grows with the square of a word.  Texts with
-  a run of more than 64 characters without (or of) white space may hold words
-  of more than 260 bytes; all their words go through a heap of pairs with the
-  same merge rule, in n log n steps, in Arrow batches.
+  ``most_known``, and the vocabulary's own, are folded once and broadcast with
+  their ids.  Arrow batches look all words of the texts up; any other word is
+  folded once in each row that holds it, so no text is ever shuffled and
+  nothing grows with the corpus but the count of words.
+* **Long words.**  The fold's work grows with the square of a word.  Words of
+  more than 65 characters, which may have over 260 bytes, go through a heap of
+  pairs with the same merge rule, in n log n steps.
 
-Decoding looks every id's bytes up and concatenates them.
+Decoding looks every id's bytes up and concatenates them, in Arrow batches.
 
 Null and empty texts have no ids and decode to no bytes; texts of any length
 are encoded whole, rows are independent of each other, repeated rows and other
@@ -42,23 +41,26 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
 
 from pulsepanel.llm.common import written
 
-#: Words whose ids every task holds, beside the vocabulary's own; the rest are folded in place.  About 20 MB.
+#: Words whose ids every task holds, beside the vocabulary's own; the rest are folded row by row.  About 10 MB.
 KNOWN_WORDS = 1 << 18
-BUCKETS = 1 << 17
 #: Places of the pair table (a vocabulary of 50,000 tokens has about a quarter of a million pairs).
 PAIR_SLOTS = 1 << 20
 NONE, EMPTY = 0xFFFFF, 1 << 61
 LONGS = "array<bigint>"
 #: Odd factors that spread the two ids of a pair over the table.
 MIXERS = ((0x9E3779B1, 0x85EBCA77), (0xC2B2AE3D, 0x27D4EB2F))
-#: A text without a longer run than this of one kind of character has no word of over 4 * 65 bytes.
-LONG_RUN = 64
+#: Longer words, which may have more than four times as many bytes, are merged by a heap.
+LONG_WORD = 65
+#: Words or ids that a task handles at once, but for a longer text.
+PIECE = 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -121,28 +123,6 @@ def words_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
-def bucket_of(key: Column, buckets: int) -> Column:
-    """Place of a key among the small maps, from zero; ``buckets`` is a power of two."""
-    return F.xxhash64(key).bitwiseAND(buckets - 1).cast("int")
-
-
-def constant_map(entries: DataFrame, buckets: int = BUCKETS) -> Column:
-    """(key, value) rows as one constant: an array of small maps, by hash of the key.
-
-    Only for tables of bounded size: it becomes part of the plan of every task.
-    """
-    placed = entries.groupBy(bucket_of(F.col("key"), buckets).alias("place")).agg(
-        F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("value"))
-    return constant_array(placed, buckets)
-
-
-def constant_array(placed: DataFrame, size: int) -> Column:
-    """(place, value) rows, places from zero, as one constant array of ``size``; NULL where no row has the place."""
-    every = placed.sparkSession.range(size).select(F.col("id").cast("int").alias("place")).join(placed, "place", "left")
-    rows = every.agg(F.array_sort(F.collect_list(F.struct("place", "value")), lambda a, b: a["place"] - b["place"]).alias("rows"))
-    return rows.select(F.transform("rows", lambda x: x["value"])).scalar()
-
-
 def using(df: DataFrame, constants: list[Column], name: str, body) -> DataFrame:
     """Add the column ``body(*constants)``; each constant is bound once, as the variable of a lambda, and never copied into rows.
 
@@ -166,10 +146,6 @@ def using(df: DataFrame, constants: list[Column], name: str, body) -> DataFrame:
     return bound(written(df, "rows")) if "AS __constant" in out._jdf.queryExecution().optimizedPlan().toString() else out
 
 
-def look_up(table: Column, key: Column, buckets: int = BUCKETS) -> Column:
-    return F.try_element_at(F.get(table, bucket_of(key, buckets)), key)
-
-
 def let(value: Column, body, kind: str) -> Column:
     """``body`` of a value that is computed once.
 
@@ -218,13 +194,17 @@ def joined_rank(pairs: Column, left: Column, right: Column, slots: int = PAIR_SL
     return F.least(*[F.get(pairs, p.cast("int")).bitwiseXOR(key) for p in _places(left, right, slots)], F.lit(NONE).cast("bigint")).cast("bigint")
 
 
-def fold(word: Column, whole: Column, pairs: Column, singles: Column) -> Column:
-    """The ids of one word: the pair of lowest rank is merged, step by step, over the bytes.
+def ranked(x: Column, rank: Column) -> Column:
+    return F.shiftleft(rank, 42).bitwiseOR(x)
+
+
+def fold(pieces: Column, pairs: Column) -> Column:
+    """The ids of one word's pieces: the pair of lowest rank is merged, step by step.
 
-    ``whole`` is the id of the word if it is a token.  A piece is one long:
-    rank of the pair it makes with the next piece (20 bits, ``NONE`` for
-    none), its offset (22), its id (20).  The smallest is the leftmost pair of
-    lowest rank, and its rank is the id of the merged piece.
+    A piece is one long: rank of the pair it makes with the next piece (20
+    bits, ``NONE`` for none), its offset (22), its id (20).  The smallest is
+    the leftmost pair of lowest rank, and its rank is the id of the merged
+    piece.
     """
     def id_of(x: Column) -> Column:
         return x.bitwiseAND(NONE)
@@ -234,9 +214,6 @@ def fold(word: Column, whole: Column, pairs: Column, singles: Column) -> Column:
         offset = 0x3FFFFF << 20
         return F.size(F.filter(state, lambda x: x.bitwiseAND(offset) <= low.bitwiseAND(offset)))
 
-    def ranked(x: Column, rank: Column) -> Column:
-        return F.shiftleft(rank, 42).bitwiseOR(x)
-
     def merge(state: Column, low: Column, at: Column) -> Column:
         merged = F.shiftright(low, 42)
 
@@ -256,6 +233,12 @@ def fold(word: Column, whole: Column, pairs: Column, singles: Column) -> Column:
         return let(F.array_min(state), lambda low: F.when(low >= F.lit(NONE << 42), state).otherwise(
             let(place_of(state, low), lambda at: merge(state, low, at), LONGS)), LONGS)
 
+    steps = F.sequence(F.lit(2), F.size(pieces) + 1)
+    return F.aggregate(steps, pieces, step, lambda s: F.transform(s, lambda x: id_of(x).cast("int")).cast("array<int>")).cast("array<int>")
+
+
+def fold_word(word: Column, whole: Column, pairs: Column, singles: Column) -> Column:
+    """The ids of one word, from its bytes; ``whole`` is its id if it is a token."""
     def start(ids: Column) -> Column:
         def piece(x: Column, i: Column) -> Column:
             after = F.get(ids, i + 1)
@@ -264,11 +247,21 @@ def fold(word: Column, whole: Column, pairs: Column, singles: Column) -> Column:
 
         return F.transform(ids, piece)
 
-    def merged(latin: Column) -> Column:
-        ids = F.transform(F.split(latin, F.lit("")), lambda c: F.get(singles, F.ascii(c)))
-        return F.aggregate(F.sequence(F.lit(2), F.length(latin) + 1), let(ids, start, LONGS), step, lambda s: F.transform(s, lambda x: id_of(x).cast("int")).cast("array<int>"))
+    latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+    ids = F.transform(F.split(latin, F.lit("")), lambda c: F.get(singles, F.ascii(c)))
+    merged = let(let(ids, start, LONGS), lambda pieces: fold(pieces, pairs), "array<int>")
+    return F.when(whole.isNotNull(), F.array(whole)).otherwise(merged).cast("array<int>")
 
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(merged(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")).cast("array<int>")).cast("array<int>")
+
+def byte_pieces(words: pa.StringArray, singles: np.ndarray, doubles: np.ndarray) -> pa.ListArray:
+    """Each word's single bytes as the fold's pieces, none for a long word; ``doubles`` has the ranks of two bytes."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+    sizes, short = np.diff(ends), pc.less_equal(pc.utf8_length(words), LONG_WORD).to_numpy(zero_copy_only=False)
+    rank = np.append(doubles[data[:-1], data[1:]], NONE)
+    rank[ends[1:] - ends[0] - 1] = NONE
+    pieces = rank << 42 | (np.arange(len(data)) - np.repeat(ends[:-1] - ends[0], sizes)) << 20 | singles[data]
+    return _lists(np.concatenate([[0], np.cumsum(sizes * short)]), pa.array(pieces[np.repeat(short, sizes)], pa.int64()))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -304,28 +297,13 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _encode_long(ranks: dict[bytes, int], name: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, known = batch.column("__words").to_pylist(), {}
-            for w in {w for row in words for w in row}:
-                known[w] = pa.array(merge_long(w.encode(), ranks), pa.int32())
-            ids = [pa.concat_arrays([known[w] for w in row]) if row else pa.array([], pa.int32()) for row in words]
-            rest = batch.drop_columns(["__words"])
-            for i, one in enumerate(ids):  # a row a batch: a long text's ids may be large
-                column = pa.ListArray.from_arrays(pa.array([0, len(one)], pa.int32()), one)
-                yield rest.slice(i, 1).append_column(name, column)
-
-    return run
-
-
 def known_words(texts: DataFrame, text: str, pattern: str, most: int) -> DataFrame:
-    """The commonest words that texts without long runs may hold, ``most`` at most: all words from some count up.
+    """The commonest words that aren't long, ``most`` at most: all words from some count up.
 
     The count to start from is read off a histogram of counts by 32nds of a
     power of two, a table of under 2,048 rows.
     """
-    words = texts.select(F.explode(words_of(F.col(text), pattern)).alias("key")).where(F.length("key") <= LONG_RUN + 1)
+    words = texts.select(F.explode(words_of(F.col(text), pattern)).alias("key")).where(F.length("key") <= LONG_WORD)
     words = words.groupBy("key").count()
     words = written(words.withColumn("level", F.floor(F.log2("count") * 32).cast("int")), "words")
     total, cut = 0, None
@@ -351,6 +329,11 @@ class Vocabulary:
     def singles(self) -> Column:
         return self._constant(np.array([self.ranks[bytes([b])] for b in range(256)], np.int64))
 
+    def bytes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of single bytes, and the rank of every two bytes or ``NONE``."""
+        one = [bytes([b]) for b in range(256)]
+        return np.array([self.ranks[b] for b in one]), np.array([[self.ranks.get(a + b, NONE) for b in one] for a in one])
+
     def _constant(self, values: np.ndarray) -> Column:
         row = pa.table({"value": pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))})
         return written(self.spark.createDataFrame(row), "constant").select("value").scalar()
@@ -368,65 +351,138 @@ def _is_text(token: bytes) -> bool:
         return False
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", most_known: int = KNOWN_WORDS) -> DataFrame:
-    """The rows with an array of token ids of each whole text, as the column ``ids``."""
-    short, rest = encoded_parts(docs, ranks_path, pattern, text, ids, most_known)
-    return short.unionByName(rest)
+def _pieces(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``PIECE`` entries of a list column; a longer list is one alone."""
+    for batch in batches:
+        ends, at = _ends(batch.column(name))[1:], 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def _ends(lists: pa.ListArray) -> np.ndarray:
+    """Where each row's entries begin among the flattened ones, and their number."""
+    return np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+
+
+def _lists(ends: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
 
+def _look_up(known: Broadcast, singles: np.ndarray, doubles: np.ndarray):
+    """``__words`` become ``__codes``: a word's place among the known ones, or -1 less its place among the row's others.
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", most_known: int = KNOWN_WORDS) -> DataFrame:
-    """The rows with ``ids`` and, from these, the bytes ``decoded``, in one pass over the documents."""
-    docs, tokens = docs.drop("ids", "decoded"), token_bytes(docs.sparkSession, ranks_path)
+    ``__new`` has the pieces of these other words, ``__long`` those that are long.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _pieces(batches, "__words"):
+            words = part.column("__words")
+            ends, flat = _ends(words), words.flatten()
+            codes = pc.index_in(flat, value_set=known.value).fill_null(-1).to_numpy().copy()
+            new = np.flatnonzero(codes < 0)
+            row = np.searchsorted(ends, new, "right") - 1
+            other = flat.take(pa.array(new)).dictionary_encode()
+            kinds = len(other.dictionary) + 1
+            pairs, place = np.unique(row * kinds + other.indices.to_numpy(), return_inverse=True)  # each word once a row
+            first = np.searchsorted(pairs // kinds, np.arange(len(words) + 1))
+            codes[new] = first[row] - place - 1
+            distinct, kind = other.dictionary, pa.array(pairs % kinds)
+            pieces = byte_pieces(distinct, singles, doubles) if len(distinct) else pa.array([], pa.list_(pa.int64()))
+            long = pc.if_else(pc.greater(pc.utf8_length(distinct), LONG_WORD), distinct, None)
+            columns = [_lists(ends, pa.array(codes, pa.int32())), _lists(first, pieces.take(kind)), _lists(first, long.take(kind))]
+            rest = part.drop_columns(["__words"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, *columns], [*rest.schema.names, "__codes", "__new", "__long"])
+
+    return run
 
-    def with_bytes(ids: Column, tokens: Column) -> Column:
-        return let(ids, lambda i: F.struct(i.alias("ids"), bytes_of(i, tokens).alias("decoded")), "struct<ids: array<int>, decoded: binary>")
 
-    short, rest = encoded_parts(docs, ranks_path, pattern, text, "__trip", most_known, [tokens], with_bytes)
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    short = short.select(*kept, F.col("__trip.ids").alias("ids"), F.col("__trip.decoded").alias("decoded"))
-    rest = using(rest.withColumnRenamed("__trip", "ids"), [tokens], "decoded", lambda t: bytes_of(F.col("ids"), t))
-    return short.unionByName(rest.select(*kept, "ids", "decoded"))
+def _assemble(known: Broadcast, ranks: dict[bytes, int], outputs_of):
+    """Ids of whole texts from ``__codes`` and the ids ``__folded`` of the rows' other words; long words are merged here."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _pieces(batches, "__codes"):
+            codes, new, folded = part.column("__codes"), part.column("__long"), part.column("__folded").flatten()
+            ends, place, words = _ends(codes), codes.flatten().to_numpy().astype(np.int64), new.flatten()
+            long = np.flatnonzero(words.is_valid().to_numpy(zero_copy_only=False))
+            merged = pa.array([merge_long(words[i].as_py().encode(), ranks) for i in long.tolist()], pa.list_(pa.int32()))
+            slots = np.arange(len(folded))
+            slots[long] = len(folded) + np.arange(len(long))
+            other = np.flatnonzero(place < 0)
+            row = np.searchsorted(ends, other, "right") - 1
+            place[other] = len(known.value) + slots[_ends(new)[row] - 1 - place[other]]
+            tables = [known.value, _lists(_ends(folded), folded.flatten())] if len(folded) else [known.value]
+            table = pa.concat_arrays([*tables, merged])
+            taken = table.take(pa.array(place))
+            rest, more = part.drop_columns(["__codes", "__long", "__folded"]), outputs_of(taken.flatten(), _ends(taken)[ends])
+            yield pa.RecordBatch.from_arrays([*rest.columns, *more.values()], [*rest.schema.names, *more])
 
+    return run
 
-def encoded_parts(
-    docs: DataFrame, ranks_path: str, pattern: str, text: str, ids: str, most_known: int, more: list[Column] = [], then=None,
-) -> tuple[DataFrame, DataFrame]:
-    """Encoded texts without long runs, and those with one.  ``then(ids, *more)`` goes on with the former's ids in the same expression."""
+
+def _encoded(docs: DataFrame, ranks_path: str, pattern: str, text: str, most_known: int, keep: list[str] | None, outputs: dict, outputs_of) -> DataFrame:
+    """The rows with ``outputs`` (names and types); ``outputs_of(ids, ends)`` makes these columns of the ids of a batch, row by row."""
     spark = docs.sparkSession
     book, split = Vocabulary(spark, ranks_path), java_pattern(spark, pattern)
     pairs, singles, tokens = book.pairs(), book.singles(), book.tokens()
     words = known_words(docs, text, split, most_known).join(tokens, "key", "full")  # every token is known, so no other word is one
     words = written(words, "to-fold")
-    known = written(using(words, [pairs, singles], "value", lambda p, s: fold(F.col("key"), F.col("whole"), p, s)), "known")
-    long = F.coalesce(F.col(text).rlike(rf"(?U)(?<!\S)\S{{{LONG_RUN + 1},}}|\s{{{LONG_RUN + 1},}}"), F.lit(False))
+    folded = using(words, [pairs, singles], "value", lambda p, s: fold_word(F.col("key"), F.col("whole"), p, s))
+    found = written(folded, "known").select("key", "value").toArrow().combine_chunks()
+    keys, ids = (found.column(c).combine_chunks() for c in ("key", "value"))
+    keys, ids = (spark.sparkContext.broadcast(x) for x in (keys.cast(pa.string()), _lists(_ends(ids), ids.flatten())))
+
+    kept = [f for f in docs.schema if f.name not in outputs and (keep is None or f.name in keep)]
+    split_rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], words_of(F.col(text), split).alias("__words"))
+    coded = StructType([*kept]).add("__codes", ArrayType(IntegerType())).add("__new", ArrayType(ArrayType(LongType()))).add("__long", ArrayType(StringType()))
+    coded = split_rows.mapInArrow(_look_up(keys, *book.bytes()), coded)
+    folded = using(coded, [pairs], "__folded", lambda p: F.transform("__new", lambda w: F.when(F.size(w) > 0, fold(w, p)))).drop("__new")
+    out = StructType([*kept])
+    for name, kind in outputs.items():
+        out = out.add(name, kind)
+    return folded.mapInArrow(_assemble(ids, book.ranks, outputs_of), out)
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", most_known: int = KNOWN_WORDS) -> DataFrame:
+    """The rows with an array of token ids of each whole text, as the column ``ids``."""
+    return _encoded(docs, ranks_path, pattern, text, most_known, None, {ids: ArrayType(IntegerType())}, lambda flat, ends: {ids: _lists(ends, flat)})
 
-    def of_text(known_map: Column, pairs: Column, singles: Column, *others: Column) -> Column:
-        def of_word(word: Column) -> Column:
-            return F.coalesce(look_up(known_map, word), fold(word, F.lit(None).cast("int"), pairs, singles))
 
-        found = F.flatten(F.transform(words_of(F.col(text), split), of_word))
-        return then(found, *others) if then else found
+def round_trip(
+    docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", most_known: int = KNOWN_WORDS, keep: list[str] | None = None, packed: bool = False,
+) -> DataFrame:
+    """The rows with ``ids`` and, from these, the bytes ``decoded``, in one pass over the documents.
 
-    short = using(docs.where(~long), [constant_map(known.select("key", "value")), pairs, singles, *more], ids, of_text)
-    rest = docs.where(long).select(*[F.col(f"`{c}`") for c in docs.columns if c != ids], words_of(F.col(text), split).alias("__words"))
-    kept = StructType([f for f in docs.schema if f.name != ids])
-    return short, rest.mapInArrow(_encode_long(book.ranks, ids), kept.add(ids, ArrayType(IntegerType())))
+    ``keep`` names the columns of the input that the result needs, if not all.
+    With ``packed`` the ids of a text are one binary value, as ``little_endian`` makes it.
+    """
+    tokens = token_bytes(docs.sparkSession, ranks_path)
 
+    def outputs_of(flat: pa.Array, ends: np.ndarray) -> dict[str, pa.Array]:
+        ids = _binary(4 * ends, pa.py_buffer(flat.to_numpy().astype("<u4"))) if packed else _lists(ends, flat)
+        return {"ids": ids, "decoded": bytes_of(flat, ends, tokens.value)}
 
-def token_bytes(spark: SparkSession, ranks_path: str) -> Column:
-    """Constant array: hexadecimal digits of every token's bytes, at its id."""
-    ranks = read_ranks(ranks_path)
-    table = pd.DataFrame({"place": list(ranks.values()), "value": [token.hex() for token in ranks]})
-    placed = written(spark.createDataFrame(table).select(F.col("place").cast("int"), "value"), "tokens")
-    return constant_array(placed, max(ranks.values()) + 1)
+    outputs = {"ids": BinaryType() if packed else ArrayType(IntegerType()), "decoded": BinaryType()}
+    return _encoded(docs, ranks_path, pattern, text, most_known, keep, outputs, outputs_of)
 
 
-def bytes_of(ids: Column, tokens: Column) -> Column:
-    """The tokens' bytes, concatenated."""
-    def piece(i: Column) -> Column:
-        return F.coalesce(F.get(tokens, i), F.raise_error(F.concat(F.lit("no token has the id "), F.coalesce(i.cast("string"), F.lit("NULL")))).cast("string"))
+def token_bytes(spark: SparkSession, ranks_path: str) -> Broadcast:
+    """Every token's bytes, at its id; NULL at other places."""
+    names = {rank: token for token, rank in read_ranks(ranks_path).items()}
+    return spark.sparkContext.broadcast(pa.array([names.get(i) for i in range(max(names) + 1)], pa.binary()))
 
-    return F.unhex(F.array_join(F.transform(ids, piece), ""))
+
+def _binary(ends: np.ndarray, data: pa.Buffer) -> pa.BinaryArray:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), data])
+
+
+def bytes_of(ids: pa.Array, ends: np.ndarray, tokens: pa.BinaryArray) -> pa.BinaryArray:
+    """The tokens' bytes, concatenated row by row."""
+    inside = pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(tokens))).fill_null(False)
+    taken = tokens.take(pc.if_else(inside, ids, None))
+    if taken.null_count:
+        raise ValueError(f"no token has the id {ids[pc.index(taken.is_null(), True).as_py()].as_py()}")
+    at = np.concatenate([[0], np.cumsum(pc.binary_length(taken).to_numpy(), dtype=np.int64)])
+    return _binary(at[ends], taken.buffers()[2] or pa.py_buffer(b""))
 
 
 def decode(rows: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -434,7 +490,17 @@ def decode(rows: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decod
 
     NULL ids give NULL; an id that is NULL or no token's raises an error.
     """
-    return using(rows, [token_bytes(rows.sparkSession, ranks_path)], out, lambda tokens: bytes_of(F.col(ids), tokens))
+    tokens = token_bytes(rows.sparkSession, ranks_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _pieces(batches, "__ids"):
+            lists, rest = part.column("__ids"), part.drop_columns(["__ids"])
+            found = bytes_of(lists.flatten(), _ends(lists), tokens.value)
+            yield pa.RecordBatch.from_arrays([*rest.columns, pc.if_else(lists.is_valid(), found, None)], [*rest.schema.names, out])
+
+    kept = [f for f in rows.schema if f.name != out]
+    with_ids = rows.select(*[F.col(f"`{f.name}`") for f in kept], F.col(ids).cast("array<int>").alias("__ids"))
+    return with_ids.mapInArrow(run, StructType(kept).add(out, BinaryType()))
 
 
 def little_endian(ids: Column) -> Column:

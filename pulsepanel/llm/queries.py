@@ -73,10 +73,9 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = bytepairs.round_trip(docs, ranks, public_tokenizers.PATTERN)
-    return done.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(bytepairs.little_endian(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+    done = bytepairs.round_trip(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"], packed=True)
+    n_tokens = (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens")
+    return done.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

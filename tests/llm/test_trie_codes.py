@@ -147,6 +147,19 @@ def test_constants_stay_out_of_rows(spark):
         assert "AS __constant" not in plan and "/rows" not in "".join(rows.inputFiles())
 
 
+def test_texts_are_read_once(spark, library):
+    """One pass looks words up in batches, long words included; packed ids are those of the array."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
+    got = bytepairs.round_trip(docs, RANKS, public_tokenizers.PATTERN, most_known=3, keep=["doc_id"], packed=True)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "xxhash64" not in plan
+    rows = {r.doc_id: bytes(r.ids) for r in got.collect()}
+    assert got.columns == ["doc_id", "ids", "decoded"]
+    for i, t in enumerate(ODD):
+        ids = library.encode_ordinary(t or "")
+        assert rows[i] == struct.pack(f"<{len(ids)}I", *ids)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="abehinorst \u00e9\u00fc\u4e2d", max_size=60))
 def test_heap_merges_like_the_library(text):
