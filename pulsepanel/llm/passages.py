@@ -37,6 +37,7 @@ SLOTS = 1 << 26
 BITS = np.uint64(64)
 SLICE = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+INVERSES = {base: pow(base, -1, 1 << 64) for base in BASES}
 HOT = 2000
 _powers: dict[int, np.ndarray] = {}
 
@@ -84,17 +85,16 @@ def sliding(best: np.ufunc, x: np.ndarray, size: int) -> np.ndarray:
     return best(out[:len(x) - size + 1], out[size - span:])
 
 
-def stretches(words: np.ndarray, g: np.ndarray, min_words: int, stretch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, hash, second hash) of the stretches of a document."""
+def stretches(words: np.ndarray, g: np.ndarray, min_words: int, stretch: int) -> np.ndarray:
+    """Starts of the stretches of a document."""
     reach = min_words + 1 - stretch + 1  # starts of a stretch inside the shortest run that has to be found
     starts = len(words) - stretch + 1
     if starts < reach:
-        return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        return np.zeros(0, np.int64)
     # A start is taken if its shingle is the smallest of some neighbourhood that it lies in.
     low = sliding(np.minimum, g[:starts], reach)
     edge = np.zeros(reach - 1, np.uint64)
-    at = np.flatnonzero(g[:starts] == sliding(np.maximum, np.concatenate([edge, low, edge]), reach))
-    return at, *span_hashes(words, at, np.full(len(at), stretch))
+    return np.flatnonzero(g[:starts] == sliding(np.maximum, np.concatenate([edge, low, edge]), reach))
 
 
 def long_lines(text: str, min_words: int) -> list[tuple[int, int]]:
@@ -170,27 +170,42 @@ def powers(base: int, n: int) -> np.ndarray:
     return held
 
 
-def span_hashes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, second hash) of spans of words: two polynomials modulo 2^64, each span by two prefix sums."""
-    both = []
-    for base in BASES:
-        sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * powers(base, len(words))[:len(words)], out=sums[1:])
-        h = (sums[starts + sizes] - sums[starts]) * powers(pow(base, -1, 1 << 64), len(words) + 1)[starts]
-        both.append(mix(h + sizes.astype(np.uint64)))
-    return both[0].view(np.int64), (both[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+class Spans:
+    """Hashes of spans of a text's words: two polynomials modulo 2^64, whose prefix sums are taken once for all spans."""
 
+    def __init__(self, words: np.ndarray):
+        self.words, self.sums = words, {}
 
-def chains(at: np.ndarray, stretch: int) -> list[tuple[int, int]]:
-    """(first, last) starts of stretches that overlap or touch one another."""
-    cuts = np.flatnonzero(np.diff(at) > stretch) + 1
-    return [(int(c[0]), int(c[-1])) for c in np.split(at, cuts) if len(c)]
+    def polynomial(self, base: int, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        n = len(self.words)
+        if base not in self.sums:
+            self.sums[base] = np.zeros(n + 1, np.uint64)
+            np.cumsum(self.words * powers(base, n)[:n], out=self.sums[base][1:])
+        sums = self.sums[base]
+        return mix((sums[starts + sizes] - sums[starts]) * powers(INVERSES[base], n + 1)[starts] + sizes.astype(np.uint64))
+
+    def first(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return self.polynomial(BASES[0], starts, sizes).view(np.int64)
+
+    def hashes(self, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, second hash) of each span."""
+        second = self.polynomial(BASES[1], starts, sizes) >> np.uint64(32)
+        return self.first(starts, sizes), second.astype(np.uint32).view(np.int32)
 
 
 def run_blocks(at: np.ndarray, repeated: np.ndarray, n_words: int, run: int, stretch: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first start, starts) of blocks: starts of runs that hold a repeated stretch, cut where any stretch starts."""
-    starts = [np.arange(max(0, a - run + stretch), min(b, n_words - run) + 1) for a, b in chains(at[repeated], stretch)]
-    starts = np.unique(np.concatenate(starts or [at[:0]]))
+    """(first start, starts) of blocks: starts of runs that hold a repeated stretch, cut where any stretch starts.
+
+    Stretches that overlap or touch are one chain; the starts between count as well.
+    """
+    again = at[repeated]
+    if not len(again):
+        return again, again
+    cuts = np.flatnonzero(np.diff(again) > stretch) + 1
+    lows = np.maximum(0, again[np.concatenate([[0], cuts])] - run + stretch)
+    highs = np.minimum(again[np.concatenate([cuts - 1, [-1]])], n_words - run) + 1
+    some = lows < highs
+    starts = np.flatnonzero(covered(lows[some], (highs - lows)[some], n_words))
     piece = np.searchsorted(at, starts, "right")
     cuts = np.flatnonzero((np.diff(piece) != 0) | (np.diff(starts) != 1)) + 1
     cuts = np.concatenate([[0], cuts])[:len(starts)].astype(np.int64)
@@ -386,22 +401,22 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, stretch: int = 30, s
 
     def cut(doc: int, text: str):
         w = word_hashes(text)
-        at, h1, h2 = stretches(w, grams(w), min_words, stretch)
-        return h1, h2, np.full(len(at), doc)
+        at = stretches(w, grams(w), min_words, stretch)
+        return *Spans(w).hashes(at, np.full(len(at), stretch)), np.full(len(at), doc)
 
     h, place = [pa.int64(), pa.int32(), pa.int64()], [pa.int32(), pa.int32()]
     counted = shared(_map(picked, "h1 long, h2 int, doc_id long", h, cut))
     bits = send(bit_table(written(counted.where("keeper < last").select("h1"), "repeated-stretches"), "h1"))
 
-    def blocks_of(w: np.ndarray, g: np.ndarray):
-        at, h1, _ = stretches(w, g, min_words, stretch)
-        first, n = run_blocks(at, in_table(bits.value, h1), len(w), run, stretch)
-        return first, n, *span_hashes(w, first, n + run - 1)
+    def blocks_of(w: np.ndarray, g: np.ndarray, spans: Spans):
+        at = stretches(w, g, min_words, stretch)
+        first, n = run_blocks(at, in_table(bits.value, spans.first(at, np.full(len(at), stretch))), len(w), run, stretch)
+        return first, n, *spans.hashes(first, n + run - 1)
 
     def describe(doc: int, text: str):
         w = word_hashes(text)
         g = grams(w)
-        first, n, b1, b2 = blocks_of(w, g)
+        first, n, b1, b2 = blocks_of(w, g, Spans(w))
         lines = long_lines(text, run)
         h1, h2 = line_hashes(w, lines)
         keys = [None] * len(first) + band_keys(g, lines, bands, rows)
@@ -424,11 +439,12 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, stretch: int = 30, s
     def single(doc: int, text: str):
         w = word_hashes(text)
         g = grams(w)
-        first, n, b1, b2 = blocks_of(w, g)
+        held = Spans(w)
+        first, n, b1, b2 = blocks_of(w, g, held)
         mine = in_table(speaks.value, b1 ^ doc)
         first, n, b1, b2 = first[mine], n[mine], b1[mine], b2[mine]
         starts = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-        h1, h2 = span_hashes(w, starts, np.full(len(starts), run))
+        h1, h2 = held.hashes(starts, np.full(len(starts), run))
         spans = long_lines(text, run)
         l1, l2 = line_hashes(w, spans)
         some = np.unique(l1, return_index=True)[1]

@@ -452,3 +452,29 @@ def test_connected_matches_brute_force():
         want = slow_components(range(len(sets)), near)
         label = passages.connected(sets, np.full(len(sets), -1), 0.8)
         assert all((label[i] == label[j]) == (want[i] == want[j]) for i in range(len(sets)) for j in range(i))
+
+
+def test_block_starts_and_span_hashes():
+    """Blocks are the plain union of run starts around repeated stretches; a text's prefix sums are taken once for all its spans."""
+    rng = np.random.default_rng(5)
+    for n in (51, 52, 90, 700):
+        words = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        at = np.flatnonzero(rng.random(n - 29) < 0.06)
+        repeated = rng.random(len(at)) < 0.5
+        first, size = passages.run_blocks(at, repeated, n, 51, 30)
+        again, want = at[repeated].tolist(), set()
+        for i, a in enumerate(again):
+            end = a
+            for b in again[i + 1:]:
+                end = b if b - end <= 30 else end
+            want |= set(range(max(0, a - 21), min(end, n - 51) + 1))
+        got = [x for f, k in zip(first.tolist(), size.tolist()) for x in range(f, f + k)]
+        assert got == sorted(want)
+        assert all(not ((at > f) & (at < f + k)).any() for f, k in zip(first, size))
+        held = passages.Spans(words)
+        with np.errstate(over="ignore"):
+            once = held.hashes(np.arange(n - 29), np.full(n - 29, 30))
+            moved = passages.Spans(words[7:]).hashes(np.arange(n - 36), np.full(n - 36, 30))
+            sums = {k: id(v) for k, v in held.sums.items()}
+            held.hashes(np.zeros(1, int), np.ones(1, int))
+        assert all((a[7:] == b).all() for a, b in zip(once, moved)) and sums == {k: id(v) for k, v in held.sums.items()}
